@@ -1 +1,188 @@
-"""Queries: listing_state."""
+"""Queries of build step 2: listing state (upsert, touch, expiry, cleanup),
+price history and crawl statistics.
+
+A crawl batch is the sightings from ``SPLIT`` on; the stored snapshot is
+the fold of the sightings before it. Both halves together cover the whole
+lineitem table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from listwatch.operators import prices, snapshot
+from listwatch.plans.oracle_views import with_views
+from listwatch.plans.registry import register
+from listwatch.sources import tables as T
+
+SPLIT = "1996-01-01"
+EXPIRY_DAYS = 180
+CRAWL_WINDOW_DAYS = 90
+ORDER_SQL = "seen_at, o_key, line_no, x_price, s_key"
+
+
+def _split(spark, sf_dir):
+    s = T.sightings(spark, sf_dir)
+    seq = T.sighting_seq(s)
+    old = snapshot.fold_sightings(s.filter(F.col("seen_at") < F.lit(SPLIT).cast("timestamp")), seq)
+    batch = s.filter(F.col("seen_at") >= F.lit(SPLIT).cast("timestamp"))
+    return s, old, batch
+
+
+def _as_of(s):
+    """The crawl clock: the newest sighting (a scalar subquery, not a
+    driver-side value)."""
+    return s.select(F.max("seen_at")).scalar()
+
+
+@register("listing_upsert", "M1 M2 P11 U2 Q17", oracle=with_views(["sightings"], f"""
+SELECT url, min(seen_at) AS first_seen_at, max(seen_at) AS last_seen_at,
+       arg_max_null(price_raw, ({ORDER_SQL})) AS price_raw, arg_max_null(price, ({ORDER_SQL})) AS price,
+       arg_max_null(seller_type, ({ORDER_SQL})) AS seller_type
+FROM sightings GROUP BY url"""))
+def listing_upsert(spark, sf_dir):
+    s, old, batch = _split(spark, sf_dir)
+    b = batch.withColumn("first_seen_at", F.col("seen_at")).withColumn("last_seen_at", F.col("seen_at"))
+    out = snapshot.upsert(old, b, T.sighting_seq(b))
+    return out.select("url", "first_seen_at", "last_seen_at", "price_raw", "price", "seller_type")
+
+
+_TOUCH_CTES = [
+    ("old", f"""SELECT p.p_brand AS brand, p.p_type AS model, f.* FROM part p JOIN (
+          SELECT url, min(seen_at) AS first_seen_at, max(seen_at) AS last_seen_at,
+                 arg_max(price_raw, ({ORDER_SQL})) AS price_raw
+          FROM sightings WHERE seen_at < TIMESTAMP '{SPLIT}' GROUP BY url) f
+        ON f.url = CAST(p.p_partkey AS VARCHAR)"""),
+    ("t", f"""SELECT url, seen_at, o_key, line_no, x_price, s_key,
+             CASE seller_type WHEN 'agency' THEN 'Brand#' || CAST(s_key % 25 + 1 AS VARCHAR)
+                              WHEN 'private' THEN 'Unknown' END AS brand,
+             CASE seller_type WHEN 'agency' THEN 'TOUCHED' END AS model,
+             CASE WHEN trim(price_raw) <> '' THEN price_raw END AS price_raw
+      FROM sightings WHERE seen_at >= TIMESTAMP '{SPLIT}'"""),
+    ("ta", f"""SELECT url, max(seen_at) AS t_last_seen_at,
+              arg_max(brand, ({ORDER_SQL})) FILTER (WHERE brand IS NOT NULL AND trim(brand) NOT IN ('', 'Unknown')) AS t_brand,
+              arg_max(model, ({ORDER_SQL})) FILTER (WHERE model IS NOT NULL AND trim(model) NOT IN ('', 'Unknown')) AS t_model,
+              arg_max(price_raw, ({ORDER_SQL})) FILTER (WHERE price_raw IS NOT NULL) AS t_price_raw
+       FROM t GROUP BY url"""),
+]
+
+
+@register("listing_touch", "M3 M4 Q11", oracle=with_views(["sightings"], """
+SELECT coalesce(old.url, ta.url) AS url,
+       coalesce(t_brand, CASE WHEN trim(old.brand) NOT IN ('', 'Unknown') THEN old.brand END, old.brand) AS brand,
+       coalesce(t_model, CASE WHEN trim(old.model) NOT IN ('', 'Unknown') THEN old.model END, old.model) AS model,
+       coalesce(t_price_raw, old.price_raw) AS price_raw,
+       coalesce(t_last_seen_at, old.last_seen_at) AS last_seen_at,
+       coalesce(old.first_seen_at, t_last_seen_at) AS first_seen_at,
+       t_last_seen_at IS NOT NULL AS touched,
+       old.first_seen_at IS NULL AS inserted
+FROM old FULL JOIN ta ON old.url = ta.url""", extra=_TOUCH_CTES))
+def listing_touch(spark, sf_dir):
+    s, old_fold, batch = _split(spark, sf_dir)
+    old = T.parts_as_listings(spark, sf_dir).join(old_fold, "url", "inner")
+    touches = batch.select(
+        "url", "seen_at", "price_raw", *T.SIGHTING_ORDER[1:],
+        F.when(F.col("seller_type") == "agency",
+               F.concat(F.lit("Brand#"), (F.col("s_key") % 25 + 1).cast("string")))
+        .when(F.col("seller_type") == "private", F.lit("Unknown")).alias("brand"),
+        F.when(F.col("seller_type") == "agency", F.lit("TOUCHED")).alias("model"))
+    return snapshot.touch(old, touches, T.sighting_seq(touches))
+
+
+@register("listing_expire", "M6 T4 A11", oracle=with_views(["listings"], f"""
+SELECT url, last_seen_at,
+       coalesce(last_seen_at < (SELECT max(seen_at) FROM sightings) - INTERVAL {EXPIRY_DAYS} DAY, false) AS expired
+FROM listings"""))
+def listing_expire(spark, sf_dir):
+    s = T.sightings(spark, sf_dir)
+    lst = T.listings(spark, sf_dir)
+    kept, removed = snapshot.expire_by_age(lst, _as_of(s), EXPIRY_DAYS)
+    return (kept.select("url", "last_seen_at", F.lit(False).alias("expired"))
+            .unionByName(removed.select("url", "last_seen_at", F.lit(True).alias("expired"))))
+
+
+@register("cohort_cleanup", "J6 M7 A5 U4", oracle=with_views(["sightings"], f"""
+SELECT CAST(p_partkey AS VARCHAR) AS url, p_brand AS brand, p_type AS model FROM part p
+WHERE (p_brand, p_type) IN (
+        SELECT (p2.p_brand, p2.p_type) FROM seen JOIN part p2 ON seen.url = CAST(p2.p_partkey AS VARCHAR)
+        WHERE coalesce(trim(p2.p_brand), '') NOT IN ('', 'Unknown'))
+  AND CAST(p_partkey AS VARCHAR) NOT IN (SELECT url FROM seen)""", extra=[(
+    "seen", f"""SELECT DISTINCT url FROM sightings
+               WHERE seen_at >= (SELECT max(seen_at) FROM sightings) - INTERVAL {CRAWL_WINDOW_DAYS} DAY""")]))
+def cohort_cleanup(spark, sf_dir):
+    s = T.sightings(spark, sf_dir)
+    crawl = s.filter(F.col("seen_at") >= _as_of(s) - F.make_dt_interval(F.lit(CRAWL_WINDOW_DAYS)))
+    parts = T.parts_as_listings(spark, sf_dir)
+    seen = snapshot.seen_by_pair(crawl.select("url").distinct().join(parts, "url", "inner"))
+    return snapshot.cohort_cleanup(parts, seen).select("url", "brand", "model")
+
+
+@register("known_new_split", "J3", oracle=with_views(["sightings"], f"""
+SELECT b.url, o.url IS NULL AS visit
+FROM (SELECT DISTINCT url FROM sightings WHERE seen_at >= TIMESTAMP '{SPLIT}') b
+LEFT JOIN (SELECT DISTINCT url FROM sightings WHERE seen_at < TIMESTAMP '{SPLIT}') o ON o.url = b.url"""))
+def known_new_split(spark, sf_dir):
+    s, old, batch = _split(spark, sf_dir)
+    return snapshot.split_known(batch.select("url").distinct(), old).select("url", "visit")
+
+
+@register("delete_keys", "M5 A13 P10", oracle=with_views(["listings"], f"""
+SELECT url FROM listings WHERE url NOT IN (
+    SELECT url FROM sightings WHERE seller_type = 'agency' AND url IS NOT NULL AND url <> ''
+      AND seen_at >= (SELECT max(seen_at) FROM sightings) - INTERVAL {CRAWL_WINDOW_DAYS} DAY)"""))
+def delete_keys(spark, sf_dir):
+    s = T.sightings(spark, sf_dir)
+    keys = s.filter((F.col("seller_type") == "agency")
+                    & (F.col("seen_at") >= _as_of(s) - F.make_dt_interval(F.lit(CRAWL_WINDOW_DAYS))))
+    return snapshot.delete_keys(T.listings(spark, sf_dir), keys).select("url")
+
+
+_PREV_SQL = f"""
+SELECT *, last_value(CASE WHEN trim(price_raw) <> '' THEN price_raw END IGNORE NULLS) OVER (
+            PARTITION BY url ORDER BY {ORDER_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_price
+FROM sightings"""
+
+
+@register("price_change_log", "P16 X2 Q2 Q12 Q18 M4", oracle=with_views(["sightings"], """
+SELECT url, seen_at, prev_price AS old_price, price_raw AS new_price,
+       CASE WHEN TRY_CAST(regexp_replace(price_raw, '[^0-9]', '', 'g') AS DECIMAL(38,0))
+                 > TRY_CAST(regexp_replace(prev_price, '[^0-9]', '', 'g') AS DECIMAL(38,0)) THEN 'up'
+            WHEN TRY_CAST(regexp_replace(price_raw, '[^0-9]', '', 'g') AS DECIMAL(38,0))
+                 < TRY_CAST(regexp_replace(prev_price, '[^0-9]', '', 'g') AS DECIMAL(38,0)) THEN 'down' END AS direction,
+       o_key, line_no, x_price, s_key
+FROM p WHERE trim(prev_price) <> '' AND trim(price_raw) <> ''
+  AND regexp_replace(prev_price, '[^0-9]', '', 'g') <> regexp_replace(price_raw, '[^0-9]', '', 'g')""",
+    extra=[("p", _PREV_SQL)]))
+def price_change_log(spark, sf_dir):
+    return prices.price_change_log(T.sightings(spark, sf_dir), T.SIGHTING_ORDER)
+
+
+@register("crawl_stats", "A4", oracle=with_views(["sightings"], """
+SELECT b.run, b.n_seen, b.n_urls, b.n_pages,
+       coalesce(n.n_new, 0) AS n_new, coalesce(g.n_gone, 0) AS n_gone, coalesce(c.n_price_updates, 0) AS n_price_updates
+FROM (SELECT date_trunc('month', seen_at) AS run, count(*) AS n_seen, count(DISTINCT url) AS n_urls,
+             count(DISTINCT o_key) AS n_pages FROM sightings GROUP BY 1) b
+LEFT JOIN (SELECT date_trunc('month', f) AS run, count(*) AS n_new
+           FROM (SELECT min(seen_at) f FROM sightings GROUP BY url) GROUP BY 1) n ON n.run = b.run
+LEFT JOIN (SELECT date_trunc('month', l) AS run, count(*) AS n_gone
+           FROM (SELECT max(seen_at) l FROM sightings GROUP BY url) GROUP BY 1) g ON g.run = b.run
+LEFT JOIN (SELECT date_trunc('month', seen_at) AS run, count(*) AS n_price_updates FROM p
+           WHERE prev_price IS NOT NULL AND trim(price_raw) <> ''
+             AND regexp_replace(prev_price, '[^0-9]', '', 'g') <> regexp_replace(price_raw, '[^0-9]', '', 'g')
+           GROUP BY 1) c ON c.run = b.run""", extra=[("p", _PREV_SQL)]))
+def crawl_stats(spark, sf_dir):
+    s = T.sightings(spark, sf_dir)
+    run = F.date_trunc("month", F.col("seen_at"))
+    base = s.groupBy(run.alias("run")).agg(
+        F.count(F.lit(1)).alias("n_seen"), F.countDistinct("url").alias("n_urls"),
+        F.countDistinct("o_key").alias("n_pages"))
+    life = s.groupBy("url").agg(F.min("seen_at").alias("f"), F.max("seen_at").alias("l"))
+    new = life.groupBy(F.date_trunc("month", "f").alias("run")).agg(F.count(F.lit(1)).alias("n_new"))
+    gone = life.groupBy(F.date_trunc("month", "l").alias("run")).agg(F.count(F.lit(1)).alias("n_gone"))
+    p = prices.with_previous_price(s, "url", T.SIGHTING_ORDER, F.date_trunc("month", F.col("seen_at")))
+    upd = (p.filter(F.col("prev_price").isNotNull()
+                    & prices.price_changed(F.col("prev_price"), F.col("price_raw"), require_old=False))
+           .groupBy(run.alias("run")).agg(F.count(F.lit(1)).alias("n_price_updates")))
+    out = base.join(new, "run", "left").join(gone, "run", "left").join(upd, "run", "left")
+    return out.select("run", "n_seen", "n_urls", "n_pages",
+                      *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_new", "n_gone", "n_price_updates")])

@@ -19,6 +19,7 @@ BASE_CONF = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -36,6 +37,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
+    spark.sparkContext.setLogLevel("ERROR")
     apply_conf(spark)
     return spark
 

@@ -103,18 +103,9 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     side), then a join on url with part. Both sides are keyed by url, so the
     join needs no further exchange of the aggregated side.
     """
+    from listwatch.operators.snapshot import fold_sightings
     s = sightings(spark, sf_dir)
-    seq = sighting_seq(s)
-    folded = s.groupBy("url").agg(
-        F.min("seen_at").alias("first_seen_at"),
-        F.max("seen_at").alias("last_seen_at"),
-        F.max_by(F.struct("price_raw", "price", "seller_type"), seq).alias("_last"),
-    ).select(
-        "url", "first_seen_at", "last_seen_at",
-        F.col("_last.price_raw").alias("price_raw"),
-        F.col("_last.price").alias("price"),
-        F.col("_last.seller_type").alias("seller_type"),
-    )
+    folded = fold_sightings(s, sighting_seq(s))
     return parts_as_listings(spark, sf_dir).join(folded, "url", "left")
 
 
