@@ -85,3 +85,16 @@ def with_views(names: list[str], body: str, extra: list[tuple[str, str]] | None
     ctes = [f"{n} AS ({VIEWS[n]})" for n in _order(names)]
     ctes += [f"{n} AS ({sql})" for n, sql in (extra or [])]
     return "WITH " + ",\n".join(ctes) + "\n" + body
+
+
+def user_matches_sql(listings_view: str) -> str:
+    """One row per (user_id, url) of ``subscriptions`` matched to a listings
+    view (same rule as VIEWS['sub_matches'])."""
+    return f"""
+        SELECT * EXCLUDE (rk) FROM (
+            SELECT s.user_id, l.*, row_number() OVER (PARTITION BY s.user_id, l.url ORDER BY s.brand, s.model) AS rk
+            FROM subscriptions s JOIN {listings_view} l
+              ON lower(trim(l.brand)) = lower(trim(s.brand))
+             AND (lower(trim(s.model)) = ''
+                  OR contains(lower(trim(l.model)), lower(trim(s.model)))
+                  OR contains(lower(trim(l.title)), lower(trim(s.model))))) WHERE rk = 1"""
