@@ -35,7 +35,7 @@ def remaining_beyond(total: Column, cap: int) -> Column:
 
 
 def carry_last(df: DataFrame, keys: list[str], order_cols: list[str], value: Column, bucket: Column,
-               out: str, include_current: bool = False) -> DataFrame:
+               out: str, include_current: bool = False, reverse: bool = False) -> DataFrame:
     """Adds ``out`` = the last non-NULL ``value`` of the same key in
     ``order_cols`` order, strictly before the row (or up to and including it
     with ``include_current``).
@@ -44,16 +44,20 @@ def carry_last(df: DataFrame, keys: list[str], order_cols: list[str], value: Col
     Here the running window is per (keys, bucket) - ``bucket`` must be
     non-decreasing in the order, e.g. a date truncation - and the carry-in
     from earlier buckets comes from a one-row-per-bucket summary with a small
-    window per key. Exact for any bucket choice.
+    window per key. Exact for any bucket choice. ``reverse`` walks the order
+    backwards: the first non-NULL value *after* the row.
     """
     seq = F.struct(*[F.col(c) for c in order_cols])
     d = df.withColumn("_cb", bucket).withColumn("_cv", value)
     end = 0 if include_current else -1
-    w_in = Window.partitionBy(*keys, "_cb").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, end)
+    order = [F.col(c).desc() for c in order_cols] if reverse else [F.col(c) for c in order_cols]
+    w_in = Window.partitionBy(*keys, "_cb").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     d = d.withColumn("_c_in", F.last("_cv", ignorenulls=True).over(w_in))
+    pick = F.min_by if reverse else F.max_by
     summary = (d.groupBy(*keys, "_cb")
-               .agg(F.max_by("_cv", F.when(F.col("_cv").isNotNull(), seq)).alias("_c_last")))
-    w_b = Window.partitionBy(*keys).orderBy("_cb").rowsBetween(Window.unboundedPreceding, -1)
+               .agg(pick("_cv", F.when(F.col("_cv").isNotNull(), seq)).alias("_c_last")))
+    b_order = F.col("_cb").desc() if reverse else F.col("_cb")
+    w_b = Window.partitionBy(*keys).orderBy(b_order).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(*keys, "_cb", F.last("_c_last", ignorenulls=True).over(w_b).alias("_c_prev"))
     return (d.join(carry, [*keys, "_cb"], "left")
             .withColumn(out, F.coalesce("_c_in", "_c_prev"))
