@@ -1 +1,135 @@
-"""Queries: pages."""
+"""Queries of build step 6: URL canonicalisation and filtering, page-quality
+flags, feed links and detail fields over the ``pages`` table.
+
+Test markup (FIXTURES.md §2): the item id is the first ``/<digits>`` of a
+URL, the site domain is ``example.com``; cards are the page's anchors and
+the label/value pairs of a detail page are its navigation links.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from listwatch.functions import urls
+from listwatch.functions.text import normalize_text
+from listwatch.operators import extract
+from listwatch.plans.registry import register
+from listwatch.sources import tables as T
+
+ID_PATTERN = r"/([0-9]+)"
+DOMAIN = "example.com"
+PREFIX = "https://example.com/item/"
+FEED = extract.FeedMarkup(require_seller_class=False, id_pattern=ID_PATTERN, canonical_prefix=PREFIX, domain=DOMAIN)
+DETAIL = extract.DetailMarkup(
+    label=r'(?is)<li><a href="([^"]*)">',
+    value=r'(?is)<li><a href="[^"]*">(.*?)</a></li>',
+    spec_box=r'(?is)<div class="ad">(.*?)</div>',
+    spec_text=r"(?is)^(.*)$")
+
+# DuckDB twins of the Spark expressions
+HOST_SQL = r"lower(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^@/?#]*@)?([^:/?#]*)', 1))"
+PATH_SQL = r"lower(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1))"
+CANON_SQL = (r"CASE WHEN {u} IS NULL OR {u} = '' THEN {u} "
+             r"WHEN regexp_extract({u}, '/([0-9]+)', 1) <> '' THEN '" + PREFIX + r"' || regexp_extract({u}, '/([0-9]+)', 1) "
+             r"ELSE split_part({u}, '?', 1) END")
+STRIP_SQL = r"trim(regexp_replace(regexp_replace({x}, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+NORM_SQL = (r"""trim(regexp_replace(regexp_replace(lower({x}), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]', ' ', 'g'),"""
+            r""" '\s+', ' ', 'g'))""")
+
+
+def external_sql(u: str) -> str:
+    h, p = HOST_SQL.format(u=u), PATH_SQL.format(u=u)
+    return (f"(({h} <> '' AND NOT ({h} = '{DOMAIN}' OR ends_with({h}, '.{DOMAIN}')))"
+            f" OR contains({h}, 'konesy') OR contains({p}, 'konesy')"
+            f" OR contains({h}, '/live/') OR contains({p}, '/live/'))")
+
+
+@register("canonical_urls", "P1 U1", oracle=f"""
+SELECT url, min(page_id) AS first_page_id, count(*) AS n_pages
+FROM (SELECT page_id, {CANON_SQL.format(u='url')} AS url FROM pages) GROUP BY url""")
+def canonical_urls(spark, sf_dir):
+    p = T.table(spark, sf_dir, "pages").select("page_id", urls.canonical_url(F.col("url"), ID_PATTERN, PREFIX).alias("url"))
+    return p.groupBy("url").agg(F.min("page_id").alias("first_page_id"), F.count(F.lit(1)).alias("n_pages"))
+
+
+@register("external_filter", "P2 Q16", oracle=f"""
+SELECT page_id, url, {HOST_SQL.format(u='url')} AS host, {external_sql('url')} AS rejected FROM pages""")
+def external_filter(spark, sf_dir):
+    p = T.table(spark, sf_dir, "pages").select("page_id", "url")
+    return p.select("page_id", "url", urls.url_host(F.col("url")).alias("host"),
+                    urls.is_external(F.col("url"), DOMAIN).alias("rejected"))
+
+
+def _any(expr: str, needles) -> str:
+    return "(" + " OR ".join(f"contains({expr}, '{n}')" for n in needles) + ")"
+
+
+_NEEDLES = sorted({n for n in (extract.normalize_needle(x) for x in extract.HARD_BLOCK_NEEDLES) if n})
+_TITLE_SQL = r"trim(regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1))"
+
+
+@register("page_flags", "P7 P8 P9 X1 Q8 Q19", oracle=f"""
+SELECT page_id, length(html) AS n_chars,
+       coalesce(length(html), 0) < {extract.SOFT_BLOCK_MIN_CHARS}
+           OR {_any("lower(coalesce(html, ''))", extract.SOFT_BLOCK_MARKERS)} AS soft_blocked,
+       {NORM_SQL.format(x="coalesce(html, '')")} <> '' AND {_any(NORM_SQL.format(x="coalesce(html, '')"), _NEEDLES)}
+           AS hard_blocked,
+       {_any(f"lower(concat_ws(' ', {_TITLE_SQL}, substring(coalesce(html, ''), 1, {extract.BROKEN_PREFIX_CHARS})))",
+             [s.replace("'", "''") for s in extract.BROKEN_SIGNATURES])} AS broken,
+       md5({NORM_SQL.format(x="coalesce(html, '')")}) AS norm_md5
+FROM pages""")
+def page_flags(spark, sf_dir):
+    p = T.table(spark, sf_dir, "pages")
+    return extract.page_flags(p).select(
+        "page_id", F.length("html").cast("bigint").alias("n_chars"), "soft_blocked", "hard_blocked", "broken",
+        F.md5(normalize_text(F.coalesce(F.col("html"), F.lit("")))).alias("norm_md5"))
+
+
+_ANCHOR = r"(?is)<a\b([^>]*)>(.*?)</a>"
+
+
+@register("feed_links", "S2 P10 U1 X11 X12", oracle=f"""
+WITH a AS (
+    SELECT page_id, unnest(regexp_extract_all(html, '{_ANCHOR}', 1)) AS attrs,
+           unnest(regexp_extract_all(html, '{_ANCHOR}', 2)) AS body,
+           unnest(range(0, len(regexp_extract_all(html, '{_ANCHOR}', 1)))) AS pos
+    FROM pages),
+c AS (SELECT page_id, CAST(pos AS BIGINT) AS pos, regexp_extract(attrs, '(?i)href="([^"]*)"', 1) AS raw_href,
+             lower(regexp_extract(attrs, '(?i)class="([^"]*)"', 1)) AS cls,
+             trim({STRIP_SQL.format(x='body')}) AS title FROM a),
+d AS (SELECT *, {CANON_SQL.format(u='raw_href')} AS url FROM c WHERE raw_href <> '' AND NOT {external_sql('raw_href')})
+SELECT page_id, min(pos) AS pos, url, arg_min(raw_href, pos) AS raw_href, arg_min(title, pos) AS title,
+       '' AS price_raw, arg_min(CASE WHEN contains(cls, 'agency') THEN 'agency' ELSE 'private' END, pos) AS seller_type
+FROM d WHERE url <> '' GROUP BY page_id, url""")
+def feed_links(spark, sf_dir):
+    return extract.feed_links(T.table(spark, sf_dir, "pages"), FEED)
+
+
+_LABEL = r'(?is)<li><a href="([^"]*)">'
+_VALUE = r'(?is)<li><a href="[^"]*">(.*?)</a></li>'
+
+
+@register("page_detail", "S3 X9 X12 X14 X15 J13", oracle=f"""
+WITH d AS (
+    SELECT page_id, url,
+           {STRIP_SQL.format(x="regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS title,
+           {STRIP_SQL.format(x="regexp_extract(html, '(?is)<div class=\"ad\">(.*?)</div>', 1)")} AS year_raw,
+           {STRIP_SQL.format(x="regexp_extract(html, '(?is)<p[^>]*>(.*?)</p>', 1)")} AS description,
+           list_transform(regexp_extract_all(html, '{_LABEL}', 1), lambda x: {STRIP_SQL.format(x='x')}) AS labels,
+           list_transform(regexp_extract_all(html, '{_VALUE}', 1), lambda x: {STRIP_SQL.format(x='x')}) AS vals
+    FROM pages),
+kv AS (SELECT page_id, unnest(labels[1:least(len(labels), len(vals))]) AS k,
+              unnest(vals[1:least(len(labels), len(vals))]) AS v,
+              unnest(range(0, least(len(labels), len(vals)))) AS i FROM d),
+f AS (SELECT page_id, count(*) AS n_fields, string_agg(k || '=' || v, '|' ORDER BY k) AS fields_digest
+      FROM (SELECT page_id, k, arg_max(v, i) AS v FROM kv WHERE k <> '' GROUP BY page_id, k) GROUP BY page_id)
+SELECT d.page_id, d.title, d.year_raw, d.description, coalesce(f.n_fields, 0) AS n_fields,
+       coalesce(f.fields_digest, '') AS fields_digest
+FROM d LEFT JOIN f USING (page_id)""")
+def page_detail(spark, sf_dir):
+    d = extract.page_detail(T.table(spark, sf_dir, "pages"), DETAIL)
+    entries = F.array_sort(F.map_entries(F.col("fields")))
+    return d.select("page_id", "title", "year_raw", "description",
+                    F.size("fields").cast("bigint").alias("n_fields"),
+                    F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
+                    .alias("fields_digest"))
