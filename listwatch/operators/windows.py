@@ -62,3 +62,51 @@ def carry_last(df: DataFrame, keys: list[str], order_cols: list[str], value: Col
     return (d.join(carry, [*keys, "_cb"], "left")
             .withColumn(out, F.coalesce("_c_in", "_c_prev"))
             .drop("_cb", "_cv", "_c_in", "_c_prev"))
+
+
+def row_number_split(df: DataFrame, keys: list[str], order_cols: list[str], bucket: Column,
+                     out: str = "rn") -> DataFrame:
+    """Exact ``row_number()`` per key in ``order_cols`` order, computed per
+    (key, bucket) plus the row count of the key's earlier buckets, so a hot
+    key is numbered by many tasks. ``bucket`` must be non-decreasing in the
+    order."""
+    d = df.withColumn("_rb", bucket)
+    w_in = Window.partitionBy(*keys, "_rb").orderBy(*order_cols)
+    d = d.withColumn("_rn_in", F.row_number().over(w_in))
+    counts = d.groupBy(*keys, "_rb").agg(F.count(F.lit(1)).alias("_n"))
+    w_b = Window.partitionBy(*keys).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_rb", F.coalesce(F.sum("_n").over(w_b), F.lit(0)).alias("_off"))
+    return (d.join(offsets, [*keys, "_rb"], "inner")
+            .withColumn(out, (F.col("_rn_in") + F.col("_off")).cast("bigint"))
+            .drop("_rb", "_rn_in", "_off"))
+
+
+def skip_ranges(df: DataFrame, keys: list[str], idx: str, flag: str) -> DataFrame:
+    """Runs of consecutive flagged indices per key as (start, end, n).
+    Island key = idx - rank among flagged rows; the rank uses a split row
+    number so a hot key is not one task."""
+    f = df.filter(F.col(flag))
+    f = row_number_split(f, keys, [idx], F.floor(F.col(idx) / F.lit(4096)), "_k")
+    return (f.groupBy(*keys, (F.col(idx) - F.col("_k")).alias("_island"))
+            .agg(F.min(idx).alias("start_idx"), F.max(idx).alias("end_idx"), F.count(F.lit(1)).alias("n_skipped"))
+            .drop("_island"))
+
+
+def hysteresis(df: DataFrame, keys: list[str], order_cols: list[str], metric: Column, on_at: float, off_at: float,
+               bucket: Column, out: str = "flag") -> DataFrame:
+    """ON when metric >= on_at, OFF when metric <= off_at, otherwise
+    the previous state; starts OFF. The state is the last decisive value,
+    carried forward per key (split by bucket)."""
+    decisive = F.when(metric >= F.lit(on_at), F.lit(True)).when(metric <= F.lit(off_at), F.lit(False))
+    c = carry_last(df, keys, order_cols, decisive, bucket, out, include_current=True)
+    return c.withColumn(out, F.coalesce(F.col(out), F.lit(False)))
+
+
+def interleave_slot(rank: Column, first: bool, w: int, v: int) -> Column:
+    """The position of the rank-th (1-based) item of list A (``first``)
+    or B in a w:v weighted interleave; ordering by slot drains A w at a time,
+    then B v at a time, and falls back to the other list when one is empty."""
+    r = rank - F.lit(1)
+    if first:
+        return (F.floor(r / F.lit(w)) * F.lit(w + v) + r % F.lit(w)).cast("bigint")
+    return (F.floor(r / F.lit(v)) * F.lit(w + v) + F.lit(w) + r % F.lit(v)).cast("bigint")
