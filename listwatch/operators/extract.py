@@ -42,9 +42,11 @@ def page_title(html: Column) -> Column:
     return F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
-def page_flags(pages: DataFrame, html: str = "html") -> DataFrame:
+def page_flags(pages: DataFrame, html: str = "html", numeric_word_boundary: bool = False) -> DataFrame:
     """P7 soft block, P8 hard block (needles normalised like the text, Q8),
-    P9 broken page (lower(title + ' ' + first 2000 chars))."""
+    P9 broken page (lower(title + ' ' + first 2000 chars)). With
+    ``numeric_word_boundary`` the status-code signatures must stand alone
+    (Q19: by default '404' anywhere in the head counts, as in the source)."""
     h = F.col(html)
     low = F.lower(F.coalesce(h, F.lit("")))
     soft = (F.coalesce(F.length(h), F.lit(0)) < SOFT_BLOCK_MIN_CHARS) | _any_contains(low, SOFT_BLOCK_MARKERS)
@@ -53,7 +55,12 @@ def page_flags(pages: DataFrame, html: str = "html") -> DataFrame:
     hard = (norm != "") & _any_contains(norm, sorted(needles))
     head = F.lower(F.concat_ws(" ", page_title(F.coalesce(h, F.lit(""))), F.substring(F.coalesce(h, F.lit("")), 1,
                                                                                        BROKEN_PREFIX_CHARS)))
-    broken = _any_contains(head, BROKEN_SIGNATURES)
+    if numeric_word_boundary:
+        words = [x for x in BROKEN_SIGNATURES if not x.isdigit()]
+        codes = [x for x in BROKEN_SIGNATURES if x.isdigit()]
+        broken = _any_contains(head, words) | head.rlike("(^|[^0-9])(" + "|".join(codes) + ")([^0-9]|$)")
+    else:
+        broken = _any_contains(head, BROKEN_SIGNATURES)
     return pages.withColumn("soft_blocked", soft).withColumn("hard_blocked", hard).withColumn("broken", broken)
 
 

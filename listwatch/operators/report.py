@@ -21,3 +21,10 @@ def export_csv(listings: DataFrame, path: str, columns: list[str] | None = None)
     if columns:
         df = df.select(*columns)
     df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_user_reports(rows: DataFrame, path: str, fmt: str = "csv") -> None:
+    """K3: one report folder per user. Rows are clustered by user first so
+    each user's folder gets few files; the write itself is distributed."""
+    (rows.repartition("user_id").write.mode("overwrite").partitionBy("user_id")
+     .option("header", True).format(fmt).save(path))

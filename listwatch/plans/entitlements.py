@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from listwatch.operators import entitlements as E
 from listwatch.operators import runs, subs
+from listwatch.plans.oracle_views import with_views
 from listwatch.plans.registry import register
 from listwatch.sources import tables as T
 
@@ -21,6 +22,10 @@ AS_OF_SQL = f"TIMESTAMP '{AS_OF}'"
 SCHEMA_SPLIT = "1998-01-01"
 
 
+def with_views_subs(body: str) -> str:
+    return with_views(["subscriptions"], body)
+
+
 def _as_of():
     return F.lit(AS_OF).cast("timestamp")
 
@@ -313,3 +318,14 @@ def plan_schema_evolution(spark, sf_dir):
         *base, F.when(plan == "free", ts).alias("free_started_at"),
         F.lit(None).cast("timestamp").alias("last_free_reset_at"))
     return old.unionByName(new, allowMissingColumns=True)
+
+
+@register("user_scoped_scan", "S5 O2", oracle=with_views_subs("""
+SELECT user_id, brand, model, CAST(row_number() OVER (PARTITION BY user_id ORDER BY brand, model) AS BIGINT) AS pos
+FROM subscriptions WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')"""))
+def user_scoped_scan(spark, sf_dir):
+    """S5 for many keys at once: the subscriptions of a key set (users with a
+    purchase) by a semi-join, ordered per user by brand, model."""
+    keys = T.table(spark, sf_dir, "events").filter(F.col("event_type") == "purchase").select("user_id")
+    s = T.subscriptions(spark, sf_dir).join(keys, "user_id", "left_semi")
+    return subs.ordered_user_subscriptions(s).select("user_id", "brand", "model", "pos")

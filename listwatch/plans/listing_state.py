@@ -186,3 +186,17 @@ def crawl_stats(spark, sf_dir):
     out = base.join(new, "run", "left").join(gone, "run", "left").join(upd, "run", "left")
     return out.select("run", "n_seen", "n_urls", "n_pages",
                       *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_new", "n_gone", "n_price_updates")])
+
+
+@register("expiry_totals", "A11 M6", oracle=with_views(["listings"], f"""
+SELECT count(*) FILTER (WHERE last_seen_at < (SELECT max(seen_at) FROM sightings) - INTERVAL {EXPIRY_DAYS} DAY)
+           AS n_removed,
+       count(*) FILTER (WHERE NOT coalesce(last_seen_at < (SELECT max(seen_at) FROM sightings)
+                                           - INTERVAL {EXPIRY_DAYS} DAY, false)) AS n_kept
+FROM listings"""))
+def expiry_totals(spark, sf_dir):
+    s = T.sightings(spark, sf_dir)
+    kept, removed = snapshot.expire_by_age(T.listings(spark, sf_dir), _as_of(s), EXPIRY_DAYS)
+    n_removed = removed.agg(F.count(F.lit(1)).alias("n_removed"))
+    n_kept = kept.agg(F.count(F.lit(1)).alias("n_kept"))
+    return n_removed.join(n_kept, how="inner")

@@ -121,10 +121,11 @@ WITH d AS (
 kv AS (SELECT page_id, unnest(labels[1:least(len(labels), len(vals))]) AS k,
               unnest(vals[1:least(len(labels), len(vals))]) AS v,
               unnest(range(0, least(len(labels), len(vals)))) AS i FROM d),
-f AS (SELECT page_id, count(*) AS n_fields, string_agg(k || '=' || v, '|' ORDER BY k) AS fields_digest
+f AS (SELECT page_id, count(*) AS n_fields, string_agg(k || '=' || v, '|' ORDER BY k) AS fields_digest,
+             CAST(to_json(map(list(k ORDER BY k), list(v ORDER BY k))) AS VARCHAR) AS fields_json
       FROM (SELECT page_id, k, arg_max(v, i) AS v FROM kv WHERE k <> '' GROUP BY page_id, k) GROUP BY page_id)
 SELECT d.page_id, d.title, d.year_raw, d.description, coalesce(f.n_fields, 0) AS n_fields,
-       coalesce(f.fields_digest, '') AS fields_digest
+       coalesce(f.fields_digest, '') AS fields_digest, coalesce(f.fields_json, '{}') AS fields_json
 FROM d LEFT JOIN f USING (page_id)""")
 def page_detail(spark, sf_dir):
     d = extract.page_detail(T.table(spark, sf_dir, "pages"), DETAIL)
@@ -132,4 +133,32 @@ def page_detail(spark, sf_dir):
     return d.select("page_id", "title", "year_raw", "description",
                     F.size("fields").cast("bigint").alias("n_fields"),
                     F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
-                    .alias("fields_digest"))
+                    .alias("fields_digest"),
+                    F.to_json(F.map_from_entries(entries)).alias("fields_json"))
+
+
+@register("feed_dedupe", "U2 U1", oracle=f"""
+WITH a AS (
+    SELECT page_id, unnest(regexp_extract_all(html, '{_ANCHOR}', 1)) AS attrs,
+           unnest(regexp_extract_all(html, '{_ANCHOR}', 2)) AS body,
+           unnest(range(0, len(regexp_extract_all(html, '{_ANCHOR}', 1)))) AS pos
+    FROM pages),
+c AS (SELECT page_id, CAST(pos AS BIGINT) AS pos, regexp_extract(attrs, '(?i)href="([^"]*)"', 1) AS raw_href,
+             trim({STRIP_SQL.format(x='body')}) AS title FROM a),
+d AS (SELECT *, {CANON_SQL.format(u='raw_href')} AS url FROM c WHERE raw_href <> '' AND NOT {external_sql('raw_href')}),
+f AS (SELECT page_id, url, min(pos) AS pos, arg_min(raw_href, pos) AS raw_href, arg_min(title, pos) AS title
+      FROM d WHERE url <> '' GROUP BY page_id, url)
+SELECT url, arg_min(page_id, (page_id, pos)) AS first_page_id, arg_min(pos, (page_id, pos)) AS first_pos,
+       arg_max(title, (page_id, pos)) AS title, arg_max(raw_href, (page_id, pos)) AS raw_href,
+       count(*) AS n_seen
+FROM f GROUP BY url""")
+def feed_dedupe(spark, sf_dir):
+    """U2 across the whole feed: per url the values of its *last* card, kept
+    at the position of its *first* card (page order, then card order)."""
+    f = extract.feed_links(T.table(spark, sf_dir, "pages"), FEED)
+    order = F.struct("page_id", "pos")
+    return (f.groupBy("url")
+            .agg(F.min(order).alias("_first"), F.max_by(F.struct("title", "raw_href"), order).alias("_last"),
+                 F.count(F.lit(1)).alias("n_seen"))
+            .select("url", F.col("_first.page_id").alias("first_page_id"), F.col("_first.pos").alias("first_pos"),
+                    "_last.title", "_last.raw_href", "n_seen"))
