@@ -125,7 +125,7 @@ f AS (SELECT page_id, count(*) AS n_fields, string_agg(k || '=' || v, '|' ORDER
              CAST(to_json(map(list(k ORDER BY k), list(v ORDER BY k))) AS VARCHAR) AS fields_json
       FROM (SELECT page_id, k, arg_max(v, i) AS v FROM kv WHERE k <> '' GROUP BY page_id, k) GROUP BY page_id)
 SELECT d.page_id, d.title, d.year_raw, d.description, coalesce(f.n_fields, 0) AS n_fields,
-       coalesce(f.fields_digest, '') AS fields_digest, coalesce(f.fields_json, '{}') AS fields_json
+       coalesce(f.fields_digest, '') AS fields_digest, coalesce(f.fields_json, '{{}}') AS fields_json
 FROM d LEFT JOIN f USING (page_id)""")
 def page_detail(spark, sf_dir):
     d = extract.page_detail(T.table(spark, sf_dir, "pages"), DETAIL)

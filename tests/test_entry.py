@@ -50,6 +50,6 @@ def test_oracle_sample(spark, duck, name):
     cols = [c[0] for c in res.description]
     assert sorted(cols) == sorted(df.columns)
     order = sorted(df.columns)
-    got = sorted(tuple(norm(r[c]) for c in order) for r in df.collect())
-    want = sorted(tuple(norm(r[cols.index(c)]) for c in order) for r in res.fetchall())
+    got = sorted((tuple(norm(r[c]) for c in order) for r in df.collect()), key=repr)
+    want = sorted((tuple(norm(r[cols.index(c)]) for c in order) for r in res.fetchall()), key=repr)
     assert got == want

@@ -25,7 +25,7 @@ def test_digits_only(spark):
 def test_escape_and_shorten(spark):
     assert one(spark, text.escape_markdown(F.col("s")), [("a*b_c[d`e",)]) == ["a\\*b\\_c\\[d\\`e"]
     s = "word " * 100
-    out = one(spark, text.shorten(F.col("s"), 12), [(s,), ("short",)])
+    out = one(spark, text.shorten(F.col("s"), 11), [(s,), ("short",)])
     assert out[0] == "word word…" and out[1] == "short"
 
 
