@@ -131,8 +131,10 @@ def last_wins(items: DataFrame, key: str, pos: str = "pos") -> DataFrame:
 
 def fold_sightings(s: DataFrame, order: Column, value_cols: list[str] = ("price_raw", "price", "seller_type")) -> DataFrame:
     """Snapshot rows from a sightings log: first/last seen and the values of
-    the last sighting (by ``order``) per url."""
+    the last sighting (by ``order``) per url. First/last seen are plain
+    min/max (hash aggregation); the value struct is a separate ``max_by``, so
+    a caller that needs only the dates lets Catalyst prune it."""
     return (s.groupBy("url")
-            .agg(F.min("seen_at").alias("first_seen_at"),
-                 F.max_by(F.struct(F.col("seen_at").alias("last_seen_at"), *value_cols), order).alias("_v"))
-            .select("url", "first_seen_at", "_v.*"))
+            .agg(F.min("seen_at").alias("first_seen_at"), F.max("seen_at").alias("last_seen_at"),
+                 F.max_by(F.struct(*value_cols), order).alias("_v"))
+            .select("url", "first_seen_at", "last_seen_at", *[F.col(f"_v.{c}").alias(c) for c in value_cols]))
