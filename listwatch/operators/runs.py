@@ -62,9 +62,14 @@ def accepted_runs(runs: DataFrame, keys: list[str], ts: str, id_col: str, window
     found = heads
 
     def keep(df: DataFrame) -> DataFrame:
-        if checkpoint:
-            return df.checkpoint(eager=True)
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+        # persisted first so the round is computed once, then written to the
+        # shared checkpoint folder, which cuts the lineage of the loop
+        p = df.persist(StorageLevel.MEMORY_AND_DISK)
+        if not checkpoint:
+            return p
+        c = p.checkpoint(eager=True)
+        p.unpersist()
+        return c
 
     found, jump = keep(found), keep(jump)
     while True:

@@ -114,3 +114,11 @@ def test_page_flags_q8(spark):
     assert out[3] == (False, True, False)   # dotted needle matches after normalisation (Q8)
     assert out[4] == (False, False, True)
     assert out[5] == (False, False, False)
+
+
+def test_broken_page_word_boundary_q19(spark):
+    df = spark.createDataFrame([(1, "<title>Order 14045</title>"), (2, "<title>Error 404</title>")],
+                               "page_id long, html string")
+    loose = {r["page_id"]: r["broken"] for r in extract.page_flags(df).collect()}
+    strict = {r["page_id"]: r["broken"] for r in extract.page_flags(df, numeric_word_boundary=True).collect()}
+    assert loose == {1: True, 2: True} and strict == {1: False, 2: True}

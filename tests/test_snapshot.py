@@ -90,3 +90,33 @@ def test_price_rules_q2_q12(spark):
                               "url string, seen_at timestamp, price_raw string, seq int")
     log = prices.price_change_log(s, ["seen_at", "seq"], F.date_trunc("day", "seen_at"))
     assert rows(log, "old_price", "new_price", "direction") == [("1234", "1300", "up")]
+
+
+def test_diff_twice_is_empty_m12(spark):
+    from listwatch.operators import diff
+    m = spark.createDataFrame([(1, "a", "₪ 10", ts("2024-01-01")), (1, "b", "5", ts("2024-01-02")),
+                               (2, "a", "₪ 10", ts("2024-01-01"))],
+                              "user_id long, url string, price_raw string, last_seen_at timestamp")
+    empty = spark.createDataFrame([], "user_id long, url string, last_price string, last_seen_at timestamp")
+    first = diff.diff_items(m, empty)
+    assert rows(first, "change_type") == [("new",)] * 3
+    state = diff.next_state(m, empty)
+    again = diff.diff_items(m, state).filter(F.col("change_type").isNotNull())
+    assert again.count() == 0
+
+
+def test_forget_items_q7(spark):
+    from listwatch.operators import diff
+    state = spark.createDataFrame([(1, "a", "1", None), (2, "b", "2", None)],
+                                  "user_id long, url string, last_price string, last_seen_at timestamp")
+    subs = spark.createDataFrame([(2, "B", "")], "user_id long, brand string, model string")
+    assert rows(diff.forget_items(state, subs), "user_id") == [(2,)]
+
+
+def test_upsert_is_idempotent(spark):
+    old = spark.createDataFrame([("u", ts("2023-01-01"), "a", 1, None, ts("2023-01-01"))], OLD)
+    batch = spark.createDataFrame([("u", ts("2024-01-01"), "b", 2, None, ts("2024-01-01"), 1),
+                                   ("v", ts("2024-01-02"), "c", 3, None, ts("2024-01-02"), 2)], BATCH)
+    once = snapshot.upsert(old, batch, F.col("seq"))
+    twice = snapshot.upsert(once, batch, F.col("seq"))
+    assert rows(once) == rows(twice)
