@@ -165,7 +165,7 @@ eff AS (SELECT user_id,
         FROM m)"""
 
 
-@register("effective_plan", "M14 M15 M16 M17 J10 P14 Q14", oracle=f"""WITH {_PLANS_SQL.strip()}, {_EFFECTIVE_SQL.strip()}
+@register("effective_plan", "M14 M15 M16 M17 J10 P14 Q14 Q6 X27", oracle=f"""WITH {_PLANS_SQL.strip()}, {_EFFECTIVE_SQL.strip()}
 SELECT eff.*, coalesce(lim.max_subs, 2) AS max_subs FROM eff LEFT JOIN {_LIMITS_SQL} ON lim.plan = eff.plan""")
 def effective_plan(spark, sf_dir):
     users = T.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
@@ -215,7 +215,7 @@ def trial_expired(spark, sf_dir):
     return E.trial_expired(plans_state(spark, sf_dir), _as_of())
 
 
-@register("trial_reset", "J12 M13 M19 M20 T5 A3", oracle=f"""WITH {_PLANS_SQL.strip()}, {_SUBS_SQL.strip()},
+@register("trial_reset", "J12 M13 M19 M20 T5 A3 Q15", oracle=f"""WITH {_PLANS_SQL.strip()}, {_SUBS_SQL.strip()},
 ex AS (SELECT DISTINCT user_id FROM plans WHERE lower(coalesce(plan_name, 'free')) = 'free'
        AND free_started_at IS NOT NULL AND free_started_at <= {AS_OF_SQL} - INTERVAL {E.TRIAL_DAYS} DAY)
 SELECT ex.user_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_deleted, {AS_OF_SQL} AS free_started_at,
@@ -232,7 +232,7 @@ SELECT DISTINCT user_id, 'b' || CAST(k % 7 AS VARCHAR) AS brand, 'm' || CAST(k %
 FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE event_type IN ({types})"""
 
 
-@register("quota_admission", "W2 P15 J10", oracle=f"""
+@register("quota_admission", "W2 P15 J10 Q23", oracle=f"""
 WITH sel AS ({_QUOTA_SEL.format(types="'click', 'view'")}),
 held AS ({_QUOTA_SEL.format(types="'purchase'")}),
 nh AS (SELECT user_id, count(*) AS n FROM held GROUP BY user_id),
