@@ -36,7 +36,7 @@ def _as_of():
 
 def plan_events(spark, sf_dir) -> DataFrame:
     o = T.table(spark, sf_dir, "orders")
-    plan = T._case(F.col("o_orderpriority"), T.PLAN_BY_PRIORITY)
+    plan = T.case_map(F.col("o_orderpriority"), T.PLAN_BY_PRIORITY)
     ts = F.col("o_orderdate").cast("timestamp")
     return (o.filter(ts <= _as_of())
             .select(F.col("o_custkey").alias("user_id"), plan.alias("plan_name"), ts.alias("ts"),
@@ -184,7 +184,7 @@ SELECT user_id, lower(arg_max(plan_name, (ts, seq))) AS plan_name,
 FROM pay GROUP BY user_id""")
 def payments_to_plans(spark, sf_dir):
     o = T.table(spark, sf_dir, "orders")
-    plan = T._case(F.col("o_orderpriority"), T.PLAN_BY_PRIORITY)
+    plan = T.case_map(F.col("o_orderpriority"), T.PLAN_BY_PRIORITY)
     ts = F.col("o_orderdate").cast("timestamp")
     # webhook events (JSON text) for settled orders, expired sessions for open ones
     raw_json = o.filter(F.col("o_orderstatus").isin("F", "O")).select(F.to_json(F.struct(
@@ -291,7 +291,7 @@ FROM (SELECT o_orderkey, {_PLAN_CASE} AS plan FROM orders) o
 LEFT JOIN (VALUES ('starter', 999), ('pro', 1799), ('dealer', 3999)) AS p(pplan, price_minor) ON p.pplan = o.plan""")
 def plan_price(spark, sf_dir):
     o = T.table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("order_key"), T._case(F.col("o_orderpriority"), T.PLAN_BY_PRIORITY).alias("plan"))
+        F.col("o_orderkey").alias("order_key"), T.case_map(F.col("o_orderpriority"), T.PLAN_BY_PRIORITY).alias("plan"))
     pr = E.plan_prices(spark).withColumnRenamed("plan", "_pp")
     j = o.join(F.broadcast(pr), F.col("plan") == F.col("_pp"), "left")
     return j.select("order_key", "plan", "price_minor", E.price_text(F.col("price_minor")).alias("price_text"),
@@ -309,7 +309,7 @@ def plan_schema_evolution(spark, sf_dir):
     with ``unionByName(allowMissingColumns=True)`` fills NULLs (the same as
     ``mergeSchema`` on files)."""
     o = T.table(spark, sf_dir, "orders")
-    plan = T._case(F.col("o_orderpriority"), T.PLAN_BY_PRIORITY)
+    plan = T.case_map(F.col("o_orderpriority"), T.PLAN_BY_PRIORITY)
     ts = F.col("o_orderdate").cast("timestamp")
     split = F.lit(SCHEMA_SPLIT).cast("timestamp")
     base = [F.col("o_orderkey").alias("order_key"), F.col("o_custkey").alias("user_id"), plan.alias("plan_name")]

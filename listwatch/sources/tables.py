@@ -50,7 +50,7 @@ PLAN_BY_PRIORITY = {
 }
 
 
-def _case(col: Column, mapping: dict, default=None) -> Column:
+def case_map(col: Column, mapping: dict, default=None) -> Column:
     expr = None
     for k, v in mapping.items():
         expr = F.when(col == F.lit(k), F.lit(v)) if expr is None else expr.when(col == F.lit(k), F.lit(v))
@@ -67,7 +67,7 @@ def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").cast("timestamp").alias("seen_at"),
         F.concat(F.lit("₪ "), cents.cast("string")).alias("price_raw"),
         cents.alias("price"),
-        _case(F.col("l_returnflag"), SELLER_BY_FLAG).alias("seller_type"),
+        case_map(F.col("l_returnflag"), SELLER_BY_FLAG).alias("seller_type"),
         F.col("l_orderkey").alias("o_key"),
         F.col("l_linenumber").alias("line_no"),
         F.col("l_extendedprice").alias("x_price"),
@@ -124,7 +124,7 @@ def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = c.select(
         F.col("c_custkey").alias("user_id"),
         F.concat(F.lit("BRAND#"), (F.col("c_nationkey") % 25 + 1).cast("string")).alias("brand"),
-        _case(F.col("c_mktsegment"), SUB_MODEL_BY_SEGMENT, "").alias("model"),
+        case_map(F.col("c_mktsegment"), SUB_MODEL_BY_SEGMENT, "").alias("model"),
     )
     return first.unionByName(second)
 
