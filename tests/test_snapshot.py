@@ -120,3 +120,19 @@ def test_upsert_is_idempotent(spark):
     once = snapshot.upsert(old, batch, F.col("seq"))
     twice = snapshot.upsert(once, batch, F.col("seq"))
     assert rows(once) == rows(twice)
+
+
+def test_diff_and_next_equals_separate_steps(spark):
+    from listwatch.operators import diff
+    m = spark.createDataFrame([(1, "a", "11", ts("2024-02-01")), (1, "b", "", ts("2024-02-02")),
+                               (2, "c", "7", ts("2024-02-03"))],
+                              "user_id long, url string, price_raw string, last_seen_at timestamp")
+    st = spark.createDataFrame([(1, "a", "10", ts("2024-01-01")), (1, "b", "5", ts("2024-01-01")),
+                                (3, "z", "1", ts("2024-01-01"))],
+                               "user_id long, url string, last_price string, last_seen_at timestamp")
+    both = diff.diff_and_next(m, st)
+    changes = rows(both.filter(F.col("change_type").isNotNull()), "user_id", "url", "change_type")
+    assert changes == rows(diff.diff_items(m, st).filter(F.col("change_type").isNotNull()),
+                           "user_id", "url", "change_type")
+    nxt = rows(both.select("user_id", "url", "next_price", "next_seen_at"))
+    assert nxt == rows(diff.next_state(m, st))
