@@ -18,7 +18,10 @@ PLAN_PRICES_MINOR = {"starter": 999, "pro": 1799, "dealer": 3999}
 PAID_PERIOD_DAYS = 30
 TRIAL_DAYS = 10
 LIFETIME_MONTHS = 9999
+# fixed values: the completed-checkout event type and the metadata key
+# that carries the chat user id
 COMPLETED_EVENT = "checkout.session.completed"
+METADATA_USER_KEY = "telegram_id"
 
 PAYMENT_EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.StringType()),
@@ -26,7 +29,7 @@ PAYMENT_EVENT_SCHEMA = T.StructType([
     T.StructField("created", T.LongType()),
     T.StructField("metadata", T.StructType([
         T.StructField("plan", T.StringType()),
-        T.StructField("telegram_id", T.StringType()),
+        T.StructField(METADATA_USER_KEY, T.StringType()),
     ])),
 ])
 
@@ -145,18 +148,18 @@ def price_text(minor: Column) -> Column:
 
 def parse_payment_json(raw: DataFrame, col: str = "value") -> DataFrame:
     """Completed checkout events from JSON text; user id is the
-    metadata telegram id (bad ids -> dropped), time is the event time."""
+    metadata user id (bad ids -> dropped), time is the event time."""
     ev = raw.select(F.from_json(F.col(col), PAYMENT_EVENT_SCHEMA).alias("e")).select("e.*")
     return (ev.filter(F.col("type") == COMPLETED_EVENT)
             .select("event_id",
-                    F.col("metadata.telegram_id").try_cast("bigint").alias("user_id"),
+                    F.col(f"metadata.{METADATA_USER_KEY}").try_cast("bigint").alias("user_id"),
                     F.lower(F.col("metadata.plan")).alias("plan_name"),
                     F.timestamp_seconds(F.col("created")).alias("ts"))
             .filter(F.col("user_id").isNotNull()))
 
 
 def parse_payment_payload(raw: DataFrame, payload: str, ts: str, event_id: str) -> DataFrame:
-    """S7: 'plan:<plan>:<telegram_id>' payloads of native payments."""
+    """S7: 'plan:<plan>:<user id>' payloads of native payments."""
     parts = F.split(F.col(payload), ":")
     return (raw.filter(F.size(parts) == 3)
             .filter(F.element_at(parts, 1) == "plan")

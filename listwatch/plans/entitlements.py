@@ -192,7 +192,7 @@ def payments_to_plans(spark, sf_dir):
         F.when(F.col("o_orderstatus") == "F", F.lit(E.COMPLETED_EVENT))
          .otherwise(F.lit("checkout.session.expired")).alias("type"),
         F.unix_seconds(ts).alias("created"),
-        F.struct(plan.alias("plan"), F.col("o_custkey").cast("string").alias("telegram_id")).alias("metadata"),
+        F.struct(plan.alias("plan"), F.col("o_custkey").cast("string").alias(E.METADATA_USER_KEY)).alias("metadata"),
     )).alias("value"))
     # native payments carry a 'plan:<plan>:<id>' payload
     raw_payload = o.filter(F.col("o_orderstatus") == "P").select(
