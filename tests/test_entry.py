@@ -53,3 +53,10 @@ def test_oracle_sample(spark, duck, name):
     got = sorted((tuple(norm(r[c]) for c in order) for r in df.collect()), key=repr)
     want = sorted((tuple(norm(r[cols.index(c)]) for c in order) for r in res.fetchall()), key=repr)
     assert got == want
+
+
+def test_flagship_plan_limits_before_shuffle(spark):
+    """The per-user top-k takes a partial group limit before its exchange."""
+    df = entry_mod.queries()["subscription_topk"](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
