@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from listwatch.llm import bpe, simhash
+from listwatch.llm import bpe, langid, simhash, toxicity
 from listwatch.llm.common import Scratch
 
 #: The rank file of the byte-level BPE queries.
@@ -23,14 +24,31 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex_digits(out["fp"]).alias("fingerprint"), "component_id")
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    Scratch(spark, "langid")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = langid.fit(docs.where(F.col("doc_id").isNotNull() & ~langid.held_out()))
+    out = langid.predict(docs, net)
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     Scratch(spark, "bpe")
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out_of_fold = table(spark, sf_dir, "documents").select("doc_id", "text"), langid.held_out("doc_id", 3, 1)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~out_of_fold, Scratch(spark, "toxicity"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", out_of_fold.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op6_langid": op6_langid,
     "op7_bpe": op7_bpe,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
