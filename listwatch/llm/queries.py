@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwatch.llm import bpe, langid, simhash, toxicity
+from listwatch.llm import bpe, langid, simhash, toxicity, warc
 from listwatch.llm.common import Scratch
 
 #: The rank file of the byte-level BPE queries.
@@ -37,6 +37,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), Scratch(spark, "warc"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out_of_fold = table(spark, sf_dir, "documents").select("doc_id", "text"), langid.held_out("doc_id", 3, 1)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~out_of_fold, Scratch(spark, "toxicity"))
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op6_langid": op6_langid,
     "op7_bpe": op7_bpe,
+    "op8_warc": op8_warc,
     "op10_toxicity": op10_toxicity,
 }
 
