@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwatch.llm import bpe, langid, simhash, toxicity, warc
+from listwatch.llm import bpe, langid, simhash, suffix_dedup, toxicity, warc
 from listwatch.llm.common import Scratch
 
 #: The rank file of the byte-level BPE queries.
@@ -41,6 +41,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), Scratch(spark, "warc"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"), Scratch(spark, "suffix"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out_of_fold = table(spark, sf_dir, "documents").select("doc_id", "text"), langid.held_out("doc_id", 3, 1)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~out_of_fold, Scratch(spark, "toxicity"))
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_langid": op6_langid,
     "op7_bpe": op7_bpe,
     "op8_warc": op8_warc,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
