@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwatch.llm import bpe, langid, simhash, suffix_dedup, toxicity, warc
+from listwatch.llm import bpe, langid, simhash, suffix_dedup, toxicity, vptree, warc
 from listwatch.llm.common import Scratch
 
 #: The rank file of the byte-level BPE queries.
@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return vptree.nearest(rows, rows.where(F.col("vec_id") % 20 == 0), Scratch(spark, "vptree"), k=20, factor=5.0)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.components(table(spark, sf_dir, "documents"), Scratch(spark, "simhash"), shingle=3, max_bits=2)
     return out.select("doc_id", simhash.hex_digits(out["fp"]).alias("fingerprint"), "component_id")
@@ -53,6 +58,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_vptree": op1_vptree,
     "op2_simhash": op2_simhash,
     "op6_langid": op6_langid,
     "op7_bpe": op7_bpe,
