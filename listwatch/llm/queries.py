@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwatch.llm import bpe, langid, simhash, suffix_dedup, toxicity, vptree, warc
+from listwatch.llm import bpe, langid, secrets, simhash, suffix_dedup, toxicity, vptree, warc
 from listwatch.llm.common import Scratch
 
 #: The rank file of the byte-level BPE queries.
@@ -29,6 +29,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex_digits(out["fp"]).alias("fingerprint"), "component_id")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), Scratch(spark, "secrets"))
+    return out.select("doc_id", "start", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"),
+                      "score", "is_secret")
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     Scratch(spark, "langid")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -60,6 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vptree": op1_vptree,
     "op2_simhash": op2_simhash,
+    "op3_secrets": op3_secrets,
     "op6_langid": op6_langid,
     "op7_bpe": op7_bpe,
     "op8_warc": op8_warc,
