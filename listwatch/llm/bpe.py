@@ -33,29 +33,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LONG_WORD = 128
+LONG_WORD = 128  # positions take 8 bits in ENCODE_SQL
 WORDS_PER_QUERY = 20_000
-CACHE_WORDS = 300_000
+#: Words of one generation of a worker's cache.
+CACHE_WORDS = 350_000
 
+#: ``place`` is 256 * word + position. Of a pair, ``best`` packs its rank, the positions of its left and right token
+#: and the position after it, so its minimum is the leftmost pair of smallest rank.
 ENCODE_SQL = """
-WITH RECURSIVE step(round, word, pos, tok, next_pos) AS (
-    SELECT 0, word, pos, tok, pos + 1 FROM start_rows
+WITH RECURSIVE step(round, place, tok, next_place) AS (
+    SELECT 0, place, tok, place + 1 FROM start_rows
     UNION ALL
-    SELECT s.round + 1, s.word, s.pos,
-           CASE WHEN s.pos = best & 1048575 THEN best >> 20 ELSE s.tok END,
-           CASE WHEN s.pos = best & 1048575 THEN after_pos ELSE s.next_pos END
+    SELECT s.round + 1, s.place,
+           CASE WHEN s.place & 255 = (best >> 16) & 255 THEN (best >> 24)::INTEGER ELSE s.tok END,
+           CASE WHEN s.place & 255 = (best >> 16) & 255 THEN ((s.place & -256) + (best & 255))::INTEGER ELSE s.next_place END
     FROM step s JOIN (
-        SELECT l.word, min((m.rank << 20) | l.pos) AS best,
-               arg_min(r.pos, (m.rank << 20) | l.pos) AS gone_pos,
-               arg_min(r.next_pos, (m.rank << 20) | l.pos) AS after_pos
+        SELECT l.place >> 8 AS word,
+               min((m.rank << 24) | ((l.place & 255) << 16) | ((r.place & 255) << 8) | (r.next_place - (r.place & -256))) AS best
         FROM step l
-        JOIN step r ON r.word = l.word AND r.pos = l.next_pos
-        JOIN merges m ON m.left_tok = l.tok AND m.right_tok = r.tok
-        GROUP BY l.word) c ON c.word = s.word AND c.gone_pos <> s.pos
+        JOIN step r ON r.place = l.next_place
+        JOIN merges m ON m.pair = (l.tok::BIGINT << 32) | r.tok
+        GROUP BY l.place >> 8) c ON c.word = s.place >> 8
+    WHERE s.place & 255 <> (best >> 8) & 255
 )
-SELECT word, tok FROM step
-QUALIFY round = max(round) OVER (PARTITION BY word)
-ORDER BY word, pos
+SELECT place >> 8 AS word, tok
+FROM step JOIN (SELECT place >> 8 AS of_word, max(round) AS last FROM step GROUP BY 1)
+  ON of_word = place >> 8 AND last = round
+ORDER BY place
 """
 
 DECODE_SQL = """
@@ -81,11 +85,12 @@ class Tokenizer:
         self.pairs = {(a, b): r for a, b, r in merges.tolist()}
         self.vocabulary = {i: t for t, i in self.ranks.items()}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
-        for name, columns in (("merges", {"left_tok": merges[:, 0], "right_tok": merges[:, 1], "rank": merges[:, 2]}),
+        for name, columns in (("merges", {"pair": (merges[:, 0] << 32) | merges[:, 1], "rank": merges[:, 2]}),
                               ("vocabulary", {"id": list(self.vocabulary), "hex": [t.hex() for t in self.vocabulary.values()]})):
             rows = pa.table(columns)  # noqa: F841 - read by name below
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode_words(self, words: list[str]) -> None:
         """Fill the cache with the ids (little-endian unsigned 32-bit) of ``words``."""
@@ -104,8 +109,8 @@ class Tokenizer:
             starts = np.cumsum(lengths) - lengths
             flat = np.frombuffer(b"".join(raw for _, raw in some), dtype=np.uint8)
             start_rows = pa.table({  # noqa: F841 - read by name in the query
-                "word": np.repeat(np.arange(len(some)), lengths),
-                "pos": np.arange(len(flat)) - np.repeat(starts, lengths), "tok": self.byte_ids[flat]})
+                "place": (np.repeat(256 * np.arange(len(some)) - starts, lengths) + np.arange(len(flat))).astype(np.int32),
+                "tok": self.byte_ids[flat].astype(np.int32)})
             out = self.db.execute(ENCODE_SQL).fetchnumpy()
             ids = np.asarray(out["tok"]).astype("<u4").tobytes()
             ends = np.cumsum(np.bincount(np.asarray(out["word"]), minlength=len(some))) * 4
@@ -137,11 +142,13 @@ class Tokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         words = [self.split(t) for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
+        if len(self.cache) > CACHE_WORDS:  # two generations: words still in use come back from the older one
+            self.cache, self.older = {}, self.cache
         missing = set(chain.from_iterable(words)).difference(self.cache)
-        if missing:
-            self._encode_words(sorted(missing))
+        known = missing & self.older.keys()
+        self.cache.update((w, self.older[w]) for w in known)
+        if len(missing) > len(known):
+            self._encode_words(sorted(missing - known))
         return [b"".join(map(self.cache.__getitem__, w)) for w in words]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
