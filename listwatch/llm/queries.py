@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwatch.llm import bpe, langid, secrets, simhash, suffix_dedup, toxicity, vptree, warc
+from listwatch.llm import bpe, langid, mixing, secrets, simhash, suffix_dedup, toxicity, vptree, warc
 from listwatch.llm.common import Scratch
 
 #: The rank file of the byte-level BPE queries.
@@ -35,6 +35,16 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "score", "is_secret")
 
 
+#: Target shares of each margin: its actual token shares, tempered.
+MIX = {"source": 0.95, "lang": 0.9, "topic": 0.95}
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    out = mixing.mix(docs, MIX, Scratch(spark, "mixing"))
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     Scratch(spark, "langid")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -67,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vptree": op1_vptree,
     "op2_simhash": op2_simhash,
     "op3_secrets": op3_secrets,
+    "op4_mixing": op4_mixing,
     "op6_langid": op6_langid,
     "op7_bpe": op7_bpe,
     "op8_warc": op8_warc,
@@ -74,4 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_mixing": mixing.oracle(MIX),
+}
