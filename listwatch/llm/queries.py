@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwatch.llm import bpe, langid, mixing, secrets, simhash, suffix_dedup, toxicity, vptree, warc
+from listwatch.llm import bm25, bpe, langid, mixing, secrets, simhash, suffix_dedup, toxicity, vptree, warc
 from listwatch.llm.common import Scratch
 
 #: The rank file of the byte-level BPE queries.
@@ -45,6 +45,17 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
 
 
+#: op5: benchmark items whose id is divisible by this are the queries.
+QUERY_EVERY = 50
+
+
+def op5_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "bm25")
+    index = scratch.save(bm25.build(table(spark, sf_dir, "documents")), "index")
+    asked = table(spark, sf_dir, "benchmark").where(F.col("item_id") % QUERY_EVERY == 0)
+    return bm25.search(index, asked, scratch, "item_id", "text", k=20)
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     Scratch(spark, "langid")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -78,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_secrets": op3_secrets,
     "op4_mixing": op4_mixing,
+    "op5_bm25": op5_bm25,
     "op6_langid": op6_langid,
     "op7_bpe": op7_bpe,
     "op8_warc": op8_warc,
@@ -87,4 +99,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op4_mixing": mixing.oracle(MIX),
+    "op5_bm25": bm25.oracle(20, QUERY_EVERY),
 }
