@@ -27,6 +27,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from listwatch.llm.common import Scratch, connected_components
 
@@ -128,16 +130,40 @@ def links(distinct: DataFrame, max_bits: int, scratch: Scratch, hot: int = HOT)
 
 def components(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                max_bits: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id_col, *keep, fp, component_id) for each row; component_id is the smallest id linked through any chain."""
+    """(id_col, *keep, fp, root, component_id) for each row: component_id is the smallest id linked through any chain,
+    root the component's smallest fingerprint."""
     fps = scratch.save(fingerprints(df, id_col, text_col, shingle, keep), "fingerprints")
     distinct = scratch.save(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
     roots = connected_components(links(distinct, max_bits, scratch), scratch)
     linked = roots.join(distinct, roots["node"] == distinct["fp"]).select("node", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = linked.join(least, "root").select(F.col("node").alias("fp"), "component_id")
+    linked = linked.join(least, "root").select(F.col("node").alias("fp"), "root", "component_id")
     of_fp = distinct.join(linked, "fp", "left").select(
-        "fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(of_fp, "fp").select(id_col, *keep, "fp", "component_id")
+        "fp", F.coalesce("root", "fp").alias("root"),
+        F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return fps.join(of_fp, "fp").select(id_col, *keep, "fp", "root", "component_id")
+
+
+def one_of_each(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                max_bits: int = 2) -> DataFrame:
+    """The rows of ``df`` without near-duplicates: of each component the row of smallest id (nulls last; ties: smallest
+    hash of the row), once if it is repeated. All columns stay as they are."""
+    row = F.struct(*df.columns)
+    keyed = df.select(row.alias("row"), *_row_keys(df), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = components(keyed, scratch, "id", "text", shingle, max_bits, keep=("key1", "key2"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "key1", "key2")).alias("first"))
+    kept = scratch.save(first.select("first.key1", "first.key2").distinct(), "kept")
+    again = F.row_number().over(W.partitionBy("key1", "key2").orderBy("key1"))  # repeated rows meet here, they are equal
+    return (keyed.select("key1", "key2", "row").join(kept, ["key1", "key2"], "left_semi")
+            .withColumn("nth", again).where("nth = 1").select("row.*"))
+
+
+def _row_keys(df: DataFrame) -> list[Column]:
+    """96 bits that tell rows apart; equal rows have equal keys. Hashes pass over nulls, so these go in as flags."""
+    parts = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if isinstance(f.dataType, (MapType, StructType, ArrayType))
+             else F.col(f"`{f.name}`") for f in df.schema.fields]
+    flags = [F.col(f"`{c}`").isNull() for c in df.columns]
+    return [F.xxhash64(*parts, *flags).alias("key1"), F.hash(*parts, *flags).alias("key2")]
 
 
 def hex_digits(fp: Column) -> Column:
