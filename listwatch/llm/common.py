@@ -23,6 +23,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        self.saved: dict[str, str] = {}
         self.root = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
         # a general setting of all Python steps here: bounded Arrow batches
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -31,11 +32,13 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
+        self.saved[name] = path = self.path(f"{len(self.saved)}-{name}-{uuid.uuid4().hex[:8]}")
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        """Delete a table by its name, or a folder by its path's last part."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.saved.pop(name, self.path(name)))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

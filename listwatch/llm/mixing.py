@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from listwatch.llm.common import Scratch
 
+#: Rounds at most; raking stops when the margins fit to TOLERANCE, or no longer change by as much.
 ROUNDS = 60
 TOLERANCE = 1e-9
 SEED = "mix-1"
@@ -40,7 +41,7 @@ def tokens(text: Column) -> Column:
 
 def topic(text: Column) -> Column:
     """A coarse topic by form and wording; fixed rules, first match counts."""
-    return (F.when(text.rlike("(?i)licen[sc]ed? under|all rights reserved|copyright"), "legal")
+    return (F.when(text.isNull(), "none").when(text.rlike("(?i)licen[sc]ed? under|all rights reserved|copyright"), "legal")
             .when(text.contains(" | "), "table")
             .when(text.rlike(r"[*#$%&]{3}"), "markup")
             .when(text.rlike(r"[A-Z]{4,}!!"), "shout")
@@ -69,6 +70,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, roun
         sums = both.agg(F.sum("target").alias("named"), F.sum(F.when(F.col("target").isNull(), F.col("actual"))).alias("free")).first()
         named, free = float(sums["named"] or 1), float(sums["free"] or 0)
         goals[m] = scratch.save(both.select(m, F.coalesce(F.col("target") / named * (1 - free), F.col("actual")).alias("goal")), f"goal-{m}")
+    before = float("inf")
     for r in range(1, rounds + 1):
         fitted = cur
         for m in margins:
@@ -80,8 +82,11 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, roun
         fitted = scratch.save(fitted, f"rake-{r}")
         scratch.drop(f"rake-{r - 1}")
         cur = fitted
-        if misfit(cur, goals) < tolerance:
+        # margins that contradict each other (a source with a language of its own) settle without fitting
+        now = misfit(cur, goals)
+        if now < tolerance or abs(before - now) < tolerance:
             break
+        before = now
     return cur
 
 
@@ -108,7 +113,7 @@ def mix(docs: DataFrame, powers: dict[str, float], scratch: Scratch, id_col: str
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col), "source", "lang",
-                       F.coalesce(topic(text), F.lit("none")).alias("topic"), tokens(text).alias("n_tokens"), draw(id_col, text).alias("u"))
+                       topic(text).alias("topic"), tokens(text).alias("n_tokens"), draw(id_col, text).alias("u"))
     margins = list(powers)
     cells = scratch.save(rows.groupBy(*margins).agg(F.sum("n_tokens").alias("tokens")), "cells")
     raked = rake(cells, targets or {m: tempered(cells, m, p) for m, p in powers.items()}, scratch)

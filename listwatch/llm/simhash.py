@@ -117,7 +117,7 @@ def links(distinct: DataFrame, max_bits: int, scratch: Scratch, hot: int = HOT)
                            .select("wild", "rest"), "crowded")
     found = _pairs(index.join(crowded, ["wild", "rest"], "left_anti"), ["wild", "rest"], segments, max_bits)
     # crowded variants: index the bits outside the segment by one-wildcard variants as well
-    for seg in segments:
+    for seg in segments if parts > 1 else []:  # a single segment's variant is shared by two fingerprints at most
         others = _masks([b for b in range(64) if b not in seg], parts)
         # a pair's other bits differ in max_bits at most, so one of `parts` runs of them differs in one at most
         sub = (index.join(crowded.where(F.col("wild").isin(seg)), ["wild", "rest"], "left_semi")

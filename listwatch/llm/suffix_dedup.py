@@ -216,14 +216,21 @@ def _find_anchors(texts: DataFrame) -> DataFrame:
             if not b.num_rows:
                 continue
             k1, k2 = b.column(0).to_numpy(), b.column(1).to_numpy()
-            found = [anchors(np.frombuffer(t, np.uint8)) for t in b.column(2).to_pylist()]
+            found = [_fold(*anchors(np.frombuffer(t, np.uint8))) for t in b.column(2).to_pylist()]
             n = [len(f[0]) for f in found]
-            start, count, offset, gram, context = (np.concatenate([f[i] for f in found]) for i in range(5))
+            gram, context, at, times = (np.concatenate([f[i] for f in found]) for i in range(4))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (gram.view(np.int64), context.view(np.int64), np.repeat(k1, n), np.repeat(k2, n),
-                                       _pack(start, count, offset))], names=["gram", "context", "k1", "k2", "at"])
+                [pa.array(x) for x in (gram.view(np.int64), context.view(np.int64), np.repeat(k1, n), np.repeat(k2, n), at, times)],
+                names=["gram", "context", "k1", "k2", "at", "times"])
 
-    return texts.mapInArrow(run, "gram long, context long, k1 long, k2 long, at long")
+    return texts.mapInArrow(run, "gram long, context long, k1 long, k2 long, at long, times long")
+
+
+def _fold(start, count, offset, gram, context) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, context, packed place, times): neighbours of equal context, as in a long run of one byte, in one row."""
+    first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])])[:len(gram)])
+    times = np.diff(np.append(first, len(gram)))
+    return gram[first], context[first], _pack(start, count, offset)[first], times
 
 
 def _cut_contexts(wanted: DataFrame) -> DataFrame:
@@ -345,12 +352,12 @@ def _search(df: DataFrame, scratch: Scratch, id_col: str, text_col: str, crowded
              .select(*keys, "text"))
 
     found = scratch.save(_find_anchors(texts), "anchors")
-    grams = scratch.save(found.groupBy("gram").count().where(F.col("count") > 1).select("gram"), "grams")
+    grams = scratch.save(found.groupBy("gram").agg(F.sum("times").alias("n")).where("n > 1").select("gram"), "grams")
     hits = scratch.save(found.join(grams, "gram", "left_semi"), "hits")
     scratch.drop("anchors")
 
     contexts = scratch.save(hits.groupBy("gram", "context").agg(
-        F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at")).alias("one")), "contexts")
+        F.sum("times").alias("n"), F.min(F.struct("k1", "k2", "at")).alias("one")), "contexts")
     buckets = (contexts.groupBy("gram").agg(F.count("*").alias("size"), F.count_if(F.col("n") == 1).alias("singles"))
                .where("size > 1 and singles > 0").select("gram", (F.col("size") > crowded).alias("crowded")))
     wants = (contexts.join(buckets, "gram").select("one.k1", "one.k2", F.struct(
@@ -359,7 +366,7 @@ def _search(df: DataFrame, scratch: Scratch, id_col: str, text_col: str, crowded
     dealt = _cut_contexts(texts.join(wants, keys).select(*keys, "text", "wants"))
     sorted_runs = _sort_buckets(dealt.repartition("bucket").sortWithinPartitions("bucket"))
 
-    unpacked = [F.shiftright("at", 20).alias("first"), F.shiftright("at", 10).bitwiseAND(F.lit(1023)).alias("n")]
+    unpacked = [F.shiftright("at", 20).alias("first"), (F.shiftright("at", 10).bitwiseAND(F.lit(1023)) * F.col("times")).alias("n")]
     folded = contexts.where("n > 1").select("gram", "context")
     runs = hits.join(folded, ["gram", "context"], "left_semi").select(*keys, *unpacked).unionByName(sorted_runs)
     runs = scratch.save(runs.groupBy(*keys).agg(F.collect_list(F.struct("first", "n")).alias("runs")), "runs")

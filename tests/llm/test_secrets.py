@@ -1,0 +1,58 @@
+import re
+
+from pyspark.sql import functions as F
+
+from listwatch.llm import secrets
+
+
+def fixture(docs):
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    keys = [f"AKIA{i:016X}"[:20] for i in range(7, 27)]
+    for i, k in enumerate(keys):
+        rows.append((5000 + i, f"the thing {k} and that AKIA short then 45990{i:011d} it", "a/b/test.txt"))
+        rows.append((5100 + i, f'password={i:02d}ab34cd98ef12ff\ntoken = "{i:08x}{"5be1" * 8}"', None))
+    rows += [(6001, None, "s"), (6002, "", "s"), (6003, "AKIA" + "Q7" * 8, "s"), (6004, "x " * 50_000 + "password=0123abcd4567ef890a", "s"),
+             (None, "password=9f8e7d6c5b4a3f2e1d", "s"), (6005, "password=00ab34cd98ef12ff", "s"), (6005, "password=00ab34cd98ef12ff", "s")]
+    return rows
+
+
+def make(spark, rows):
+    return spark.createDataFrame([(d, t, s, "v", 0.1, 2) for d, t, s in rows],
+                                 "doc_id long, text string, source string, value string, score double, nth int")
+
+
+PLANTED = re.compile(r'AKIA[0-9A-Z]{16}|(?<=password=)[0-9a-f]{16,}|(?<=token = ")[0-9a-f]{40}')
+
+
+def test_finds_and_redacts_planted_secrets(spark, docs, scratch):
+    rows = fixture(docs)
+    df = make(spark, rows)
+    found = secrets.scan(df, scratch)
+    got = found.collect()
+    texts = {}
+    for d, t, _ in rows:
+        texts.setdefault(d, set()).add(t)
+    for r in got:  # places are right in every text of that id
+        assert any(t and t[r["start"] - 1:r["start"] - 1 + len(r["value"])] == r["value"] for t in texts[r["doc_id"]])
+    want = {(d, m.start() + 1, m.group()) for d, t, _ in rows for m in PLANTED.finditer(t or "")}
+    assert {(r["doc_id"], r["start"], r["value"]) for r in got if r["is_secret"]} == want
+    assert any(not r["is_secret"] for r in got)
+    clean = secrets.redact(df, found)
+    assert clean.columns == df.columns and clean.count() == len(rows)
+    expected = sorted(((d, None if t is None else PLANTED.sub(secrets.PLACEHOLDER, t)) for d, t, _ in rows), key=str)
+    assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=str) == expected
+
+
+def test_no_labels_and_empty(spark, scratch):
+    df = make(spark, [(1, "password=9f8e7d6c5b4a3f2e1d", "s"), (2, "plain words only", "s")])
+    assert {r["is_secret"] for r in secrets.scan(df, scratch).collect()} == {0}
+    assert secrets.scan(make(spark, []), scratch).collect() == []
+
+
+def test_given_labels_and_native_plan(spark, docs, scratch):
+    df = make(spark, fixture(docs))
+    wanted = F.when(F.col("value").rlike("^45990"), 1).when(F.col("value").rlike(r"^\p{L}+$"), 0)
+    found = secrets.scan(df, scratch, label=wanted)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+    assert {r["value"][:5] for r in found.where("is_secret = 1").collect()} >= {"45990"}
