@@ -5,11 +5,12 @@ due subscriptions at scheduler ticks (T1, J7, J8, O5), the run log sink
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from listwatch.operators.entitlements import UNKNOWN_PLAN_LIMIT
 from listwatch.operators.windows import carry_last
+from listwatch.session import SharedTables
 
 
 def selection_key(names: Column) -> Column:
@@ -42,46 +43,47 @@ def next_after_window(runs: DataFrame, keys: list[str], window_s: int, bucket_s:
 
 
 def accepted_runs(runs: DataFrame, keys: list[str], ts: str, id_col: str, window_s: int,
-                  bucket_s: int = 86400, checkpoint: bool = True) -> DataFrame:
+                  bucket_s: int = 86400) -> DataFrame:
     """A run is accepted when no *accepted* run of the same key lies
     within ``window_s`` seconds before it (inclusive); later runs compare to
     the last accepted one, not to the last request.
 
-    The accepted runs of a key are the orbit of its first run under
-    ``next`` (first run after t + window). The orbit is collected by pointer
-    doubling: each round joins the found set with the 2^k-step jump table and
-    squares the table, so the work is a few joins on run ids (no key is
-    gathered into one task) and the number of rounds is log2 of the longest
-    chain. Each round is checkpointed to the shared checkpoint folder to
-    keep lineage short and survive executor loss.
+    A run more than the window after the run before it is accepted whatever
+    came earlier, so each such run starts a *segment* of its own; most
+    segments are single runs and are done. In the others the accepted runs
+    are the orbit of the first run under ``next`` (first run after t +
+    window), collected by pointer doubling: each round joins the found set
+    with the 2^k-step jump table and squares the table, so the work is a few
+    joins on run ids and log2 of the longest segment rounds. Neither the
+    segments nor the jumps gather a key in one task (windows are split by
+    time bucket). Each round is a table in the shared folder; older rounds
+    are dropped.
     """
+    tables = SharedTables(runs.sparkSession, "accepted")
+    bucket = F.floor(F.col("t") / F.lit(bucket_s))
     r = runs.select(*keys, F.col(id_col).alias("id"),
                     F.unix_seconds(F.date_trunc("second", F.col(ts))).alias("t"))
-    jump = next_after_window(r, keys, window_s, bucket_s).filter(F.col("nxt").isNotNull())
-    heads = (r.groupBy(*keys).agg(F.min_by("id", F.struct("t", "id")).alias("id")).select("id"))
-    found = heads
-
-    def keep(df: DataFrame) -> DataFrame:
-        # persisted first so the round is computed once, then written to the
-        # shared checkpoint folder, which cuts the lineage of the loop
-        p = df.persist(StorageLevel.MEMORY_AND_DISK)
-        if not checkpoint:
-            return p
-        c = p.checkpoint(eager=True)
-        p.unpersist()
-        return c
-
-    found, jump = keep(found), keep(jump)
-    while True:
+    r = carry_last(r, keys, ["t", "id"], F.col("t"), bucket, "prev_t")
+    r = r.withColumn("head", F.when(F.col("prev_t").isNull() | (F.col("t") - F.col("prev_t") > window_s), F.col("id")))
+    # a segment is named by its first run
+    r = tables.save(carry_last(r, keys, ["t", "id"], F.col("head"), bucket, "segment", include_current=True)
+                    .select("id", "t", "segment", F.col("head").isNotNull().alias("is_head")), "segments")
+    several = r.groupBy("segment").count().filter(F.col("count") > 1).select("segment")
+    chained = r.join(several, "segment", "left_semi")
+    jump = tables.save(next_after_window(chained, ["segment"], window_s, bucket_s).filter(F.col("nxt").isNotNull()), "jump-0")
+    found = tables.save(chained.filter("is_head").select("id"), "found-0")
+    k = 0
+    while not jump.isEmpty():
         step = found.join(jump, "id").select(F.col("nxt").alias("id"))
-        found = keep(found.unionByName(step))
+        found = tables.save(found.unionByName(step), f"found-{k + 1}")
         a, b = jump.alias("a"), jump.alias("b")
-        jump = keep(a.join(b, F.col("a.nxt") == F.col("b.id"))
-                    .select(F.col("a.id").alias("id"), F.col("b.nxt").alias("nxt")))
-        if jump.isEmpty():
-            # no run has a 2^(k+1)-th successor: every orbit is complete
-            break
-    return runs.join(found.withColumnRenamed("id", id_col), id_col, "left_semi")
+        jump = tables.save(a.join(b, F.col("a.nxt") == F.col("b.id"))
+                           .select(F.col("a.id").alias("id"), F.col("b.nxt").alias("nxt")), f"jump-{k + 1}")
+        tables.drop(f"found-{k}")
+        tables.drop(f"jump-{k}")
+        k += 1
+    accepted = r.filter("is_head").select("id").unionByName(found).distinct()
+    return runs.join(accepted.withColumnRenamed("id", id_col), id_col, "left_semi")
 
 
 # ---------------------------------------------------------------------------
@@ -104,20 +106,27 @@ def covered_ticks(start: Column, end: Column, period_s: int) -> Column:
                       F.make_dt_interval(secs=F.lit(period_s)))
 
 
-def due_at_ticks(keys_span: DataFrame, keys: list[str], runs: DataFrame, pending: DataFrame,
-                 period_s: int, window_s: int, pending_s: int) -> DataFrame:
-    """(keys, tick) for every tick in each key's [first, last] span at
-    which the key is due: no run in [tick - window, tick] (J7, inclusive)
-    and no job still pending (J8). Each run is turned into the few ticks it
-    covers, so the interval anti-join becomes an equi anti-join on
-    (keys, tick); no nested loop, no key gathered into one task."""
-    ticks = keys_span.select(*keys, F.explode(covered_ticks(F.col("first_at"), F.col("last_at"), period_s)).alias("tick"))
-    recent = runs.select(*keys, F.explode(covered_ticks(
-        F.col("started_at"), F.col("started_at") + F.make_dt_interval(secs=F.lit(window_s)), period_s)).alias("tick"))
-    waiting = pending.select(*keys, F.explode(covered_ticks(
-        F.col("queued_at"), F.col("queued_at") + F.make_dt_interval(secs=F.lit(pending_s)), period_s)).alias("tick"))
-    return (ticks.join(recent, [*keys, "tick"], "left_anti")
-            .join(waiting, [*keys, "tick"], "left_anti"))
+def due_at_ticks(keys_span: DataFrame, keys: list[str], runs: DataFrame, pending: DataFrame, first_tick: Column,
+                 last_tick: Column, period_s: int, window_s: int, pending_s: int) -> DataFrame:
+    """(keys, tick) for each scheduler tick in [first_tick, last_tick]
+    at which a key that exists by then is due: no run in [tick - window,
+    tick] (J7, inclusive) and no job still pending (J8). Each run is turned
+    into the few ticks it covers, so the interval anti-join becomes an equi
+    anti-join on (keys, tick); no nested loop, no key gathered into one
+    task. The result is keys x ticks asked for, not the keys' whole life."""
+    step = F.make_dt_interval(secs=F.lit(period_s))
+    start = F.greatest(_ceil_to(F.col("first_at"), period_s), F.col("_lo"))
+    spans = keys_span.select(*keys, "first_at", first_tick.alias("_lo"), last_tick.alias("_hi"))
+    ticks = spans.filter(start <= F.col("_hi")).select(*keys, F.explode(F.sequence(start, F.col("_hi"), step)).alias("tick"))
+
+    def covered(df, since, seconds):
+        rows = df.select(*keys, F.col(since).alias("_s"), first_tick.alias("_lo"), last_tick.alias("_hi"))
+        rows = rows.filter((F.col("_s") + F.make_dt_interval(secs=F.lit(seconds)) >= F.col("_lo")) & (F.col("_s") <= F.col("_hi")))
+        return rows.select(*keys, F.explode(covered_ticks(
+            F.col("_s"), F.col("_s") + F.make_dt_interval(secs=F.lit(seconds)), period_s)).alias("tick"))
+
+    return (ticks.join(covered(runs, "started_at", window_s), [*keys, "tick"], "left_anti")
+            .join(covered(pending, "queued_at", pending_s), [*keys, "tick"], "left_anti"))
 
 
 def append_runs(runs: DataFrame, path: str) -> None:
@@ -159,7 +168,8 @@ def quota_admission(selection: DataFrame, existing: DataFrame, limits: DataFrame
     count reaches the limit nothing more is admitted.
 
     ``selection``: user_id, brand, model, pos (walk order);
-    ``existing``: user_id, brand, model; ``limits``: user_id, max_subs.
+    ``existing``: user_id, brand, model; ``limits``: user_id, max_subs (a
+    user without a limit has that of an unknown plan).
     The count before each item is the user's existing count plus the new
     items before it, a running sum over one user's selection (bounded by the
     catalog, not by the data)."""
@@ -174,5 +184,5 @@ def quota_admission(selection: DataFrame, existing: DataFrame, limits: DataFrame
     s = (s.join(n_held, "user_id", "left").join(limits, "user_id", "left")
          .withColumn("count_before", F.coalesce("_n_held", F.lit(0))
                      + F.coalesce(F.sum(F.col("is_new").cast("int")).over(w), F.lit(0)))
-         .withColumn("admitted", F.col("count_before") < F.col("max_subs")))
+         .withColumn("admitted", F.col("count_before") < F.coalesce("max_subs", F.lit(UNKNOWN_PLAN_LIMIT))))
     return s.drop("_held", "_first", "_n_held")

@@ -19,14 +19,23 @@ def top_k_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int,
     ``row_number() <= k`` is planned with a group limit before the shuffle,
     so a hot group sends at most k rows per map task. The total is a
     separate partial aggregate (not a window count) for the same reason, and
-    both sides arrive hash-partitioned on ``keys`` for the final join.
+    both sides arrive hash-partitioned on the group for the final join.
+    A NULL key is a group like any other.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    top = df.withColumn(rank_col, F.row_number().over(w).cast("bigint")).filter(F.col(rank_col) <= k)
+    d = df.withColumn("_g", group_key(keys))
+    w = Window.partitionBy("_g").orderBy(*order)
+    top = d.withColumn(rank_col, F.row_number().over(w).cast("bigint")).filter(F.col(rank_col) <= k)
     if total_col is None:
-        return top
-    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(total_col))
-    return top.join(totals, keys, "inner")
+        return top.drop("_g")
+    totals = d.groupBy("_g").agg(F.count(F.lit(1)).alias(total_col))
+    return top.join(totals, "_g", "inner").drop("_g")
+
+
+def group_key(keys: list[str]) -> Column:
+    """The key columns as one struct. A struct of NULLs is a value, so rows
+    with NULL keys survive an equi-join on it, and windows, aggregates and
+    joins on the same struct share one partitioning."""
+    return F.struct(*[F.col(k) for k in keys])
 
 
 def remaining_beyond(total: Column, cap: int) -> Column:
@@ -48,20 +57,20 @@ def carry_last(df: DataFrame, keys: list[str], order_cols: list[str], value: Col
     backwards: the first non-NULL value *after* the row.
     """
     seq = F.struct(*[F.col(c) for c in order_cols])
-    d = df.withColumn("_cb", bucket).withColumn("_cv", value)
+    d = df.withColumn("_cb", bucket).withColumn("_cv", value).withColumn("_ck", group_key([*keys, "_cb"]))
     end = 0 if include_current else -1
     order = [F.col(c).desc() for c in order_cols] if reverse else [F.col(c) for c in order_cols]
-    w_in = Window.partitionBy(*keys, "_cb").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    w_in = Window.partitionBy("_ck").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     d = d.withColumn("_c_in", F.last("_cv", ignorenulls=True).over(w_in))
     pick = F.min_by if reverse else F.max_by
-    summary = (d.groupBy(*keys, "_cb")
+    summary = (d.groupBy("_ck")
                .agg(pick("_cv", F.when(F.col("_cv").isNotNull(), seq)).alias("_c_last")))
-    b_order = F.col("_cb").desc() if reverse else F.col("_cb")
-    w_b = Window.partitionBy(*keys).orderBy(b_order).rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(*keys, "_cb", F.last("_c_last", ignorenulls=True).over(w_b).alias("_c_prev"))
-    return (d.join(carry, [*keys, "_cb"], "left")
+    b_order = F.col("_ck._cb").desc() if reverse else F.col("_ck._cb")
+    w_b = Window.partitionBy(*[F.col(f"_ck.{k}") for k in keys]).orderBy(b_order).rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select("_ck", F.last("_c_last", ignorenulls=True).over(w_b).alias("_c_prev"))
+    return (d.join(carry, "_ck", "left")
             .withColumn(out, F.coalesce("_c_in", "_c_prev"))
-            .drop("_cb", "_cv", "_c_in", "_c_prev"))
+            .drop("_ck", "_cb", "_cv", "_c_in", "_c_prev"))
 
 
 def row_number_split(df: DataFrame, keys: list[str], order_cols: list[str], bucket: Column,
@@ -70,15 +79,16 @@ def row_number_split(df: DataFrame, keys: list[str], order_cols: list[str], buck
     (key, bucket) plus the row count of the key's earlier buckets, so a hot
     key is numbered by many tasks. ``bucket`` must be non-decreasing in the
     order."""
-    d = df.withColumn("_rb", bucket)
-    w_in = Window.partitionBy(*keys, "_rb").orderBy(*order_cols)
+    d = df.withColumn("_rb", bucket).withColumn("_rk", group_key([*keys, "_rb"]))
+    w_in = Window.partitionBy("_rk").orderBy(*order_cols)
     d = d.withColumn("_rn_in", F.row_number().over(w_in))
-    counts = d.groupBy(*keys, "_rb").agg(F.count(F.lit(1)).alias("_n"))
-    w_b = Window.partitionBy(*keys).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_rb", F.coalesce(F.sum("_n").over(w_b), F.lit(0)).alias("_off"))
-    return (d.join(offsets, [*keys, "_rb"], "inner")
+    counts = d.groupBy("_rk").agg(F.count(F.lit(1)).alias("_n"))
+    w_b = (Window.partitionBy(*[F.col(f"_rk.{k}") for k in keys]).orderBy(F.col("_rk._rb"))
+           .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("_rk", F.coalesce(F.sum("_n").over(w_b), F.lit(0)).alias("_off"))
+    return (d.join(offsets, "_rk", "inner")
             .withColumn(out, (F.col("_rn_in") + F.col("_off")).cast("bigint"))
-            .drop("_rb", "_rn_in", "_off"))
+            .drop("_rk", "_rb", "_rn_in", "_off"))
 
 
 def skip_ranges(df: DataFrame, keys: list[str], idx: str, flag: str) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from listwatch.operators import runs, subs
 from listwatch.plans.oracle_views import with_views
 from listwatch.plans.registry import register
-from listwatch.session import checkpoint_dir
 from listwatch.sources import logs
 from listwatch.sources import tables as T
 
@@ -21,6 +20,7 @@ RUN_WINDOW_S = 3600       # scheduler suppression window, 60 min
 PENDING_S = 2 * 3600      # a queued manual job stays pending 2 h
 PENDING_MIN_VALUE = 40.0  # events with value >= this are queued manual jobs
 LOG_SPLIT = "2024-01-15"
+DUE_TICKS = 24            # hourly ticks that are asked for, up to the newest run
 
 
 @register("selection_keys", "X7 O4", oracle=with_views(["subscriptions"], """
@@ -36,81 +36,70 @@ def selection_keys(spark, sf_dir):
                     runs.selection_key(F.col("m")).alias("model_key")))
 
 
-_ACCEPTED_SQL = f"""
-WITH RECURSIVE r AS (
-    SELECT event_id, user_id, event_type AS brand_key, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS t FROM events),
-acc AS (
-    SELECT user_id, brand_key, arg_min(event_id, (t, event_id)) AS event_id, min(t) AS t FROM r GROUP BY user_id, brand_key
+_RUNS_SQL = """SELECT event_id, user_id, event_type AS brand_key, 'm' || CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 4 AS VARCHAR) AS model_key,
+                      CAST(ts AS TIMESTAMP) AS started_at, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS t, value FROM events"""
+_ACC_SQL = """acc AS (
+    SELECT user_id, brand_key, model_key, arg_min(event_id, (t, event_id)) AS event_id, min(t) AS t FROM r GROUP BY ALL
     UNION ALL
-    SELECT r.user_id, r.brand_key, arg_min(r.event_id, (r.t, r.event_id)), min(r.t)
-    FROM acc a JOIN r ON r.user_id = a.user_id AND r.brand_key = a.brand_key AND r.t > a.t + {{w}}
-    GROUP BY r.user_id, r.brand_key)
-SELECT e.event_id, e.user_id, e.event_type AS brand_key, CAST(e.ts AS TIMESTAMP) AS started_at
-FROM events e WHERE e.event_id IN (SELECT event_id FROM acc)"""
+    SELECT r.user_id, r.brand_key, r.model_key, arg_min(r.event_id, (r.t, r.event_id)), min(r.t)
+    FROM acc a JOIN r ON r.user_id = a.user_id AND r.brand_key = a.brand_key AND r.model_key = a.model_key AND r.t > a.t + {w}
+    GROUP BY r.user_id, r.brand_key, r.model_key)"""
+_ACCEPTED_SQL = f"""
+WITH RECURSIVE r AS ({_RUNS_SQL}),
+{_ACC_SQL}
+SELECT event_id, user_id, brand_key, model_key, started_at FROM r WHERE event_id IN (SELECT event_id FROM acc)"""
 
 
 @register("accepted_runs", "W3", oracle=_ACCEPTED_SQL.format(w=DAY_S))
 def accepted_runs(spark, sf_dir):
-    checkpoint_dir(spark)
-    r = T.job_runs(spark, sf_dir)
-    return runs.accepted_runs(r, ["user_id", "brand_key"], "started_at", "event_id", DAY_S)
+    return runs.accepted_runs(T.job_runs(spark, sf_dir), T.RUN_KEY, "started_at", "event_id", DAY_S)
 
 
+_KEY_SQL = "user_id, brand_key, model_key"
+_SAME_KEY = "r.user_id = t.user_id AND r.brand_key = t.brand_key AND r.model_key = t.model_key"
 _DUE_SQL = f"""
-WITH r AS (SELECT user_id, event_type AS brand_key, CAST(ts AS TIMESTAMP) AS started_at, value FROM events),
-span AS (SELECT user_id, brand_key, min(started_at) AS first_at, max(started_at) AS last_at FROM r GROUP BY ALL),
-ticks AS (SELECT user_id, brand_key,
-                 unnest(generate_series(make_timestamp(CAST(ceil(epoch_us(first_at) / ({HOUR_S} * 1000000.0)) * {HOUR_S} * 1000000 AS BIGINT)),
-                                        make_timestamp(CAST(floor(epoch_us(last_at) / ({HOUR_S} * 1000000.0)) * {HOUR_S} * 1000000 AS BIGINT)),
-                                        INTERVAL {HOUR_S} SECOND)) AS tick FROM span),
-recent AS (SELECT DISTINCT t.user_id, t.brand_key, t.tick FROM ticks t JOIN r
-           ON r.user_id = t.user_id AND r.brand_key = t.brand_key
-          AND r.started_at >= t.tick - INTERVAL {RUN_WINDOW_S} SECOND AND r.started_at <= t.tick),
-waiting AS (SELECT DISTINCT t.user_id, t.brand_key, t.tick FROM ticks t JOIN r
-            ON r.user_id = t.user_id AND r.brand_key = t.brand_key AND r.value >= {PENDING_MIN_VALUE}
+WITH r AS ({_RUNS_SQL}),
+hi AS (SELECT make_timestamp(CAST(floor(epoch_us(max(started_at)) / ({HOUR_S} * 1000000.0)) * {HOUR_S} * 1000000 AS BIGINT)) AS h FROM r),
+tk AS (SELECT unnest(generate_series(h - INTERVAL {DUE_TICKS - 1} HOUR, h, INTERVAL 1 HOUR)) AS tick FROM hi),
+span AS (SELECT {_KEY_SQL}, min(started_at) AS first_at FROM r GROUP BY ALL),
+ticks AS (SELECT {_KEY_SQL}, tick FROM span JOIN tk ON first_at <= tick),
+recent AS (SELECT DISTINCT t.user_id, t.brand_key, t.model_key, t.tick FROM ticks t JOIN r
+           ON {_SAME_KEY} AND r.started_at >= t.tick - INTERVAL {RUN_WINDOW_S} SECOND AND r.started_at <= t.tick),
+waiting AS (SELECT DISTINCT t.user_id, t.brand_key, t.model_key, t.tick FROM ticks t JOIN r
+            ON {_SAME_KEY} AND r.value >= {PENDING_MIN_VALUE}
            AND r.started_at >= t.tick - INTERVAL {PENDING_S} SECOND AND r.started_at <= t.tick)
-SELECT user_id, brand_key, tick FROM ticks
-WHERE (user_id, brand_key, tick) NOT IN (SELECT (user_id, brand_key, tick) FROM recent)
-  AND (user_id, brand_key, tick) NOT IN (SELECT (user_id, brand_key, tick) FROM waiting)"""
+SELECT {_KEY_SQL}, tick FROM ticks
+EXCEPT SELECT {_KEY_SQL}, tick FROM recent EXCEPT SELECT {_KEY_SQL}, tick FROM waiting"""
 
 
 @register("due_subscriptions", "T1 J7 J8 O5", oracle=_DUE_SQL)
 def due_subscriptions(spark, sf_dir):
-    e = T.table(spark, sf_dir, "events")
-    r = e.select("user_id", F.col("event_type").alias("brand_key"), F.col("ts").cast("timestamp").alias("started_at"),
-                 "value")
-    span = r.groupBy("user_id", "brand_key").agg(F.min("started_at").alias("first_at"),
-                                                 F.max("started_at").alias("last_at"))
-    pending = r.filter(F.col("value") >= PENDING_MIN_VALUE).select(
-        "user_id", "brand_key", F.col("started_at").alias("queued_at"))
-    return runs.due_at_ticks(span, ["user_id", "brand_key"], r, pending, HOUR_S, RUN_WINDOW_S, PENDING_S)
+    """What is due at each of the last DUE_TICKS hourly ticks."""
+    r = T.job_runs(spark, sf_dir)
+    value = T.table(spark, sf_dir, "events").select("event_id", "value").filter(F.col("value") >= PENDING_MIN_VALUE)
+    span = r.groupBy(*T.RUN_KEY).agg(F.min("started_at").alias("first_at"))
+    pending = r.join(value, "event_id", "left_semi").withColumnRenamed("started_at", "queued_at")
+    newest = r.select(F.max("started_at")).scalar()
+    last = F.date_trunc("hour", newest)
+    return runs.due_at_ticks(span, T.RUN_KEY, r, pending, last - F.make_dt_interval(hours=F.lit(DUE_TICKS - 1)), last,
+                             HOUR_S, RUN_WINDOW_S, PENDING_S)
 
 
 @register("run_log_append", "K6 W3", oracle=f"""
-WITH RECURSIVE r AS (
-    SELECT event_id, user_id, event_type AS brand_key, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS t
-    FROM events WHERE ts >= TIMESTAMP '{LOG_SPLIT}'),
-acc AS (
-    SELECT user_id, brand_key, arg_min(event_id, (t, event_id)) AS event_id, min(t) AS t FROM r GROUP BY user_id, brand_key
-    UNION ALL
-    SELECT r.user_id, r.brand_key, arg_min(r.event_id, (r.t, r.event_id)), min(r.t)
-    FROM acc a JOIN r ON r.user_id = a.user_id AND r.brand_key = a.brand_key AND r.t > a.t + {RUN_WINDOW_S}
-    GROUP BY r.user_id, r.brand_key)
-SELECT user_id, event_type AS brand_key, '*' AS model_key, CAST(ts AS TIMESTAMP) AS started_at
-FROM events WHERE ts < TIMESTAMP '{LOG_SPLIT}'
+WITH RECURSIVE a0 AS ({_RUNS_SQL}), r AS (SELECT * FROM a0 WHERE started_at >= TIMESTAMP '{LOG_SPLIT}'),
+{_ACC_SQL.format(w=RUN_WINDOW_S)}
+SELECT user_id, brand_key, model_key, started_at FROM a0 WHERE started_at < TIMESTAMP '{LOG_SPLIT}'
 UNION ALL
-SELECT user_id, event_type AS brand_key, '*' AS model_key, CAST(ts AS TIMESTAMP) AS started_at
-FROM events WHERE event_id IN (SELECT event_id FROM acc)""")
+SELECT user_id, brand_key, model_key, started_at FROM a0 WHERE event_id IN (SELECT event_id FROM acc)""")
 def run_log_append(spark, sf_dir):
     """The run log after a batch of requests: the stored log (runs before
     LOG_SPLIT) plus the accepted requests after it (60 min suppression)."""
-    checkpoint_dir(spark)
-    r = T.job_runs(spark, sf_dir).withColumn("model_key", F.lit("*"))
+    r = T.job_runs(spark, sf_dir)
     split = F.lit(LOG_SPLIT).cast("timestamp")
     stored = r.filter(F.col("started_at") < split)
-    new = runs.accepted_runs(r.filter(F.col("started_at") >= split), ["user_id", "brand_key"],
+    new = runs.accepted_runs(r.filter(F.col("started_at") >= split), T.RUN_KEY,
                              "started_at", "event_id", RUN_WINDOW_S, bucket_s=HOUR_S)
-    cols = ["user_id", "brand_key", "model_key", "started_at"]
+    cols = [*T.RUN_KEY, "started_at"]
     return stored.select(*cols).unionByName(new.select(*cols))
 
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
+from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. Session time zone is pinned to UTC so that
 # timestamps read from Parquet and `as_of` parameters compare the same way on
@@ -55,12 +58,44 @@ def apply_conf(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster it is set by the launcher (a shared, fault-tolerant path);
-    we only choose one when it is unset, which happens in local tests.
+    On a cluster the launcher sets it (a shared, fault-tolerant path). A
+    folder is chosen here only where it is unset in local mode, where driver
+    and executors are one process.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
-        current = tempfile.mkdtemp(prefix="listwatch-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        current = _local_folder()
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="listwatch-ckpt-")
+
+
+class SharedTables:
+    """Intermediate tables of one run, under the shared checkpoint folder.
+
+    Writing a table cuts lineage once and for all executors; ``drop`` removes
+    a table that no later step reads."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = f"{checkpoint_dir(spark).rstrip('/')}/listwatch-{name}-{uuid.uuid4().hex}"
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, name: str) -> None:
+        delete_path(self.spark, f"{self.root}/{name}")
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -143,12 +143,19 @@ def user_seller_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.explode(wanted).alias("seller_type"))
 
 
+RUN_KEY = ["user_id", "brand_key", "model_key"]
+
+
 def job_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run requests: one per event; brand_key = event_type, model_key from
     the event's JSON props."""
-    e = table(spark, sf_dir, "events")
-    return e.select(
+    return runs_of_events(table(spark, sf_dir, "events"))
+
+
+def runs_of_events(events: DataFrame) -> DataFrame:
+    return events.select(
         "event_id", "user_id",
         F.col("event_type").alias("brand_key"),
+        F.concat(F.lit("m"), (F.get_json_object("props", "$.k").cast("bigint") % 4).cast("string")).alias("model_key"),
         F.col("ts").cast("timestamp").alias("started_at"),
     )

@@ -40,6 +40,18 @@ def test_accepted_runs_matches_brute_force(spark):
     assert [r[0] for r in rows(out, "event_id")] == brute_force(data, 3600)
 
 
+def test_accepted_runs_keep_null_keys_and_long_segments(spark):
+    data = [(None, t) for t in (0, 5, 9, 20, 24)] + [(1, t) for t in range(0, 400, 3)] + [(2, 7)]
+    df = spark.createDataFrame([(i, k, EPOCH + dt.timedelta(seconds=t)) for i, (k, t) in enumerate(data)],
+                               "event_id long, key long, started_at timestamp")
+    want, last = [], {}
+    for i, (k, t) in enumerate(data):
+        if k not in last or t > last[k] + 10:
+            want.append((i,))
+            last[k] = t
+    assert rows(runs.accepted_runs(df, ["key"], "started_at", "event_id", 10, bucket_s=50), "event_id") == want
+
+
 def test_throttle_t8(spark):
     data = [(0, "x"), (1, "x"), (5, "x"), (6, "y"), (7, "x"), (8, "x"), (12, "x")]
     df = spark.createDataFrame([(i, 1, EPOCH + dt.timedelta(seconds=t), v) for i, (t, v) in enumerate(data)],
@@ -54,10 +66,15 @@ def test_due_ticks_t1(spark):
                                  "user_id long, brand_key string, first_at timestamp, last_at timestamp")
     r = spark.createDataFrame([(1, "k", EPOCH + dt.timedelta(minutes=30))], "user_id long, brand_key string, started_at timestamp")
     pend = spark.createDataFrame([(1, "k", EPOCH + dt.timedelta(hours=3))], "user_id long, brand_key string, queued_at timestamp")
-    out = runs.due_at_ticks(span, ["user_id", "brand_key"], r, pend, 3600, 3600, 1800)
-    hours = sorted(int((x[0] - EPOCH).total_seconds() // 3600) for x in out.select("tick").collect())
+    def due(lo, hi):
+        ticks = [F.lit(EPOCH + dt.timedelta(hours=h)) for h in (lo, hi)]
+        out = runs.due_at_ticks(span, ["user_id", "brand_key"], r, pend, *ticks, 3600, 3600, 1800)
+        return sorted(int((x[0] - EPOCH).total_seconds() // 3600) for x in out.select("tick").collect())
+
     # tick 1 h has a run within 60 min; tick 3 h has a pending job
-    assert hours == [0, 2, 4]
+    assert due(0, 4) == [0, 2, 4]
+    assert due(-3, 0) == [0]  # nothing is due before the key exists
+    assert due(2, 3) == [2]
 
 
 def test_recent_flag_strict_ttl_j9(spark):
@@ -78,6 +95,9 @@ def test_quota_admission_w2(spark):
     lim = spark.createDataFrame([(1, 3)], "user_id long, max_subs int")
     out = rows(runs.quota_admission(sel, held, lim), "brand", "admitted")
     assert out == [("b", True), ("c", True), ("d", False)]
+    # without a limit row the limit is that of an unknown plan: 2, and 2 are held
+    out = rows(runs.quota_admission(sel, held, lim.where("false")), "brand", "admitted")
+    assert out == [("b", False), ("c", False), ("d", False)]
 
 
 def test_toggle_state_u6(spark):

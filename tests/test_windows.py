@@ -45,3 +45,14 @@ def test_split_windows_equal_plain_windows(spark):
     want_rn = {r["i"]: r["rn"] for r in df.select("i", F.row_number().over(plain).alias("rn")).collect()}
     got = windows.row_number_split(df, ["k"], ["t", "i"], F.floor(F.col("t") / 7))
     assert {r["i"]: r["rn"] for r in got.collect()} == want_rn
+
+
+def test_null_keys_and_times_keep_every_row(spark):
+    df = spark.createDataFrame([(1, "a", 1), (None, "b", 1), (None, "c", 2), (2, "d", None), (2, "e", 3)],
+                               "k long, url string, t int")
+    numbered = windows.row_number_split(df, ["k"], ["t", "url"], F.floor(F.col("t") / 2), "n")
+    assert sorted(map(str, rows(numbered, "url", "n"))) == sorted(map(str, [("a", 1), ("b", 1), ("c", 2), ("d", 1), ("e", 2)]))
+    carried = windows.carry_last(df, ["k"], ["t", "url"], F.col("url"), F.floor(F.col("t") / 2), "prev")
+    assert {r["url"]: r["prev"] for r in carried.collect()} == {"a": None, "b": None, "c": "b", "d": None, "e": "d"}
+    top = windows.top_k_per_group(df, ["k"], [F.col("url")], 1)
+    assert sorted(map(str, rows(top, "url", "n_total"))) == sorted(map(str, [("a", 1), ("b", 2), ("d", 2)]))
