@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from listwatch.functions.text import strip_prefix
-from listwatch.operators.sizing import bounded_for_broadcast
+from listwatch.operators.windows import row_number_split
 
 CATALOG_SCHEMA = T.StructType([
     T.StructField("index", T.IntegerType()),
@@ -36,11 +36,13 @@ def build_catalog(rows: DataFrame) -> DataFrame:
                  .agg(F.array_sort(F.collect_list(F.struct("model_name", "model_value"))).alias("_m")))
     models = F.transform(F.col("_m"), lambda m, i: F.struct(
         i.alias("index"), m["model_name"].alias("model_name"), m["model_value"].alias("model_value")))
-    # brand positions: a window over the brand list, which is a small
-    # dimension (one row per brand of the site)
-    idx = F.row_number().over(Window.orderBy("brand", "brand_value")) - 1
-    return per_brand.select(idx.cast("int").alias("index"), "brand", F.col("brand_value").alias("value"),
-                            models.alias("models"))
+    # brand positions: brand names only, numbered per leading characters
+    # plus the count of the names before them; models stay where they are
+    names = row_number_split(r.select("brand", "brand_value").distinct(), [], ["brand", "brand_value"],
+                             F.substring("brand", 1, 3), "_n").withColumn("_b", F.struct("brand", "brand_value"))
+    tree = per_brand.withColumn("_b", F.struct("brand", "brand_value"))
+    return tree.join(names.select("_b", (F.col("_n") - 1).cast("int").alias("index")), "_b").select(
+        "index", "brand", F.col("brand_value").alias("value"), models.alias("models"))
 
 
 def write_catalog(tree: DataFrame, path: str) -> None:
@@ -90,9 +92,7 @@ def resolve_brands(items: DataFrame, brands: DataFrame, selected: DataFrame | No
     prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.col("_n"), F.lit(1))),
                            lambda i: F.array_join(F.slice(F.split(F.col(title), " "), 1, i), " "))
     cand = bounded.select(key, title, F.explode(prefixes).alias("_p"))
-    small = bounded_for_broadcast(names)
-    side = small if small is not None else names
-    hits = cand.join(side, cand["_p"] == side["_b"], "inner")
+    hits = cand.join(names, cand["_p"] == names["_b"], "inner")
     w = Window.partitionBy(key).orderBy(F.col("_sel").desc(), F.length("_b").desc(), F.col("_b"))
     best = (hits.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
             .select(key, F.col("_b").alias("_brand")))
