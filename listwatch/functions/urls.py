@@ -17,8 +17,9 @@ SITE_DOMAIN = "example.com"
 CANONICAL_PREFIX = "https://www.example.com/vehicles/item/"
 
 # scheme://[userinfo@]host ; used when a URL is not parseable by java.net.URI
-_HOST_RE = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^@/?#]*@)?([^:/?#]*)"
-_PATH_RE = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)"
+# the scheme may be missing: //host/path has the page's scheme but its own host
+_HOST_RE = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^@/?#]*@)?([^:/?#]*)"
+_PATH_RE = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#]*([^?#]*)"
 
 
 def canonical_url(href: Column, id_pattern: str = ITEM_ID_PATTERN, prefix: str = CANONICAL_PREFIX) -> Column:

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # fixed values: plan limits, unknown plan -> 2
 PLAN_LIMITS = {"free": 2, "free_expired": 0, "starter": 10, "pro": 20, "dealer": 50, "admin": 999}
@@ -23,15 +22,9 @@ LIFETIME_MONTHS = 9999
 COMPLETED_EVENT = "checkout.session.completed"
 METADATA_USER_KEY = "telegram_id"
 
-PAYMENT_EVENT_SCHEMA = T.StructType([
-    T.StructField("event_id", T.StringType()),
-    T.StructField("type", T.StringType()),
-    T.StructField("created", T.LongType()),
-    T.StructField("metadata", T.StructType([
-        T.StructField("plan", T.StringType()),
-        T.StructField(METADATA_USER_KEY, T.StringType()),
-    ])),
-])
+# the event as it arrives: id at the top, metadata on the checkout object
+PAYMENT_EVENT_SCHEMA = (f"id string, type string, created long, "
+                        f"data struct<object: struct<metadata: struct<plan: string, {METADATA_USER_KEY}: string>>>")
 
 
 def plan_limits(spark: SparkSession) -> DataFrame:
@@ -150,10 +143,11 @@ def parse_payment_json(raw: DataFrame, col: str = "value") -> DataFrame:
     """Completed checkout events from JSON text; user id is the
     metadata user id (bad ids -> dropped), time is the event time."""
     ev = raw.select(F.from_json(F.col(col), PAYMENT_EVENT_SCHEMA).alias("e")).select("e.*")
+    meta = "data.object.metadata"
     return (ev.filter(F.col("type") == COMPLETED_EVENT)
-            .select("event_id",
-                    F.col(f"metadata.{METADATA_USER_KEY}").try_cast("bigint").alias("user_id"),
-                    F.lower(F.col("metadata.plan")).alias("plan_name"),
+            .select(F.col("id").alias("event_id"),
+                    F.col(f"{meta}.{METADATA_USER_KEY}").try_cast("bigint").alias("user_id"),
+                    F.lower(F.col(f"{meta}.plan")).alias("plan_name"),
                     F.timestamp_seconds(F.col("created")).alias("ts"))
             .filter(F.col("user_id").isNotNull()))
 
@@ -172,8 +166,9 @@ def parse_payment_payload(raw: DataFrame, payload: str, ts: str, event_id: str)
 
 def activate_paid(payments: DataFrame) -> DataFrame:
     """A payment activates the plan for 30 days from the *event* time,
-    so replaying an event gives the same row. Duplicate events (same id)
-    count once."""
-    return (payments.dropDuplicates(["event_id"])
+    so replaying an event gives the same row. Repeated events need no
+    removal: the fold of plan events (M14) gives the same state for any
+    number of copies, and payments without an id are all kept."""
+    return (payments
             .withColumn("expires_at", F.col("ts") + F.make_dt_interval(F.lit(PAID_PERIOD_DAYS)))
             .withColumn("seq", F.col("event_id")))

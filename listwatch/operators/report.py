@@ -24,8 +24,23 @@ def export_csv(listings: DataFrame, path: str, columns: list[str] | None = None)
     df.write.mode("overwrite").option("header", header).csv(path)
 
 
-def write_user_reports(rows: DataFrame, path: str, fmt: str = "csv") -> None:
-    """K3: one report folder per user. Rows are clustered by user first so
-    each user's folder gets few files; the write itself is distributed."""
-    (rows.repartition("user_id").write.mode("overwrite").partitionBy("user_id")
-     .option("header", True).format(fmt).save(path))
+REPORT_BUCKETS = 256
+
+
+def report_bucket(user: str = "user_id", buckets: int = REPORT_BUCKETS):
+    return F.pmod(F.xxhash64(user), F.lit(buckets)).cast("int")
+
+
+def write_user_reports(rows: DataFrame, path: str, fmt: str = "parquet", buckets: int = REPORT_BUCKETS) -> None:
+    """K3: the users' reports in hash buckets, sorted by user inside each
+    file, so there are as many folders as buckets and not as users. Spark
+    rebalances the rows by bucket and splits a bucket that a large report
+    fills."""
+    (rows.withColumn("bucket", report_bucket(buckets=buckets)).hint("rebalance", "bucket")
+     .sortWithinPartitions("bucket", "user_id").write.mode("overwrite").partitionBy("bucket").format(fmt).save(path))
+
+
+def read_user_report(spark, path: str, user_id, fmt: str = "parquet", buckets: int = REPORT_BUCKETS) -> DataFrame:
+    """One user's report: only its bucket is read."""
+    bucket = spark.range(1).select(F.pmod(F.xxhash64(F.lit(user_id).cast("bigint")), F.lit(buckets)).cast("int")).first()[0]
+    return spark.read.format(fmt).load(path).filter((F.col("bucket") == bucket) & (F.col("user_id") == user_id)).drop("bucket")

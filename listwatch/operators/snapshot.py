@@ -82,6 +82,12 @@ def expire_by_age(snapshot: DataFrame, as_of: Column, days: int = 10) -> tuple[D
     return kept, removed
 
 
+def with_expired(snapshot: DataFrame, as_of: Column, days: int = 10) -> DataFrame:
+    """M6 as a flag: ``expired`` per row, for one pass over the snapshot."""
+    old = F.col("last_seen_at") < as_of - F.make_dt_interval(F.lit(days))
+    return snapshot.withColumn("expired", F.coalesce(old, F.lit(False)))
+
+
 def cohort_cleanup(snapshot: DataFrame, seen: DataFrame) -> DataFrame:
     """Stored urls of every crawled (brand, model) cohort that were
     not seen in this crawl. ``seen``: url, brand, model of the crawl. Cohorts

@@ -173,6 +173,21 @@ def effective_plan(spark, sf_dir):
         "user_id", "plan", "expires_at", "free_started_at", "is_free", "max_subs")
 
 
+def payment_events(spark, sf_dir) -> DataFrame:
+    """(o_orderkey, value): webhook events as they arrive, as JSON text: a
+    completed checkout for a settled order, an expired one for an open
+    order."""
+    o = T.table(spark, sf_dir, "orders").filter(F.col("o_orderstatus").isin("F", "O"))
+    plan = T.case_map(F.col("o_orderpriority"), T.PLAN_BY_PRIORITY)
+    metadata = F.struct(plan.alias("plan"), F.col("o_custkey").cast("string").alias(E.METADATA_USER_KEY))
+    event = F.struct(
+        F.col("o_orderkey").cast("string").alias("id"),
+        F.when(F.col("o_orderstatus") == "F", F.lit(E.COMPLETED_EVENT)).otherwise(F.lit("checkout.session.expired")).alias("type"),
+        F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("created"),
+        F.struct(F.struct(metadata.alias("metadata")).alias("object")).alias("data"))
+    return o.select("o_orderkey", F.to_json(event).alias("value"))
+
+
 @register("payments_to_plans", "S6 S7 M21 M14 T6", oracle=f"""
 WITH pay AS (
     SELECT o_custkey AS user_id, {_PLAN_CASE} AS plan_name, CAST(o_orderdate AS TIMESTAMP) AS ts,
@@ -183,17 +198,10 @@ SELECT user_id, lower(arg_max(plan_name, (ts, seq))) AS plan_name,
        min(ts) AS created_at, max(ts) AS updated_at
 FROM pay GROUP BY user_id""")
 def payments_to_plans(spark, sf_dir):
+    raw_json = payment_events(spark, sf_dir).select("value")
     o = T.table(spark, sf_dir, "orders")
     plan = T.case_map(F.col("o_orderpriority"), T.PLAN_BY_PRIORITY)
     ts = F.col("o_orderdate").cast("timestamp")
-    # webhook events (JSON text) for settled orders, expired sessions for open ones
-    raw_json = o.filter(F.col("o_orderstatus").isin("F", "O")).select(F.to_json(F.struct(
-        F.col("o_orderkey").cast("string").alias("event_id"),
-        F.when(F.col("o_orderstatus") == "F", F.lit(E.COMPLETED_EVENT))
-         .otherwise(F.lit("checkout.session.expired")).alias("type"),
-        F.unix_seconds(ts).alias("created"),
-        F.struct(plan.alias("plan"), F.col("o_custkey").cast("string").alias(E.METADATA_USER_KEY)).alias("metadata"),
-    )).alias("value"))
     # native payments carry a 'plan:<plan>:<id>' payload
     raw_payload = o.filter(F.col("o_orderstatus") == "P").select(
         F.col("o_orderkey").alias("event_id"), ts.alias("ts"),

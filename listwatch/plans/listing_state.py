@@ -8,6 +8,7 @@ lineitem table.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from listwatch.operators import prices, snapshot
@@ -94,11 +95,8 @@ SELECT url, last_seen_at,
        coalesce(last_seen_at < (SELECT max(seen_at) FROM sightings) - INTERVAL {EXPIRY_DAYS} DAY, false) AS expired
 FROM listings"""))
 def listing_expire(spark, sf_dir):
-    s = T.sightings(spark, sf_dir)
-    lst = T.listings(spark, sf_dir)
-    kept, removed = snapshot.expire_by_age(lst, _as_of(s), EXPIRY_DAYS)
-    return (kept.select("url", "last_seen_at", F.lit(False).alias("expired"))
-            .unionByName(removed.select("url", "last_seen_at", F.lit(True).alias("expired"))))
+    lst = T.listings(spark, sf_dir).select("url", "last_seen_at")
+    return snapshot.with_expired(lst, _as_of(T.sightings(spark, sf_dir)), EXPIRY_DAYS)
 
 
 @register("cohort_cleanup", "J6 M7 A5 U4", oracle=with_views(["sightings"], f"""
@@ -171,21 +169,21 @@ LEFT JOIN (SELECT date_trunc('month', seen_at) AS run, count(*) AS n_price_updat
              AND regexp_replace(prev_price, '[^0-9]', '', 'g') <> regexp_replace(price_raw, '[^0-9]', '', 'g')
            GROUP BY 1) c ON c.run = b.run""", extra=[("p", _PREV_SQL)]))
 def crawl_stats(spark, sf_dir):
+    """Sightings are reduced to one row per (url, run) together with their
+    price updates; new and gone urls follow from each url's first and last
+    run. Only the distinct feed pages need a pass of their own."""
     s = T.sightings(spark, sf_dir)
     run = F.date_trunc("month", F.col("seen_at"))
-    base = s.groupBy(run.alias("run")).agg(
-        F.count(F.lit(1)).alias("n_seen"), F.countDistinct("url").alias("n_urls"),
-        F.countDistinct("o_key").alias("n_pages"))
-    life = s.groupBy("url").agg(F.min("seen_at").alias("f"), F.max("seen_at").alias("l"))
-    new = life.groupBy(F.date_trunc("month", "f").alias("run")).agg(F.count(F.lit(1)).alias("n_new"))
-    gone = life.groupBy(F.date_trunc("month", "l").alias("run")).agg(F.count(F.lit(1)).alias("n_gone"))
-    p = prices.with_previous_price(s, "url", T.SIGHTING_ORDER, F.date_trunc("month", F.col("seen_at")))
-    upd = (p.filter(F.col("prev_price").isNotNull()
-                    & prices.price_changed(F.col("prev_price"), F.col("price_raw"), require_old=False))
-           .groupBy(run.alias("run")).agg(F.count(F.lit(1)).alias("n_price_updates")))
-    out = base.join(new, "run", "left").join(gone, "run", "left").join(upd, "run", "left")
-    return out.select("run", "n_seen", "n_urls", "n_pages",
-                      *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_new", "n_gone", "n_price_updates")])
+    p = prices.with_previous_price(s, "url", T.SIGHTING_ORDER, run)
+    updated = F.col("prev_price").isNotNull() & prices.price_changed(F.col("prev_price"), F.col("price_raw"), require_old=False)
+    per_url = p.groupBy("url", run.alias("run")).agg(F.count(F.lit(1)).alias("n"), F.count_if(updated).alias("u"))
+    life = Window.partitionBy("url")  # one row per run of the url
+    per_url = per_url.withColumn("f", F.min("run").over(life)).withColumn("l", F.max("run").over(life))
+    base = per_url.groupBy("run").agg(
+        F.sum("n").alias("n_seen"), F.count("url").alias("n_urls"), F.count_if(F.col("run") == F.col("f")).alias("n_new"),
+        F.count_if(F.col("run") == F.col("l")).alias("n_gone"), F.sum("u").alias("n_price_updates"))
+    pages = s.select(run.alias("run"), "o_key").distinct().groupBy("run").agg(F.count("o_key").alias("n_pages"))
+    return base.join(pages, "run", "left").select("run", "n_seen", "n_urls", "n_pages", "n_new", "n_gone", "n_price_updates")
 
 
 @register("expiry_totals", "A11 M6", oracle=with_views(["listings"], f"""
@@ -195,8 +193,6 @@ SELECT count(*) FILTER (WHERE last_seen_at < (SELECT max(seen_at) FROM sightings
                                            - INTERVAL {EXPIRY_DAYS} DAY, false)) AS n_kept
 FROM listings"""))
 def expiry_totals(spark, sf_dir):
-    s = T.sightings(spark, sf_dir)
-    kept, removed = snapshot.expire_by_age(T.listings(spark, sf_dir), _as_of(s), EXPIRY_DAYS)
-    n_removed = removed.agg(F.count(F.lit(1)).alias("n_removed"))
-    n_kept = kept.agg(F.count(F.lit(1)).alias("n_kept"))
-    return n_removed.join(n_kept, how="inner")
+    lst = T.listings(spark, sf_dir).select("url", "last_seen_at")
+    flagged = snapshot.with_expired(lst, _as_of(T.sightings(spark, sf_dir)), EXPIRY_DAYS)
+    return flagged.agg(F.count_if("expired").alias("n_removed"), F.count_if(~F.col("expired")).alias("n_kept"))

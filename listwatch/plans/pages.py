@@ -27,8 +27,8 @@ DETAIL = extract.DetailMarkup(
     spec_text=r"(?is)^(.*)$")
 
 # DuckDB twins of the Spark expressions
-HOST_SQL = r"lower(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^@/?#]*@)?([^:/?#]*)', 1))"
-PATH_SQL = r"lower(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1))"
+HOST_SQL = r"lower(regexp_extract({u}, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^@/?#]*@)?([^:/?#]*)', 1))"
+PATH_SQL = r"lower(regexp_extract({u}, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#]*([^?#]*)', 1))"
 CANON_SQL = (r"CASE WHEN {u} IS NULL OR {u} = '' THEN {u} "
              r"WHEN regexp_extract({u}, '/([0-9]+)', 1) <> '' THEN '" + PREFIX + r"' || regexp_extract({u}, '/([0-9]+)', 1) "
              r"ELSE split_part({u}, '?', 1) END")
@@ -53,9 +53,12 @@ def canonical_urls(spark, sf_dir):
 
 
 @register("external_filter", "P2 Q16", oracle=f"""
-SELECT page_id, url, {HOST_SQL.format(u='url')} AS host, {external_sql('url')} AS rejected FROM pages""")
+SELECT page_id, url, {HOST_SQL.format(u='url')} AS host, {external_sql('url')} AS rejected
+FROM (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN regexp_replace(url, '^https?:', '') ELSE url END AS url FROM pages)""")
 def external_filter(spark, sf_dir):
-    p = T.table(spark, sf_dir, "pages").select("page_id", "url")
+    """Every fifth link has no scheme (//host/path): its host counts all the same."""
+    bare = F.regexp_replace("url", "^https?:", "")
+    p = T.table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 5 == 0, bare).otherwise(F.col("url")).alias("url"))
     return p.select("page_id", "url", urls.url_host(F.col("url")).alias("host"),
                     urls.is_external(F.col("url"), DOMAIN).alias("rejected"))
 

@@ -1,6 +1,7 @@
 """Plans (M14-M22, J10, J14, P13, Q3, Q4, Q6, Q14) and subscription state."""
 
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 
@@ -48,12 +49,15 @@ def test_resubscribe_clears_checked_q4(spark):
 
 
 def test_payment_sources_s6_s7(spark):
-    raw = spark.createDataFrame([
-        ('{"event_id":"e1","type":"checkout.session.completed","created":0,"metadata":{"plan":"Pro","telegram_id":"7"}}',),
-        ('{"event_id":"e2","type":"checkout.session.expired","created":0,"metadata":{"plan":"pro","telegram_id":"8"}}',),
-        ('{"event_id":"e3","type":"checkout.session.completed","created":0,"metadata":{"plan":"pro","telegram_id":"x"}}',),
-    ], "value string")
-    assert rows(E.parse_payment_json(raw), "user_id", "plan_name") == [(7, "pro")]
+    raw = spark.createDataFrame([(json.dumps({
+        "id": i, "object": "event", "type": f"checkout.session.{kind}", "created": 0,
+        "data": {"object": {"id": "cs_1", "metadata": {"plan": plan, "telegram_id": user}}}}),) for i, kind, plan, user in (
+            ("e1", "completed", "Pro", "7"), ("e2", "expired", "pro", "8"), ("e3", "completed", "pro", "x"),
+            (None, "completed", "pro", "9"), (None, "completed", "starter", "10"))], "value string")
+    pays = E.parse_payment_json(raw)
+    assert rows(pays, "user_id", "plan_name") == [(7, "pro"), (9, "pro"), (10, "starter")]
+    # payments without an id are payments of their own
+    assert rows(E.activate_paid(pays), "user_id") == [(7,), (9,), (10,)]
     p = spark.createDataFrame([(1, "plan:dealer:42", dt.datetime(2024, 1, 1)), (2, "bad", dt.datetime(2024, 1, 1))],
                               "id long, payload string, ts timestamp")
     assert rows(E.parse_payment_payload(p, "payload", "ts", "id"), "user_id", "plan_name") == [(42, "dealer")]

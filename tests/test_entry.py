@@ -29,7 +29,7 @@ def test_batch_plans_have_no_python_and_no_nested_loops(spark):
         if name in STREAMING:
             continue
         plan = query.build(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
-        for bad in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "CartesianProduct"):
+        for bad in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
             assert bad not in plan, (name, bad)
 
 

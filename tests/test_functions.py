@@ -122,3 +122,11 @@ def test_broken_page_word_boundary_q19(spark):
     loose = {r["page_id"]: r["broken"] for r in extract.page_flags(df).collect()}
     strict = {r["page_id"]: r["broken"] for r in extract.page_flags(df, numeric_word_boundary=True).collect()}
     assert loose == {1: True, 2: True} and strict == {1: False, 2: True}
+
+
+def test_scheme_relative_links_have_a_host_p2(spark):
+    from listwatch.functions import urls
+    df = spark.createDataFrame([("//other.com/item/ab1",), ("//www.example.com/item/ab1",), ("/item/ab1",), ("item//ab1",),
+                                ("//u:p@other.com:80/x",)], "u string")
+    got = [r[0] for r in df.select(urls.is_external(F.col("u"))).collect()]
+    assert got == [True, False, False, False, True]

@@ -24,11 +24,13 @@ def test_export_csv_newest_first_k1(spark, tmp_path):
     assert "".join(open(f).read() for f in glob.glob(os.path.join(empty, "part-*"))) == ""
 
 
-def test_user_reports_partitioned_k3(spark, tmp_path):
-    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "user_id long, url string")
+def test_user_reports_in_buckets_k3(spark, tmp_path):
+    df = spark.createDataFrame([(u, f"{u}-{i}") for u in range(50) for i in range(3)], "user_id long, url string")
     path = str(tmp_path / "k3")
-    report.write_user_reports(df, path)
-    assert sorted(os.path.basename(p) for p in glob.glob(os.path.join(path, "user_id=*"))) == ["user_id=1", "user_id=2"]
+    report.write_user_reports(df, path, buckets=4)
+    assert len(glob.glob(os.path.join(path, "bucket=*"))) == 4
+    for u in (0, 17, 49):
+        assert rows(report.read_user_report(spark, path, u, buckets=4), "url") == [(f"{u}-{i}",) for i in range(3)]
 
 
 def test_run_log_appends_k6(spark, tmp_path):
@@ -51,8 +53,8 @@ def test_flag_log_source_s8(spark, tmp_path):
 
 def test_payment_json_files_s6(spark, tmp_path):
     p = tmp_path / "events.json"
-    p.write_text('{"event_id":"e1","type":"checkout.session.completed","created":1704067200,'
-                 '"metadata":{"plan":"starter","telegram_id":"5"}}\n', encoding="utf-8")
+    p.write_text('{"id":"e1","type":"checkout.session.completed","created":1704067200,'
+                 '"data":{"object":{"metadata":{"plan":"starter","telegram_id":"5"}}}}\n', encoding="utf-8")
     raw = spark.read.text(str(p))
     out = E.activate_paid(E.parse_payment_json(raw))
     assert rows(out, "user_id", "plan_name", "expires_at") == [(5, "starter", dt.datetime(2024, 1, 31))]
