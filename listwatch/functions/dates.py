@@ -83,13 +83,3 @@ def ad_created_text(raw: Column, as_of: Column) -> Column:
             .when(txt.contains(TODAY_WORD), F.date_format(day, "dd/MM/yy"))
             .when(txt.contains(YESTERDAY_WORD), F.date_format(F.date_sub(day, 1), "dd/MM/yy"))
             .otherwise(raw))
-
-
-def days_between(a: Column, b: Column) -> Column:
-    """Absolute fractional days."""
-    return F.abs(F.unix_micros(a) - F.unix_micros(b)) / F.lit(86400e6)
-
-
-def trial_days_left(start: Column, as_of: Column, days: int = 10) -> Column:
-    """Calendar days from ``as_of`` to the trial end."""
-    return F.datediff(F.to_date(start + F.make_dt_interval(F.lit(days))), F.to_date(as_of))

@@ -26,6 +26,9 @@ SPEC_YEAR, SPEC_LOCATION, SPEC_KM, SPEC_HANDS = "📅 שנה", "📍 מיקום"
 CARD_PRICE, CARD_CREATED, CARD_SELLER = "💰 מחיר", "📆 פורסם", "סוג מודעה"
 CARD_DESCRIPTION, CARD_FIRST, CARD_LAST, CARD_LINK = "📝 תיאור", "⌛ נראה לראשונה", "⌛ עודכן לאחרונה", "לצפייה במודעה"
 CARD_MAX_CHARS = 4000
+# fixed values: alert texts; {} is a price or a number
+ALERT_PRICE = "💸 שינוי מחיר: {} → {}"
+ALERT_N_NEW, ALERT_N_PRICE, ALERT_REST = "✨ {} מודעות חדשות.", "💸 {} שינויי מחיר.", "…ויש עוד {} תוצאות."
 
 
 def seller_label(st: Column) -> Column:
@@ -44,6 +47,36 @@ def banner(created_raw: Column, first_seen: Column, as_of: Column) -> Column:
             .otherwise(BANNER_FALLBACK))
 
 
+def fields_of_text(text: Column) -> Column:
+    """The stored attribute JSON as a map; no text or bad text -> empty."""
+    kind = "map<string,string>"
+    good = F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, kind))
+    return F.coalesce(good, F.from_json(F.lit("{}"), kind))
+
+
+def fill(template: str, *values: Column) -> Column:
+    """The fixed text with its {} replaced by the values, in order."""
+    parts = template.split("{}")
+    out = [F.lit(parts[0])]
+    for v, text in zip(values, parts[1:]):
+        out += [v.cast("string"), F.lit(text)]
+    return F.concat(*out)
+
+
+def alert_text(kind: Column, card: Column, created_raw: Column, first_seen: Column, old_price: Column, new_price: Column,
+               as_of: Column) -> Column:
+    """One alert of a scheduled run: a new listing under its banner, or a
+    changed one under its old and new price, capped like a card."""
+    head = F.when(kind == "new", banner(created_raw, first_seen, as_of)).otherwise(fill(ALERT_PRICE, old_price, new_price))
+    return F.substring(F.concat(head, F.lit("\n\n"), card), 1, CARD_MAX_CHARS)
+
+
+def alert_summary(n_new: Column, n_price: Column) -> Column:
+    """The summary of a manual run; NULL when nothing changed."""
+    lines = F.concat_ws("\n", F.when(n_new > 0, fill(ALERT_N_NEW, n_new)), F.when(n_price > 0, fill(ALERT_N_PRICE, n_price)))
+    return F.nullif(lines, F.lit(""))
+
+
 def spec_list(year: Column, location: Column, km: Column, hands: Column, fields: Column,
               max_items: int = 6) -> Column:
     """array<struct<label,value>>: the fixed fields, then the preferred

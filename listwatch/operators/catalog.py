@@ -122,9 +122,3 @@ def selection_url(brand_values: Column, model_values: Column, base: str = BASE_U
     """One URL for a whole selection, codes joined with commas."""
     return F.concat(F.lit(base), F.lit("?manufacturer="), F.array_join(brand_values, ","),
                     F.lit("&model="), F.array_join(model_values, ","))
-
-
-def single_url(brand_value: Column, model_value: Column, base: str = BASE_URL) -> Column:
-    """The URL of one brand and optionally one model."""
-    b = F.concat(F.lit(base), F.lit("?manufacturer="), brand_value)
-    return F.when(model_value.isNull(), b).otherwise(F.concat(b, F.lit("&model="), model_value))

@@ -104,18 +104,22 @@ def trial_expired(plans: DataFrame, as_of: Column, days: int = TRIAL_DAYS) -> Da
                     F.datediff(F.to_date(end), F.to_date(as_of)).cast("bigint").alias("days_left"))
 
 
-def trial_reset(expired: DataFrame, subs: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """Delete the subscriptions of expired users and restart
-    their trial clock. Returns (kept subscriptions, per-user summary with
-    the deleted count (A3), the new trial start and the notify flag)."""
+def trial_reset(expired: DataFrame, subs: DataFrame, items: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Delete the subscriptions and the shown items of
+    expired users and restart their trial clock. Returns (kept
+    subscriptions, kept items, per-user summary with the deleted counts (A3),
+    the new trial start and the notify flag)."""
     users = expired.select("user_id").distinct()
-    kept = subs.join(users, "user_id", "left_anti")
-    counts = subs.join(users, "user_id", "left_semi").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_deleted"))
-    summary = (users.join(counts, "user_id", "left")
-               .select("user_id", F.coalesce("n_deleted", F.lit(0)).cast("bigint").alias("n_deleted"),
+
+    def gone(df, name):
+        return df.join(users, "user_id", "left_semi").groupBy("user_id").agg(F.count(F.lit(1)).alias(name))
+
+    summary = (users.join(gone(subs, "n_subs"), "user_id", "left").join(gone(items, "n_items"), "user_id", "left")
+               .select("user_id", F.coalesce("n_subs", F.lit(0)).cast("bigint").alias("n_deleted"),
+                       F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items_deleted"),
                        as_of.alias("free_started_at"), as_of.alias("last_free_reset_at"))
                .withColumn("notify", F.col("n_deleted") > 0))
-    return kept, summary
+    return subs.join(users, "user_id", "left_anti"), items.join(users, "user_id", "left_anti"), summary
 
 
 def months_expiry(ts: Column, months: Column, overflow: bool = False) -> Column:

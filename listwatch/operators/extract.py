@@ -17,6 +17,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from listwatch.functions.dates import ad_created_text
 from listwatch.functions.text import normalize_text, strip_tags
 from listwatch.functions.urls import AUCTION_PATTERNS, ITEM_ID_PATTERN, SITE_DOMAIN, CANONICAL_PREFIX
 from listwatch.functions.urls import canonical_url, is_external
@@ -89,17 +90,18 @@ class FeedMarkup:
     auction_patterns: tuple = AUCTION_PATTERNS
 
 
-def feed_links(pages: DataFrame, m: FeedMarkup = FeedMarkup()) -> DataFrame:
+def feed_links(pages: DataFrame, m: FeedMarkup = FeedMarkup(), keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per listing card (page_id, pos, url, raw_href, title,
     price_raw, seller_type). Cards are the anchors (kept only when their
     class names a seller type, unless ``require_seller_class`` is off);
     links with no href are dropped (P10); the raw URL is checked for
     external / auction links first (Q16), then canonicalised (P1); the
     first card of each URL in a page wins (U1); seller type is 'agency' when
-    the class says so, else 'private' (X11)."""
+    the class says so, else 'private' (X11). ``keep``: columns of the page
+    that each of its cards carries on."""
     h = F.col("html")
     cards = pages.select(
-        "page_id",
+        "page_id", *keep,
         F.posexplode(F.arrays_zip(
             F.regexp_extract_all(h, F.lit(m.anchor), 1).alias("attrs"),
             F.regexp_extract_all(h, F.lit(m.anchor), 2).alias("body"))).alias("pos", "card"))
@@ -108,7 +110,7 @@ def feed_links(pages: DataFrame, m: FeedMarkup = FeedMarkup()) -> DataFrame:
     raw = F.regexp_extract(attrs, m.href, 1)
     heading = F.regexp_extract(body, m.heading, 1)
     c = cards.select(
-        "page_id", F.col("pos").cast("bigint").alias("pos"), raw.alias("raw_href"), cls.alias("_cls"),
+        "page_id", *keep, F.col("pos").cast("bigint").alias("pos"), raw.alias("raw_href"), cls.alias("_cls"),
         F.trim(F.when(heading != "", strip_tags(heading)).otherwise(strip_tags(body))).alias("title"),
         F.trim(strip_tags(F.regexp_extract(body, m.price, 1))).alias("price_raw"))
     if m.require_seller_class:
@@ -118,9 +120,9 @@ def feed_links(pages: DataFrame, m: FeedMarkup = FeedMarkup()) -> DataFrame:
     c = c.withColumn("url", canonical_url(F.col("raw_href"), m.id_pattern, m.canonical_prefix))
     c = c.filter(F.col("url") != "")
     c = c.withColumn("seller_type", F.when(F.col("_cls").contains("agency"), "agency").otherwise("private"))
-    first = (c.groupBy("page_id", "url")
+    first = (c.groupBy("page_id", *keep, "url")
              .agg(F.min_by(F.struct("pos", "raw_href", "title", "price_raw", "seller_type"), F.col("pos")).alias("r")))
-    return first.select("page_id", F.col("r.pos").alias("pos"), "url", "r.raw_href", "r.title", "r.price_raw",
+    return first.select("page_id", *keep, F.col("r.pos").alias("pos"), "url", "r.raw_href", "r.title", "r.price_raw",
                         "r.seller_type")
 
 
@@ -136,6 +138,7 @@ class DetailMarkup:
     label: str = r"""(?is)<dd[^>]*class="[^"]*item-detail_label[^"]*"[^>]*>(.*?)</dd>"""
     value: str = r"""(?is)<dt[^>]*class="[^"]*item-detail_value[^"]*"[^>]*>(.*?)</dt>"""
     description: str = r"(?is)<p[^>]*>(.*?)</p>"
+    agency: str = r"""(?i)class="[^"]*agency[^"]*\""""
 
 
 def zip_labels(labels: Column, values: Column) -> Column:
@@ -163,9 +166,13 @@ def spec_triage(boxes: Column) -> tuple[Column, Column, Column]:
             F.array_join(hands_box, " "), F.array_join(km_box, " "))
 
 
-def page_detail(pages: DataFrame, m: DetailMarkup = DetailMarkup()) -> DataFrame:
-    """S3: title, price, spec fields, location, raw creation text, the
-    label -> value map (as map and JSON, X15) and the first paragraph."""
+def page_detail(pages: DataFrame, m: DetailMarkup = DetailMarkup(), as_of: Column | None = None,
+                preset_seller: Column | None = None) -> DataFrame:
+    """S3: title, price, spec fields, location, creation text as found and as
+    a date text (X10, relative to ``as_of``), the label -> value map (as map
+    and JSON, X15), the first paragraph, and the seller type: the preset one
+    (from the feed), else 'agency' when a class of the page says so, else
+    'private' (X11)."""
     h = F.col("html")
 
     def one(pattern):
@@ -179,11 +186,16 @@ def page_detail(pages: DataFrame, m: DetailMarkup = DetailMarkup()) -> DataFrame
     labels = F.transform(F.regexp_extract_all(h, F.lit(m.label), 1), strip_tags)
     values = F.transform(F.regexp_extract_all(h, F.lit(m.value), 1), strip_tags)
     fields = zip_labels(labels, values)
+    created = F.regexp_replace(one(m.created), "‏", "")
+    by_class = F.when(h.rlike(m.agency), "agency").otherwise("private")
+    preset = F.lit(None).cast("string") if preset_seller is None else F.nullif(F.trim(preset_seller), F.lit(""))
     return pages.select(
         "page_id", "url",
         one(m.title).alias("title"), one(m.price).alias("price_raw"),
         year.alias("year_raw"), hands.alias("hands_raw"), km.alias("km_raw"),
         one(m.location).alias("location"),
-        F.regexp_replace(one(m.created), "‏", "").alias("created_raw"),
+        created.alias("created_raw"),
+        (created if as_of is None else ad_created_text(created, as_of)).alias("ad_created_at"),
+        F.coalesce(preset, by_class).alias("seller_type"),
         fields.alias("fields"), F.to_json(fields).alias("fields_json"),
         one(m.description).alias("description"))

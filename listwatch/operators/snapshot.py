@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType
 
 VALUE_COLS = ["price_raw", "price", "seller_type", "last_seen_at"]
 
@@ -29,8 +30,12 @@ def upsert(old: DataFrame, batch: DataFrame, order: Column, value_cols: list[str
     is not in the batch); ``first_seen_at`` of the stored row, filled from
     the first batch row when missing or NULL (Q17)."""
     missing = [c for c in value_cols + ["first_seen_at"] if c not in batch.columns]
-    for c in missing:  # P11: absent columns get defaults
-        batch = batch.withColumn(c, F.lit(None).cast(old.schema[c].dataType))
+    for c in missing:  # P11: absent text is empty text, other absent values are NULL
+        kind = old.schema[c].dataType
+        batch = batch.withColumn(c, F.lit("" if kind == StringType() else None).cast(kind))
+    for c in value_cols:  # P11: attribute maps are stored as JSON text
+        if isinstance(batch.schema[c].dataType, MapType):
+            batch = batch.withColumn(c, F.to_json(c))
     o = old.select("url", "first_seen_at", *value_cols,
                    F.struct(F.lit(0).alias("src"), F.lit(None).cast(batch.select(order).schema[0].dataType)
                             .alias("seq")).alias("_ord"))

@@ -81,3 +81,34 @@ def ordered_user_subscriptions(subs: DataFrame) -> DataFrame:
     """O2: a user's subscriptions ordered by brand, model (adds ``pos``)."""
     w = Window.partitionBy("user_id").orderBy("brand", "model")
     return subs.withColumn("pos", F.row_number().over(w).cast("bigint"))
+
+
+def stamp_checked(subs: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Stamp the subscriptions that a job covered. ``jobs``: user_id,
+    brands (the job's brand names), checked_at. Of a covered brand the model
+    subscriptions are stamped, or the brand-only one when there are none."""
+    done = (jobs.select("user_id", F.explode("brands").alias("_brand"), "checked_at")
+            .groupBy("user_id", "_brand").agg(F.max("checked_at").alias("_at")))
+    s = subs.withColumn("_brand", F.trim(F.coalesce("brand", F.lit("")))).withColumn(
+        "_model", F.trim(F.coalesce("model", F.lit(""))))
+    with_models = s.groupBy("user_id", "_brand").agg(F.bool_or(F.col("_model") != "").alias("_any"))
+    j = s.join(with_models, ["user_id", "_brand"]).join(done, ["user_id", "_brand"], "left")
+    stamped = F.col("_at").isNotNull() & ((F.col("_model") != "") | ~F.col("_any"))
+    return j.withColumn("last_checked_at", F.when(stamped, F.col("_at")).otherwise(F.col("last_checked_at"))).drop(
+        "_brand", "_model", "_any", "_at")
+
+
+def delete_rows(subs: DataFrame, requests: DataFrame) -> DataFrame:
+    """Delete single rows by (row_id, user_id); a row id of someone
+    else's subscription deletes nothing."""
+    return subs.join(requests.select("row_id", "user_id").distinct(), ["row_id", "user_id"], "left_anti")
+
+
+def wipe_totals(subs: DataFrame, items: DataFrame) -> DataFrame:
+    """M13/A2 for everybody: how many subscriptions and how many shown items
+    a wipe of both tables deletes. One row."""
+    both = subs.select(F.lit(1).alias("s"), F.lit(0).alias("i"), "user_id").unionByName(
+        items.select(F.lit(0).alias("s"), F.lit(1).alias("i"), "user_id"))
+    per_user = both.groupBy("user_id").agg(F.sum("s").alias("s"), F.sum("i").alias("i"))
+    return per_user.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("n_subs"), F.coalesce(F.sum("i"), F.lit(0)).alias("n_items"),
+                        F.count_if(F.col("s") > 0).alias("n_users"))

@@ -47,7 +47,7 @@ def plan_events(spark, sf_dir) -> DataFrame:
 
 _PLAN_CASE = """CASE o_orderpriority WHEN '1-URGENT' THEN 'dealer' WHEN '2-HIGH' THEN 'pro'
                 WHEN '3-MEDIUM' THEN 'starter' WHEN '4-NOT SPECIFIED' THEN 'starter' WHEN '5-LOW' THEN 'free' END"""
-_LIMITS_SQL = "(VALUES ('free', 2), ('free_expired', 0), ('starter', 10), ('pro', 20), ('dealer', 50), ('admin', 999)) AS lim(plan, max_subs)"
+_LIMITS_SQL = "(VALUES " + ", ".join(f"('{p}', {n})" for p, n in E.PLAN_LIMITS.items()) + ") AS lim(plan, max_subs)"
 
 _PLANS_SQL = f"""
 pe AS (SELECT o_custkey AS user_id, {_PLAN_CASE} AS plan_name, CAST(o_orderdate AS TIMESTAMP) AS ts, o_orderkey AS seq
@@ -101,6 +101,15 @@ subs_state AS (SELECT l.user_id, l.brand, l.model, c.created_at, k.last_checked_
                LEFT JOIN checked k USING (user_id, brand, model))"""
 
 
+_ITEMS_SQL = """SELECT DISTINCT user_id, json_extract_string(props, '$.k') AS url FROM events WHERE event_type IN ('click', 'view')"""
+
+
+def shown_items(spark, sf_dir) -> DataFrame:
+    """What users were shown: the items they clicked or viewed."""
+    e = T.table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "view"))
+    return e.select("user_id", F.get_json_object("props", "$.k").alias("url")).distinct()
+
+
 def subs_state_df(spark, sf_dir) -> DataFrame:
     return subs.fold_subscription_events(sub_events(spark, sf_dir))
 
@@ -140,10 +149,40 @@ def sub_counts(spark, sf_dir):
 
 
 @register("sub_totals", "A2 M13", oracle=f"""WITH {_SUBS_SQL.strip()}
-SELECT count(*) AS n_subs, count(DISTINCT user_id) AS n_users FROM subs_state""")
+SELECT count(*) AS n_subs, (SELECT count(*) FROM ({_ITEMS_SQL})) AS n_items, count(DISTINCT user_id) AS n_users FROM subs_state""")
 def sub_totals(spark, sf_dir):
-    s = subs_state_df(spark, sf_dir)
-    return s.agg(F.count(F.lit(1)).alias("n_subs"), F.countDistinct("user_id").alias("n_users"))
+    return subs.wipe_totals(subs_state_df(spark, sf_dir), shown_items(spark, sf_dir))
+
+
+@register("job_stamps", "J11 M11", oracle=f"""WITH {_SUBS_SQL.strip()},
+jb AS (SELECT user_id, 'brand#' || CAST(k % 5 + 1 AS VARCHAR) AS b, max(CAST(ts AS TIMESTAMP)) AS at
+       FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE event_type = 'purchase' GROUP BY ALL),
+w AS (SELECT user_id, brand, bool_or(trim(model) <> '') AS has FROM subs_state GROUP BY ALL)
+SELECT s.user_id, s.brand, s.model, s.created_at,
+       CASE WHEN jb.at IS NOT NULL AND (trim(s.model) <> '' OR NOT w.has) THEN jb.at ELSE s.last_checked_at END AS last_checked_at
+FROM subs_state s JOIN w USING (user_id, brand) LEFT JOIN jb ON jb.user_id = s.user_id AND jb.b = trim(s.brand)""")
+def job_stamps(spark, sf_dir):
+    """Each purchase is a finished job over one brand."""
+    e = T.table(spark, sf_dir, "events").filter(F.col("event_type") == "purchase")
+    brand = F.concat(F.lit("brand#"), (F.get_json_object("props", "$.k").cast("bigint") % 5 + 1).cast("string"))
+    jobs = e.select("user_id", F.array(brand).alias("brands"), F.col("ts").cast("timestamp").alias("checked_at"))
+    return subs.stamp_checked(subs_state_df(spark, sf_dir), jobs)
+
+
+@register("sub_row_delete", "M10", oracle=with_views_subs("""
+SELECT row_id, user_id, brand, model FROM (
+    SELECT *, user_id * 2 + CASE WHEN starts_with(brand, 'brand') THEN 0 ELSE 1 END AS row_id FROM subscriptions)
+WHERE (row_id, user_id) NOT IN (
+    SELECT (user_id * 2 + k % 2, user_id + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END)
+    FROM (SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'error'))"""))
+def sub_row_delete(spark, sf_dir):
+    """Delete requests by (row id, owner); every third names the wrong owner."""
+    s = T.subscriptions(spark, sf_dir)
+    s = s.withColumn("row_id", F.col("user_id") * 2 + F.when(F.col("brand").startswith("brand"), 0).otherwise(1))
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    requests = T.table(spark, sf_dir, "events").filter(F.col("event_type") == "error").select(
+        (F.col("user_id") * 2 + k % 2).alias("row_id"), (F.col("user_id") + F.when(k % 3 == 0, 1).otherwise(0)).alias("user_id"))
+    return subs.delete_rows(s, requests).select("row_id", "user_id", "brand", "model")
 
 
 _EFFECTIVE_SQL = f"""
@@ -226,13 +265,29 @@ def trial_expired(spark, sf_dir):
 @register("trial_reset", "J12 M13 M19 M20 T5 A3 Q15", oracle=f"""WITH {_PLANS_SQL.strip()}, {_SUBS_SQL.strip()},
 ex AS (SELECT DISTINCT user_id FROM plans WHERE lower(coalesce(plan_name, 'free')) = 'free'
        AND free_started_at IS NOT NULL AND free_started_at <= {AS_OF_SQL} - INTERVAL {E.TRIAL_DAYS} DAY)
-SELECT ex.user_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_deleted, {AS_OF_SQL} AS free_started_at,
-       {AS_OF_SQL} AS last_free_reset_at, coalesce(n.n, 0) > 0 AS notify
-FROM ex LEFT JOIN (SELECT user_id, count(*) AS n FROM subs_state GROUP BY user_id) n USING (user_id)""")
+SELECT ex.user_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_deleted, CAST(coalesce(i.n, 0) AS BIGINT) AS n_items_deleted,
+       {AS_OF_SQL} AS free_started_at, {AS_OF_SQL} AS last_free_reset_at, coalesce(n.n, 0) > 0 AS notify
+FROM ex LEFT JOIN (SELECT user_id, count(*) AS n FROM subs_state GROUP BY user_id) n USING (user_id)
+LEFT JOIN (SELECT user_id, count(*) AS n FROM ({_ITEMS_SQL}) GROUP BY user_id) i USING (user_id)""")
 def trial_reset(spark, sf_dir):
+    return _reset(spark, sf_dir)[2]
+
+
+def _reset(spark, sf_dir):
     expired = E.trial_expired(plans_state(spark, sf_dir), _as_of())
-    _, summary = E.trial_reset(expired, subs_state_df(spark, sf_dir), _as_of())
-    return summary
+    return E.trial_reset(expired, subs_state_df(spark, sf_dir), shown_items(spark, sf_dir), _as_of())
+
+
+@register("trial_reset_kept", "J12 M13", oracle=f"""WITH {_PLANS_SQL.strip()}, {_SUBS_SQL.strip()},
+ex AS (SELECT DISTINCT user_id FROM plans WHERE lower(coalesce(plan_name, 'free')) = 'free'
+       AND free_started_at IS NOT NULL AND free_started_at <= {AS_OF_SQL} - INTERVAL {E.TRIAL_DAYS} DAY)
+SELECT 'sub' AS kind, user_id, brand || '/' || model AS what FROM subs_state WHERE user_id NOT IN (SELECT user_id FROM ex)
+UNION ALL SELECT 'item', user_id, url FROM ({_ITEMS_SQL}) WHERE user_id NOT IN (SELECT user_id FROM ex)""")
+def trial_reset_kept(spark, sf_dir):
+    """What the reset leaves: subscriptions and shown items of all others."""
+    kept, items, _ = _reset(spark, sf_dir)
+    return kept.select(F.lit("sub").alias("kind"), "user_id", F.concat_ws("/", "brand", "model").alias("what")).unionByName(
+        items.select(F.lit("item").alias("kind"), "user_id", F.col("url").alias("what")))
 
 
 _QUOTA_SEL = """

@@ -37,6 +37,6 @@ def register(name: str, operators: str, oracle: str | None = None):
 def all_queries() -> dict[str, Query]:
     # importing the plan modules fills the registry
     from listwatch.plans import (  # noqa: F401
-        matching, listing_state, alerts, runs, entitlements, pages, catalog, reports, ordering, streams,
+        matching, listing_state, crawl, alerts, runs, entitlements, pages, catalog, reports, ordering, streams,
     )
     return dict(_QUERIES)

@@ -22,30 +22,40 @@ REPORT_COLUMNS = [
 ]
 
 
+# fixed values: other names under which rows may carry a report column
+ALTERNATE_NAMES = {"url": ["link"], "price": ["amount"], "km": ["mileage"]}
+
+
 def report_table(rows):
     """K2: the 12 report columns in order, with local headers, dd/MM/yyyy
     dates (X3), local seller type (X6), and the url as a link label plus a
-    ``link_target`` column for the hyperlink."""
+    ``link_target`` column for the hyperlink. A column may come under an
+    alternate name, in any case; the first non-empty one counts, and a
+    column that is not there is empty."""
     H = dict(REPORT_COLUMNS)
+    known = {c.lower() for c in rows.columns}
 
     def txt(c):
-        return F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+        names = [n for n in [c, *ALTERNATE_NAMES.get(c, [])] if n in known]
+        return F.trim(F.coalesce(*[F.nullif(F.trim(F.col(n).cast("string")), F.lit("")) for n in names], F.lit("")))
 
     return rows.select(
         F.when(txt("url") != "", F.lit(H["url"])).otherwise(F.lit("")).alias(H["url"]),
         txt("url").alias("link_target"),
-        dates.format_date_only(F.col("ad_created_at"), is_text=True).alias(H["ad_created_at"]),
+        dates.format_date_only(txt("ad_created_at"), is_text=True).alias(H["ad_created_at"]),
         txt("brand").alias(H["brand"]), txt("model").alias(H["model"]), txt("price").alias(H["price"]),
         txt("year").alias(H["year"]), txt("km").alias(H["km"]), txt("hands").alias(H["hands"]),
-        txt("location").alias(H["location"]), labels.seller_label(F.col("seller_type")).alias(H["seller_type"]),
+        txt("location").alias(H["location"]), labels.seller_label(txt("seller_type")).alias(H["seller_type"]),
         dates.format_date_only(F.col("first_seen_at")).alias(H["first_seen_at"]),
         dates.format_date_only(F.col("last_seen_at")).alias(H["last_seen_at"]))
 
 
-@register("report_rows", "K2 X3 X4 X6", oracle=with_views(["listings"], """
+@register("report_rows", "K2 X3 X6", oracle=with_views(["listings"], """
 SELECT CASE WHEN trim(url) <> '' THEN 'קישור' ELSE '' END AS "קישור", trim(url) AS link_target,
-       '' AS "פורסם", trim(brand) AS "יצרן", trim(model) AS "דגם", trim(coalesce(price_raw, '')) AS "מחיר",
-       coalesce(CAST(year(first_seen_at) AS VARCHAR), '') AS "שנה", '' AS "ק״מ", '' AS "ידיים", '' AS "מיקום",
+       coalesce(strftime(first_seen_at, '%d/%m/%Y'), '') AS "פורסם", trim(brand) AS "יצרן", trim(model) AS "דגם",
+       trim(coalesce(price_raw, '')) AS "מחיר",
+       coalesce(CAST(year(first_seen_at) AS VARCHAR), '') AS "שנה", coalesce(CAST(price % 300000 AS VARCHAR), '') AS "ק״מ",
+       coalesce(CAST(price % 5 AS VARCHAR), '') AS "ידיים", split_part(trim(model), ' ', 1) AS "מיקום",
        CASE lower(trim(coalesce(seller_type, ''))) WHEN 'private' THEN 'פרטי' WHEN 'agency' THEN 'סוכנות'
             ELSE lower(trim(coalesce(seller_type, ''))) END AS "סוג מודעה",
        coalesce(strftime(first_seen_at, '%d/%m/%Y'), '') AS "נראה לראשונה",
@@ -53,9 +63,11 @@ SELECT CASE WHEN trim(url) <> '' THEN 'קישור' ELSE '' END AS "קישור",
 FROM listings"""))
 def report_rows(spark, sf_dir):
     lst = T.listings(spark, sf_dir)
-    rows = lst.select("url", F.lit("").alias("ad_created_at"), "brand", "model", F.col("price_raw").alias("price"),
-                      F.year("first_seen_at").cast("string").alias("year"), F.lit("").alias("km"),
-                      F.lit("").alias("hands"), F.lit("").alias("location"), "seller_type",
+    # url, price and km come under their alternate names
+    rows = lst.select(F.col("url").alias("link"), F.date_format("first_seen_at", "dd/MM/yyyy").alias("ad_created_at"), "brand", "model",
+                      F.col("price_raw").alias("Amount"), F.year("first_seen_at").cast("string").alias("Year"),
+                      (F.col("price") % 300000).alias("mileage"), (F.col("price") % 5).alias("hands"),
+                      F.split_part(F.trim("model"), F.lit(" "), F.lit(1)).alias("location"), "seller_type",
                       "first_seen_at", "last_seen_at")
     return report_table(rows)
 
@@ -71,19 +83,19 @@ _CARD_SQL = f"""
 c AS (
     SELECT l.url, l.brand, l.model, l.price_raw, l.seller_type, l.first_seen_at, l.last_seen_at,
            CASE WHEN p.p_size % 5 = 0 THEN '' ELSE l.title END AS title, d.text AS description,
-           list_filter([
-               {{'label': '{labels.SPEC_YEAR}', 'value': trim(coalesce(CAST(year(l.first_seen_at) AS VARCHAR), ''))}},
+           list_filter(list_concat([
+               {{'label': '{labels.SPEC_YEAR}', 'value': trim(coalesce(CAST(year(l.first_seen_at) AS VARCHAR), ''))}}], CASE WHEN p.p_size % 11 = 0 THEN [] ELSE [
                {{'label': 'Gearbox', 'value': CASE WHEN p.p_size % 2 = 0 THEN 'auto' ELSE '' END}},
                {{'label': 'Trim', 'value': trim(p.p_type)}},
                {{'label': 'Color', 'value': trim(split_part(p.p_name, ' ', 1))}},
-               {{'label': 'size', 'value': CAST(p.p_size AS VARCHAR)}}], lambda e: e.value <> '')[1:{CARD_SPECS}] AS specs
+               {{'label': 'size', 'value': CAST(p.p_size AS VARCHAR)}}] END), lambda e: e.value <> '')[1:{CARD_SPECS}] AS specs
     FROM listings l JOIN part p ON CAST(p.p_partkey AS VARCHAR) = l.url
     LEFT JOIN documents d ON CAST(d.doc_id AS VARCHAR) = l.url),
 c2 AS (SELECT *, CASE WHEN trim(title) = '' THEN trim(concat_ws(' ', trim(brand), trim(model))) ELSE trim(title) END AS t,
               lower(trim(coalesce(seller_type, ''))) AS st FROM c)"""
 
 
-@register("listing_cards", "X16 X17 X19 X20 Q10", oracle=with_views(["listings"], f"""
+@register("listing_cards", "X16 X17 X19 X20 X4 Q10", oracle=with_views(["listings"], f"""
 SELECT url, CAST(len(specs) AS BIGINT) AS n_specs, substring(trim(concat_ws(chr(10),
     CASE WHEN t <> '' THEN '🚗 *' || {_esc('t')} || '*' END,
     CASE WHEN trim(coalesce(price_raw, '')) <> '' THEN '{labels.CARD_PRICE}: ' || {_esc('trim(price_raw)')} END,
@@ -107,11 +119,13 @@ def listing_cards(spark, sf_dir):
     docs = T.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("url"),
                                                        F.col("text").alias("description"))
     j = lst.join(p, "url").join(docs, "url", "left")
-    fields = F.create_map(
+    stored = F.to_json(F.create_map(
         F.lit("Gearbox"), F.when(F.col("p_size") % 2 == 0, F.lit("auto")).otherwise(F.lit("")),
         F.lit("Trim"), F.col("p_type"),
         F.lit("Color"), F.split_part(F.col("p_name"), F.lit(" "), F.lit(1)),
-        F.lit("size"), F.col("p_size").cast("string"))
+        F.lit("size"), F.col("p_size").cast("string")))
+    # every eleventh listing's stored text is broken: it has no attributes
+    fields = labels.fields_of_text(F.when(F.col("p_size") % 11 == 0, F.substring(stored, 1, 9)).otherwise(stored))
     specs = labels.spec_list(F.year("first_seen_at").cast("string"), F.lit(""), F.lit(""), F.lit(""), fields,
                              max_items=CARD_SPECS)
     title = F.when(F.col("p_size") % 5 == 0, F.lit("")).otherwise(F.col("title"))

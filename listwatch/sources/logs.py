@@ -26,9 +26,3 @@ def parse_flag_lines(lines: DataFrame, col: str = "value") -> DataFrame:
         F.regexp_extract(v, LINE_PATTERN, 4).alias("reason"),
         ip.rlike(IPV4_SHAPE).alias("ip_valid"),
     )
-
-
-def flag_times(parsed: DataFrame) -> DataFrame:
-    """The parsed log as (ip, ts) flags for the deny-list."""
-    return parsed.select("ip", F.try_to_timestamp(F.col("ts_text"), F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("ts"),
-                         "reason")
