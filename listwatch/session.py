@@ -48,8 +48,16 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
 def apply_conf(spark: SparkSession) -> None:
-    """Apply the runtime SQL settings to a session someone else built."""
+    """Apply the runtime SQL settings to a session someone else built, and
+    let its Python workers import this package from where the driver did."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if PACKAGE_ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *paths])
     for k, v in BASE_CONF.items():
         if k.startswith("spark.sql."):
             spark.conf.set(k, v)
