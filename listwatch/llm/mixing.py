@@ -7,9 +7,8 @@ actual share, scaled so that the largest is 1 (or to a wanted fraction of the
 tokens). Kept tokens therefore have the target margins in expectation.
 
 DataFrame functions only. The documents are read once to count cells and once
-to sample; in between the work is on one row per cell, each round a
-partial aggregate per margin joined back to the cells and written as a table,
-so neither lineage nor plan grows with the rounds. The draw is a hash of the
+to sample; in between the work is on one row per cell, a few rounds to a
+table, so neither lineage nor plan grows with the rounds. The draw is a hash of the
 document's id, text and a seed: the same rows are kept whatever the partitioning.
 
 Defined cases: null sources, languages and topics are values of their own;
@@ -24,10 +23,13 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from listwatch.llm.common import Scratch
 
+#: Rounds in one plan, between two tables.
+ROUNDS_A_TABLE = 3
 #: Rounds at most; raking stops when the margins fit to TOLERANCE, or no longer change by as much.
 ROUNDS = 60
 TOLERANCE = 1e-9
@@ -59,44 +61,38 @@ def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
 def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, rounds: int = ROUNDS,
          tolerance: float = TOLERANCE) -> DataFrame:
     """``cells`` (margins..., tokens) with ``weight``, whose sums per margin fit the target shares (margin, target)."""
-    margins = list(targets)
     total = cells.agg(F.sum("tokens").alias("t")).first()["t"] or 0
-    cur = scratch.save(cells.withColumn("weight", F.col("tokens") / F.lit(float(total or 1))), "rake-0")
-    # of each margin: what its values are to weigh; values without a target keep their share, the others fill the rest
-    goals = {}
-    for m in margins:
-        actual = cur.groupBy(m).agg(F.sum("weight").alias("actual")).where("actual > 0")
-        both = actual.join(targets[m], actual[m].eqNullSafe(targets[m][m]), "left").select(actual[m], "actual", "target")
-        sums = both.agg(F.sum("target").alias("named"), F.sum(F.when(F.col("target").isNull(), F.col("actual"))).alias("free")).first()
-        named, free = float(sums["named"] or 1), float(sums["free"] or 0)
-        goals[m] = scratch.save(both.select(m, F.coalesce(F.col("target") / named * (1 - free), F.col("actual")).alias("goal")), f"goal-{m}")
-    before = float("inf")
-    for r in range(1, rounds + 1):
+    cur = cells.withColumn("weight", F.col("tokens") / F.lit(float(total or 1)))
+    for m, target in targets.items():  # what each value of a margin is to weigh
+        goal = _goals(cells, m, target, total)
+        cur = cur.join(goal, cur[m].eqNullSafe(goal[f"_{m}"]), "left").drop(f"_{m}")
+    before, cur = float("inf"), scratch.save(cur, "rake")
+    for _ in range(0, rounds, ROUNDS_A_TABLE):
         fitted = cur
-        for m in margins:
-            sums = fitted.groupBy(m).agg(F.sum("weight").alias("sum"))
-            factor = sums.join(goals[m], sums[m].eqNullSafe(goals[m][m])).where("sum > 0").select(
-                sums[m].alias("_m"), (F.col("goal") / F.col("sum")).alias("factor"))
-            fitted = fitted.join(factor, fitted[m].eqNullSafe(F.col("_m")), "left").withColumn(
-                "weight", F.col("weight") * F.coalesce("factor", F.lit(1.0))).drop("_m", "factor")
-        fitted = scratch.save(fitted, f"rake-{r}")
-        scratch.drop(f"rake-{r - 1}")
-        cur = fitted
+        for _ in range(ROUNDS_A_TABLE):
+            for m in targets:
+                # a window holds the cells, not the documents, of one value of the margin
+                fitted = fitted.withColumn(f"sum_{m}", F.sum("weight").over(Window.partitionBy(m)))
+                fitted = fitted.withColumn("weight", F.col("weight") * F.coalesce(
+                    F.col(f"goal_{m}") / F.nullif(F.col(f"sum_{m}"), F.lit(0.0)), F.lit(1.0)))
+        misfit = F.greatest(F.lit(0.0), *[F.abs(F.col(f"sum_{m}") - F.col(f"goal_{m}")) for m in targets])
+        cur = scratch.save(fitted.select(*cur.columns, misfit.alias("misfit")), "rake")
+        now = cur.agg(F.max("misfit")).first()[0] or 0.0
+        cur = cur.drop("misfit")
         # margins that contradict each other (a source with a language of its own) settle without fitting
-        now = misfit(cur, goals)
         if now < tolerance or abs(before - now) < tolerance:
             break
         before = now
-    return cur
+    return cur.select(*cells.columns, "weight")
 
 
-def misfit(cells: DataFrame, goals: dict[str, DataFrame]) -> float:
-    """Largest difference of a margin's weight from its goal."""
-    parts = []
-    for m, goal in goals.items():
-        sums = cells.groupBy(m).agg(F.sum("weight").alias("sum"))
-        parts.append(goal.join(sums, sums[m].eqNullSafe(goal[m])).agg(F.max(F.abs(F.col("sum") - F.col("goal"))).alias("d")))
-    return float(reduce(DataFrame.unionByName, parts).agg(F.max("d")).first()[0] or 0.0)
+def _goals(cells: DataFrame, margin: str, target: DataFrame, total: int) -> DataFrame:
+    """(_margin, goal_margin): values without a target keep their share, the others fill the rest."""
+    actual = cells.groupBy(margin).agg((F.sum("tokens") / F.lit(float(total or 1))).alias("actual")).where("actual > 0")
+    both = actual.join(target, actual[margin].eqNullSafe(target[margin]), "left").select(actual[margin].alias(f"_{margin}"), "actual", "target")
+    sums = both.agg(F.sum("target").alias("named"), F.sum(F.when(F.col("target").isNull(), F.col("actual"))).alias("free")).first()
+    named, free = float(sums["named"] or 1), float(sums["free"] or 0)
+    return both.select(f"_{margin}", F.coalesce(F.col("target") / named * (1 - free), F.col("actual")).alias(f"goal_{margin}"))
 
 
 def draw(id_col: str, text: Column, seed: str = SEED) -> Column:
