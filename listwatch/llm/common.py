@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwatch.session import checkpoint_dir
+from listwatch.session import apply_conf, checkpoint_dir
 
 #: Rows of one Arrow batch. Texts can be long, so a batch holds few of them.
 BATCH_ROWS = 256
@@ -25,6 +25,7 @@ class Scratch:
         self.spark = spark
         self.saved: dict[str, str] = {}
         self.root = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+        apply_conf(spark)
         # a general setting of all Python steps here: bounded Arrow batches
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
@@ -42,6 +43,25 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def under_share(key: Column, share: Column | float) -> Column:
+    """True for about ``share`` of all uniform 64-bit hashes: the smallest ones."""
+    limit = F.least(F.lit(1.0), F.lit(share) if isinstance(share, float) else share) * F.lit(2.0 ** 64) - F.lit(2.0 ** 63)
+    return key.cast("double") <= limit
+
+
+def enough_for(limit: int, total: Column | float) -> Column | float:
+    """The share of ``total`` hashed rows that holds the ``limit`` smallest but for a chance below one in a million, so
+    that only about ``limit`` rows, and not ``limit`` of every task, meet in one task to be ranked."""
+    return (limit * 1.1 + 10 * limit ** 0.5 + 50) / total
+
+
+def smallest(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """The ``limit`` rows of smallest hash ``key`` (ties: by the other columns)."""
+    total = max(df.count(), 1)
+    others = [c for c in df.columns if c != key]
+    return df.where(under_share(F.col(key), enough_for(limit, float(total)))).orderBy(key, *others).limit(limit)
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node of the undirected ``edges`` (a, b); root is the smallest node reachable.
 

@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from listwatch.llm.common import enough_for, under_share
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
@@ -195,20 +197,26 @@ class Predictor:
         return lang, score
 
 
-def sample(df: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> DataFrame:
-    """(piece, lang): of each language the ``per_lang`` texts of smallest hash (ties: smaller text); of each a piece
-    of up to PIECE characters that starts at a place given by the hash."""
-    key = F.xxhash64(F.col(text_col))
+def sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> DataFrame:
+    """(piece, lang): of each language the ``per_lang`` documents of smallest hash of id and text; of each a piece of up
+    to PIECE characters that starts at a place given by the hash. Languages are counted first, so that only hashes
+    small enough to be chosen are ranked."""
+    usable = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
     start = F.pmod(key, F.greatest(F.length(text_col) - PIECE, F.lit(0)) + 1) + 1
-    rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), key.alias("key"),
-        F.col(text_col).substr(start.cast("int"), F.lit(PIECE)).alias("piece"))
+    counts = {r["lang"]: r["n"] for r in usable.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return usable.select(F.lit("").alias("piece"), F.col(lang_col).alias("lang")).limit(0)
+    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, enough_for(per_lang, float(n)))])
+    rows = usable.select(F.col(lang_col).alias("lang"), key.alias("key"),
+                         F.col(text_col).substr(start.cast("int"), F.lit(PIECE)).alias("piece"))
+    rows = rows.where(under_share(F.col("key"), F.element_at(shares, F.col("lang"))))
     rank = F.row_number().over(W.partitionBy("lang").orderBy("key", "piece"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("piece", "lang")
 
 
-def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Network:
-    rows = sorted((r["lang"], r["piece"]) for r in sample(df, text_col, lang_col, per_lang).collect())
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Network:
+    rows = sorted((r["lang"], r["piece"]) for r in sample(df, id_col, text_col, lang_col, per_lang).collect())
     if not rows:
         empty = np.zeros(0, np.float32)
         return Network([], {w: np.zeros((w, 256, FILTERS), np.float32) for w in WIDTHS}, empty, empty, empty)

@@ -100,4 +100,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op4_mixing": mixing.oracle(MIX),
     "op5_bm25": bm25.oracle(20, QUERY_EVERY),
+    "op8_warc": warc.ORACLE,
 }

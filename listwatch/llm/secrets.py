@@ -32,7 +32,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listwatch.llm.common import Scratch
+from listwatch.llm.common import Scratch, smallest
 
 DICTIONARY = 3000
 #: Lengths of dictionary words.
@@ -137,10 +137,10 @@ def weak_labels() -> Column:
 
 
 def train(labelled: DataFrame, scratch: Scratch, limit: int = TRAIN_ROWS):
-    """Fit the forest on ``limit`` rows of each label (columns FEATURES, value, label); None without both labels."""
-    key = F.xxhash64("value", *FEATURES)
+    """Fit the forest on ``limit`` rows of each label (the columns of ``candidates`` and label); None without both."""
+    key = F.xxhash64("text_key", "nth", "value")  # so that copies of a value are not chosen together
     rows = labelled.where(F.col("label").isNotNull()).select(F.col("label").cast("double").alias("label"), key.alias("key"), *FEATURES)
-    parts = [rows.where(F.col("label") == y).orderBy("key").limit(limit) for y in (0.0, 1.0)]
+    parts = [smallest(rows.where(F.col("label") == y), "key", limit) for y in (0.0, 1.0)]
     # a bounded set in one sorted partition: the forest's draws then don't depend on how the rows were dealt
     sample = scratch.save(parts[0].unionByName(parts[1]).repartition(1).sortWithinPartitions("key", "label"), "findings")
     if len(sample.select("label").distinct().collect()) < 2:

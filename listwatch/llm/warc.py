@@ -264,3 +264,17 @@ def round_trip(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", min_
     back = read(index, scratch.path("archive"), with_payload=False)
     return back.select(F.col("page_id").cast(id_type).alias(id_col), "payload_bytes", "payload_digest", "record_type",
                        F.col("refers_to").cast(id_type).alias("refers_to"))
+
+
+#: The round trip over ``pages`` in DuckDB SQL; base32 is read off the digest's bits, five at a time.
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, unhex(sha1(coalesce(html, '')))::BIT::VARCHAR AS bits FROM pages),
+f AS (SELECT h, min(page_id) AS first_id FROM p GROUP BY h)
+SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST(list_sum(list_transform(range(5), lambda j: CAST(substr(bits, 5 * i + j + 1, 1) AS INTEGER) << (4 - j))) AS INTEGER) + 1, 1)), '')
+           AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM first_id OR first_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM p JOIN f USING (h)
+"""
