@@ -1,14 +1,16 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration (operator 10).
 
 The labelled documents of smallest hash, ``SAMPLE`` at most, are dealt into
-three parts by hash. From the first part come the lexicon's terms: words, and
-beginnings of words (inflected forms share them), that far more toxic than
-clean documents hold. On the second part boosted trees learn from the dense
-features below; on the third part an isotonic step calibrates their scores.
-Trees and calibration are a few kilobytes, fitted in numpy on the driver.
-
-Features of a whole text: densities of lexicon words, of word beginnings and
-of obfuscated forms (letters replaced by look-alikes, split by punctuation or
+``FOLDS`` folds by a hash of their wording. The lexicon's terms are words, and beginnings of words
+(inflected forms share them), that far more toxic than clean documents hold;
+of near copies one counts, and they share a fold. A sample document gets its features with the lexicon of the other folds, so the
+trees see terms as they work on unseen texts; the isotonic step calibrates scores of
+trees that were fitted without the document's fold. Scoring uses lexicon and
+trees of the whole sample. All of it is a few kilobytes, fitted in numpy on the
+driver from one row of features per sample document.
+
+Features of a whole text: densities of lexicon words, of word beginnings, of
+common insults and of obfuscated forms (letters replaced by look-alikes, split by punctuation or
 stretched), the strongest term, the share of lexicon words near a second-person
 word, capitals, punctuation, obfuscation and stretching rates, length.
 
@@ -26,13 +28,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listwatch.llm.common import Scratch
+from listwatch.llm.common import Scratch, smallest
 
 SAMPLE = 30_000
+FOLDS = 4
 LEXICON = 2_000
+#: A term needs one in so many toxic documents (three at least), so that copies of one document give no terms.
+LEAST_SHARE = 100
 #: Lengths of the word beginnings that can be terms.
 STEMS = (4, 5, 6)
 #: Words to either side that count as near.
@@ -43,13 +49,23 @@ CACHE = 400_000
 SECOND_PERSON = frozenset((
     "you your yours yourself du dich dir dein deine deinen ihr euch euer tu te toi ton ta tes vous votre vos "
     "ti tus usted ustedes vosotros").split())
+# Common insults, a feature beside the learned lexicon
+INSULTS = frozenset((
+    "idiot idiots moron morons stupid dumb fool loser losers trash garbage scum clown jerk worthless pathetic disgusting "
+    "useless imbecile bastard bitch asshole dickhead shithead scumbag "
+    "idiotin dummkopf trottel depp arschloch abschaum versager wichser hurensohn "
+    "imbécile crétin connard connasse salaud salope ordure abruti débile "
+    "idiota imbécil estúpido estúpida tonto basura escoria cabrón gilipollas pendejo").split())
 # Characters that stand for letters in obfuscated words
 LOOK_ALIKE = str.maketrans("013457@$!|", "oleastasil")
 
-FEATURES = ("word_density", "stem_density", "hidden_density", "weight_density", "strongest", "log_hits", "distinct_share",
+FEATURES = ("word_density", "stem_density", "insult_density", "hidden_density", "weight_density", "strongest", "log_hits", "distinct_share",
             "near_second_person", "second_person_density", "capital_rate", "shouted_rate", "punctuation_rate",
             "exclaim_rate", "obfuscation_rate", "stretch_rate", "log_words")
 
+#: Weight of a common insult among the lexicon's log-odds.
+INSULT_WEIGHT = 3.0
+
 _EDGES = ".,;:!?\"'()[]{}<>*#$%&-_/\\|~+="
 _STRETCHED = re.compile(r"(.)\1\1")
 _SINGLE = re.compile(r"(.)\1+")
@@ -57,33 +73,54 @@ _SINGLE = re.compile(r"(.)\1+")
 
 def selected(labels: DataFrame, train: Column, id_col: str = "doc_id", label_col: str = "toxic",
              limit: int = SAMPLE) -> DataFrame:
-    """(id_col, y, part): the ``limit`` labelled ids of smallest hash."""
+    """(id_col, y): the ``limit`` labelled ids of smallest hash."""
     key = F.xxhash64(id_col)
-    return (labels.where(train & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
-            .groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("y"))
-            .select(id_col, "y", key.alias("key"), F.pmod(key, F.lit(3)).alias("part"))
-            .orderBy("key", id_col).limit(limit).select(id_col, "y", "part"))
+    known = (labels.where(train & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
+             .groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+             .select("y", id_col, key.alias("key")))
+    return smallest(known, "key", limit).select(id_col, "y")
+
+
+def with_sketch(texts: DataFrame) -> DataFrame:
+    """Adds ``sketch``, the smallest hash of the text's 3-word shingles: near copies mostly share it, other texts hardly
+    ever do. One pass in Python: word lists are long, and SQL lambdas would cut them anew for each shingle."""
+    schema = texts.select("*").schema.add("sketch", "long")
+
+    def run(batches):
+        for b in batches:
+            hashes = []
+            for t in b.column("text").to_pylist():
+                words = (t or "").lower().split()
+                hashes.append(min(xxhash.xxh64_intdigest(" ".join(words[i:i + 3])) for i in range(max(1, len(words) - 2))))
+            yield b.append_column("sketch", pa.array(np.array(hashes, dtype=np.uint64).view(np.int64)))
+
+    return texts.mapInArrow(run, schema)
 
 
 def terms(texts: DataFrame) -> DataFrame:
-    """(term, kind, n_toxic, n): documents of (text, y) that hold a word or a beginning of a longer word."""
+    """(term, part, n_toxic, n): documents of (text, y, part, sketch) that hold a word or a beginning of a longer word;
+    of documents with equal sketch and label one counts."""
+    texts = texts.groupBy("sketch", "y", "part").agg(F.min("text").alias("text"))
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
     stems = [F.transform(F.filter("words", lambda w, n=n: F.length(w) > n), lambda w, n=n: F.substring(w, 1, n)) for n in STEMS]
-    both = texts.select("y", words.alias("words")).select(
-        "y", F.array_distinct(F.concat(
+    both = texts.select("y", "part", words.alias("words")).select(
+        "y", "part", F.array_distinct(F.concat(
             F.transform("words", lambda w: F.concat(F.lit("="), w)), *stems)).alias("terms"))
-    return (both.select("y", F.explode("terms").alias("term")).groupBy("term")
+    return (both.select("y", "part", F.explode("terms").alias("term")).where(F.length("term") >= 4).groupBy("term", "part")
             .agg(F.sum("y").alias("n_toxic"), F.count("*").alias("n")))
 
 
-def lexicon(texts: DataFrame, limit: int = LEXICON) -> dict[str, float]:
-    """Log-odds of the strongest terms; a leading '=' marks a whole word, the rest are beginnings."""
-    total = texts.agg(F.sum("y").alias("t"), F.count("*").alias("n")).first()
-    toxic, clean = int(total["t"] or 0), int(total["n"]) - int(total["t"] or 0)
+def lexicon(counted: DataFrame, sizes: DataFrame, without: int | None = None, limit: int = LEXICON) -> dict[str, float]:
+    """Log-odds of the strongest terms of all folds but one; a leading '=' marks a whole word, the rest are beginnings.
+    ``counted``: terms(); ``sizes``: documents per (part, y)."""
+    others = F.lit(True) if without is None else F.col("part") != without
+    n = {r["y"]: r["n"] for r in sizes.where(others).groupBy("y").agg(F.sum("n").alias("n")).collect()}
+    toxic, clean = int(n.get(1, 0)), int(n.get(0, 0))
     if not toxic or not clean:
         return {}
     odds = (F.log((F.col("n_toxic") + 0.5) / (toxic + 1)) - F.log((F.col("n") - F.col("n_toxic") + 0.5) / (clean + 1)))
-    found = (terms(texts).where((F.col("n_toxic") >= 3) & (F.length("term") >= 4)).select("term", odds.alias("odds"), "n_toxic")
+    found = (counted.where(others).groupBy("term").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n").alias("n"))
+             .where(F.col("n_toxic") >= max(3, toxic // LEAST_SHARE)).select("term", odds.alias("odds"), "n_toxic")
              .where("odds > 2.5").orderBy(F.desc(F.col("odds") * F.sqrt("n_toxic")), "term").limit(limit))
     return {r["term"]: float(r["odds"]) for r in found.collect()}
 
@@ -98,7 +135,7 @@ class Featurizer:
     def _reset(self):
         self.index: dict[str, int] = {}
         self.rows: list[tuple] = []
-        self.table = np.zeros((0, 11))
+        self.table = np.zeros((0, 12))
 
     def _term(self, word: str) -> tuple[float, float]:
         """Weights of a lower-case word as such and by its beginnings."""
@@ -110,19 +147,20 @@ class Featurizer:
         low = core.lower()
         word = stem = hidden = 0.0
         plain = low.isalpha()
+        insult = low in INSULTS
         if plain:
             word, stem = self._term(low)
         stretched = bool(_STRETCHED.search(low)) and any(c.isalpha() for c in low)
         mixed = not plain and any(c.isalpha() for c in low)
-        if not word and not stem and (mixed or stretched):
+        if not word and not stem and not insult and (mixed or stretched):
             letters = "".join(c for c in low.translate(LOOK_ALIKE) if c.isalpha())
             for form in {letters, _SINGLE.sub(r"\1", letters)}:
-                hidden = max(hidden, *self._term(form))
+                hidden = max(hidden, *self._term(form), INSULT_WEIGHT * (form in INSULTS))
         n_letters = sum(map(str.isalpha, token))
         n_upper = sum(map(str.isupper, token))
-        return (word, stem, hidden, max(word, stem, hidden), low in SECOND_PERSON, n_letters, n_upper,
+        return (word, stem, hidden, max(word, stem, hidden, INSULT_WEIGHT * insult), low in SECOND_PERSON, n_letters, n_upper,
                 n_letters >= 3 and n_upper == n_letters, len(token) - sum(map(str.isalnum, token)),
-                token.count("!") + token.count("?"), mixed + 2 * stretched)
+                token.count("!") + token.count("?"), mixed + 2 * stretched, insult)
 
     def _ids(self, tokens: list[str]) -> np.ndarray:
         index = self.index
@@ -141,7 +179,7 @@ class Featurizer:
         tokens = [(t or "").split() for t in texts]
         ids = [self._ids(t) for t in tokens]
         if len(self.rows) > len(self.table):
-            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table):], dtype=float).reshape(-1, 11)])
+            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table):], dtype=float).reshape(-1, 12)])
         out = np.zeros((len(texts), len(FEATURES)))
         for i, at in enumerate(ids):
             if len(at):
@@ -162,7 +200,7 @@ class Featurizer:
         letters = max(total[5], 1)
         mixed, stretched = rows[:, 10] % 2, rows[:, 10] >= 2
         return np.array((
-            100 * np.count_nonzero(rows[:, 0]) / n, 100 * np.count_nonzero(rows[:, 1]) / n,
+            100 * np.count_nonzero(rows[:, 0]) / n, 100 * np.count_nonzero(rows[:, 1]) / n, 100 * total[11] / n,
             100 * np.count_nonzero(rows[:, 2]) / n, 100 * total[3] / n, rows[:, 3].max(), np.log1p(len(hits)),
             len(np.unique(ids[hits])) / max(len(hits), 1), near / max(len(hits), 1), 100 * len(you) / n,
             total[6] / letters, total[7] / n, total[8] / n, total[9] / n, mixed.sum() / n, stretched.sum() / n, np.log1p(n)))
@@ -254,28 +292,37 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, scratch: Scratch, id_
     chosen = scratch.save(selected(labels, train, id_col, label_col, limit), "chosen")
     # at most `limit` ids, so the broadcast is bounded; it saves a shuffle of all texts
     sample = scratch.save(docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-                          .join(F.broadcast(chosen), id_col).select(id_col, "text", "y", "part"), "sample")
-    words = lexicon(sample.where("part = 0"))
-    schema = "key long, part int, y int, x array<double>"
+                          .join(F.broadcast(chosen), id_col).select(id_col, "text", "y"), "texts")
+    # near copies go to the same fold
+    sample = scratch.save(with_sketch(sample).withColumn("part", F.pmod("sketch", F.lit(FOLDS)).cast("int")), "sample")
+    counted = scratch.save(terms(sample), "terms")
+    sizes = scratch.save(sample.groupBy("part", "y").agg(F.countDistinct("sketch").alias("n")), "sizes")
+    of_others = [lexicon(counted, sizes, k) for k in range(FOLDS)]
+    words = lexicon(counted, sizes)
 
     def run(batches):
-        f = Featurizer(words)
+        by_fold = [Featurizer(w) for w in of_others]
         for b in batches:
-            x = f.features(b.column(3).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(list(x), pa.list_(pa.float64()))],
+            parts, texts = b.column(1).to_pylist(), b.column(3).to_pylist()
+            x = [by_fold[k].features([t])[0] for k, t in zip(parts, texts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(x, pa.list_(pa.float64()))],
                                              names=["key", "part", "y", "x"])
 
-    rows = (sample.where("part > 0").select(F.xxhash64(id_col, "text").alias("key"), F.col("part").cast("int"), "y", "text")
-            .mapInArrow(run, schema).collect())
+    rows = (sample.select(F.xxhash64(id_col, "text").alias("key"), "part", "y", "text")
+            .mapInArrow(run, "key long, part int, y int, x array<double>").collect())
     rows.sort(key=lambda r: (r["key"], r["x"]))
     x = np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES))
     y, part = np.array([r["y"] for r in rows], dtype=float), np.array([r["part"] for r in rows])
-    a, b = part == 1, part == 2
-    if len({*y[a]}) < 2 or not b.any():
-        return Model(words, prior=float(y.mean()) if len(y) else 0.0)
-    model = boost(x[a], y[a])
+    prior = float(y.mean()) if len(y) else 0.0
+    if len({*y}) < 2:
+        return Model(words, prior=prior)
+    raw = np.zeros(len(y))
+    for k in np.unique(part):  # scores of trees that did not see the fold
+        a, b = part != k, part == k
+        raw[b] = boost(x[a], y[a]).margin(x[b]) if len({*y[a]}) == 2 else 0.0
+    model = boost(x, y)
     model.lexicon = words
-    model.raw, model.calibrated = isotonic(model.margin(x[b]), y[b])
+    model.raw, model.calibrated = isotonic(raw, y)
     return model
 
 

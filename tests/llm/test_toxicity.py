@@ -24,12 +24,13 @@ def test_held_out_labels(spark, docs, scratch):
 
 
 def test_features_see_obfuscation_and_proximity():
-    f = toxicity.Featurizer({"=idiot": 5.0, "moro": 4.0})
-    x = f.features(["you idiot", "1d10t there", "i.d.i.o.t", "idiiiiot", "morons", "IDIOT!!!", "word", None, ""])
+    f = toxicity.Featurizer({"=blorp": 5.0, "zukk": 4.0})
+    x = f.features(["you blorp", "8l0rp bl0rp", "b.l.o.r.p", "blooorp", "zukkers", "BLORP!!!", "word", None, "", "you moron", "m0ron"])
     col = {n: x[:, i] for i, n in enumerate(toxicity.FEATURES)}
     assert col["near_second_person"][0] == 1 and col["word_density"][0] == 50
     assert all(col["hidden_density"][1:4] > 0) and col["stem_density"][4] == 100
-    assert col["capital_rate"][5] == 1 and col["exclaim_rate"][5] == 3 and not x[7:].any()
+    assert col["capital_rate"][5] == 1 and col["exclaim_rate"][5] == 3 and not x[7:9].any()
+    assert col["insult_density"][9] == 50 and col["near_second_person"][9] == 1 and col["hidden_density"][10] == 100
 
 
 def test_isotonic_against_brute_force():
