@@ -62,8 +62,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, text): ids are little-endian unsigned 32-bit, text is decoded from them."""
     Scratch(spark, "pipeline-bpe")
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    ids = bpe.encode(docs.select(F.struct("doc_id", "lang", "source").alias("row"), "text"), path, pattern, id_col="row")
-    out = bpe.decode(ids, path, pattern, id_col="row", keep=("ids",))
+    out = bpe.encode_decode(docs.select(F.struct("doc_id", "lang", "source").alias("row"), "text"), path, pattern, id_col="row")
     return out.select("row.doc_id", "row.lang", "row.source", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"),
                       "ids", F.col("decoded").cast("string").alias("text"))
 

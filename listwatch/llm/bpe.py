@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 LONG_WORD = 128  # positions take 8 bits in ENCODE_SQL
 WORDS_PER_QUERY = 20_000
 #: Words of one generation of a worker's cache.
-CACHE_WORDS = 350_000
+CACHE_WORDS = 250_000
 
 #: ``place`` is 256 * word + position. Of a pair, ``best`` packs its rank, the positions of its left and right token
 #: and the position after it, so its minimum is the leftmost pair of smallest rank.
@@ -82,9 +82,8 @@ class Tokenizer:
         get = self.ranks.get
         merges = [(get(t[:i]), get(t[i:]), r) for t, r in self.ranks.items() for i in range(1, len(t))]
         merges = np.array([m for m in merges if m[0] is not None and m[1] is not None], dtype=np.int64).reshape(-1, 3)
-        self.pairs = {(a, b): r for a, b, r in merges.tolist()}
         self.vocabulary = {i: t for t, i in self.ranks.items()}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         for name, columns in (("merges", {"pair": (merges[:, 0] << 32) | merges[:, 1], "rank": merges[:, 2]}),
                               ("vocabulary", {"id": list(self.vocabulary), "hex": [t.hex() for t in self.vocabulary.values()]})):
             rows = pa.table(columns)  # noqa: F841 - read by name below
@@ -119,23 +118,26 @@ class Tokenizer:
                 cache[word] = ids[at_byte:end]
                 at_byte = end
 
+    def _pair(self, left: int, right: int) -> int | None:
+        return self.ranks.get(self.vocabulary[left] + self.vocabulary[right])
+
     def _contract_long(self, raw: bytes) -> list[int]:
         toks = self.byte_ids[np.frombuffer(raw, dtype=np.uint8)].tolist()
-        n, pairs = len(toks), self.pairs
+        n, pair = len(toks), self._pair
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i) for i in range(n - 1) if (r := pairs.get((toks[i], toks[i + 1]))) is not None]
+        heap = [(r, i) for i in range(n - 1) if (r := pair(toks[i], toks[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             rank, i = heapq.heappop(heap)
             j = right[i] if toks[i] >= 0 else n
-            if j >= n or pairs.get((toks[i], toks[j])) != rank:
+            if j >= n or pair(toks[i], toks[j]) != rank:
                 continue  # a pair that an earlier contraction has consumed
             toks[i], toks[j], right[i] = rank, -1, right[j]
             if right[i] < n:
                 left[right[i]] = i
-                if (r := pairs.get((rank, toks[right[i]]))) is not None:
+                if (r := pair(rank, toks[right[i]])) is not None:
                     heapq.heappush(heap, (r, i))
-            if left[i] >= 0 and (r := pairs.get((toks[left[i]], rank))) is not None:
+            if left[i] >= 0 and (r := pair(toks[left[i]], rank)) is not None:
                 heapq.heappush(heap, (r, left[i]))
         return [t for t in toks if t >= 0]
 
@@ -216,8 +218,24 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     return df.select(*names, ids_col).mapInArrow(run, schema)
 
 
+def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, ids, decoded): ``encode``, then ``decode`` of those ids, by one tokenizer in one pass."""
+    schema = df.select(id_col).schema.add("ids", "binary").add("decoded", "binary")
+
+    def run(batches):
+        tok = tokenizer(ranks_path, pattern)
+        for b in batches:
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for s in _slices([len(t) for t in texts], 1 << 20):
+                ids = tok.encode(texts[s])
+                yield pa.RecordBatch.from_arrays([b.column(0)[s], pa.array(ids, pa.binary()), pa.array(tok.decode(ids), pa.binary())],
+                                                 names=[id_col, "ids", "decoded"])
+
+    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+
+
 def digest(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, decode, and return per document: n_tokens, ids_sha256, decoded_sha256 (lowercase hex)."""
-    both = decode(encode(df, ranks_path, pattern, id_col, text_col), ranks_path, pattern, id_col, keep=("ids",))
+    both = encode_decode(df, ranks_path, pattern, id_col, text_col)
     return both.select(id_col, F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -37,6 +37,9 @@ def test_matches_the_library_and_round_trips(spark, docs, reference):
         want.append((d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     got = bpe.digest(df, PATH, P.PATTERN).collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    apart = bpe.decode(bpe.encode(df, PATH, P.PATTERN), PATH, P.PATTERN, keep=("ids",)).collect()
+    once = bpe.encode_decode(df, PATH, P.PATTERN).collect()
+    assert sorted(map(tuple, apart), key=str) == sorted(map(tuple, once), key=str)
 
 
 def test_long_words_by_the_same_rule():
