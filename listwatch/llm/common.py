@@ -11,6 +11,8 @@ from listwatch.session import apply_conf, checkpoint_dir
 
 #: Rows of one Arrow batch. Texts can be long, so a batch holds few of them.
 BATCH_ROWS = 256
+#: Short rows to a file where a table's size is known before it is written.
+ROWS_A_FILE = 250_000
 
 
 class Scratch:
@@ -32,7 +34,11 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """``rows``: how many rows the table will have, if that is known to be few for its partitions; it is then
+        written in one file per ROWS_A_FILE of them."""
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
         self.saved[name] = path = self.path(f"{len(self.saved)}-{name}-{uuid.uuid4().hex[:8]}")
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -78,11 +84,11 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
-        mid = scratch.save(large.distinct(), f"cc-{step}-large")
+        mid = scratch.save(large.distinct(), f"cc-{step}-large", rows=2 * state[0])
         low = mid.groupBy("a").agg(F.min("b").alias("m"))
         small = mid.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(low.select("a", F.col("m").alias("b"))).where("a > b")
-        nxt = scratch.save(small.distinct(), f"cc-{step + 1}")
+        nxt = scratch.save(small.distinct(), f"cc-{step + 1}", rows=2 * state[0])
         now = _fingerprint(nxt)
         scratch.drop(f"cc-{step}")
         scratch.drop(f"cc-{step}-large")

@@ -61,12 +61,13 @@ def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
 def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, rounds: int = ROUNDS,
          tolerance: float = TOLERANCE) -> DataFrame:
     """``cells`` (margins..., tokens) with ``weight``, whose sums per margin fit the target shares (margin, target)."""
-    total = cells.agg(F.sum("tokens").alias("t")).first()["t"] or 0
+    size = cells.agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).first()
+    total, n = size["t"] or 0, size["n"]
     cur = cells.withColumn("weight", F.col("tokens") / F.lit(float(total or 1)))
     for m, target in targets.items():  # what each value of a margin is to weigh
         goal = _goals(cells, m, target, total)
         cur = cur.join(goal, cur[m].eqNullSafe(goal[f"_{m}"]), "left").drop(f"_{m}")
-    before, cur = float("inf"), scratch.save(cur, "rake")
+    before, cur = float("inf"), scratch.save(cur, "rake", rows=n)
     for _ in range(0, rounds, ROUNDS_A_TABLE):
         fitted = cur
         for _ in range(ROUNDS_A_TABLE):
@@ -76,7 +77,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, roun
                 fitted = fitted.withColumn("weight", F.col("weight") * F.coalesce(
                     F.col(f"goal_{m}") / F.nullif(F.col(f"sum_{m}"), F.lit(0.0)), F.lit(1.0)))
         misfit = F.greatest(F.lit(0.0), *[F.abs(F.col(f"sum_{m}") - F.col(f"goal_{m}")) for m in targets])
-        cur = scratch.save(fitted.select(*cur.columns, misfit.alias("misfit")), "rake")
+        cur = scratch.save(fitted.select(*cur.columns, misfit.alias("misfit")), "rake", rows=n)
         now = cur.agg(F.max("misfit")).first()[0] or 0.0
         cur = cur.drop("misfit")
         # margins that contradict each other (a source with a language of its own) settle without fitting
