@@ -22,7 +22,6 @@ null ids decode like an empty list; an id outside the vocabulary raises.
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache

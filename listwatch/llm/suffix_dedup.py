@@ -35,7 +35,6 @@ gets its own row of results.
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa

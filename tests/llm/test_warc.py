@@ -4,7 +4,6 @@ import gzip
 import hashlib
 import zlib
 
-import pyarrow.parquet as pq  # noqa: F401
 
 from listwatch.llm import warc
 
