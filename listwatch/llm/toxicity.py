@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from listwatch.llm.common import Scratch, smallest
 
-SAMPLE = 30_000
+SAMPLE = 20_000
 FOLDS = 4
 LEXICON = 2_000
 #: A term needs one in so many toxic documents (three at least), so that copies of one document give no terms.
@@ -43,7 +43,7 @@ LEAST_SHARE = 100
 STEMS = (4, 5, 6)
 #: Words to either side that count as near.
 NEAR = 5
-CACHE = 400_000
+CACHE = 120_000
 
 # Second-person words of the four languages
 SECOND_PERSON = frozenset((
@@ -99,8 +99,8 @@ def with_sketch(texts: DataFrame) -> DataFrame:
 
 def terms(texts: DataFrame) -> DataFrame:
     """(term, part, n_toxic, n): documents of (text, y, part, sketch) that hold a word or a beginning of a longer word;
-    of documents with equal sketch and label one counts."""
-    texts = texts.groupBy("sketch", "y", "part").agg(F.min("text").alias("text"))
+    of documents with equal sketch and label one counts (one row of ``texts`` is marked ``first``)."""
+    texts = texts.where("first")
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
     stems = [F.transform(F.filter("words", lambda w, n=n: F.length(w) > n), lambda w, n=n: F.substring(w, 1, n)) for n in STEMS]
     both = texts.select("y", "part", words.alias("words")).select(
@@ -134,8 +134,7 @@ class Featurizer:
 
     def _reset(self):
         self.index: dict[str, int] = {}
-        self.rows: list[tuple] = []
-        self.table = np.zeros((0, 12))
+        self.table = np.zeros((1024, 12))
 
     def _term(self, word: str) -> tuple[float, float]:
         """Weights of a lower-case word as such and by its beginnings."""
@@ -169,8 +168,10 @@ class Featurizer:
         except KeyError:
             for t in tokens:
                 if t not in index:
-                    index[t] = len(self.rows)
-                    self.rows.append(self._token(t))
+                    at = index[t] = len(index)
+                    if at == len(self.table):
+                        self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                    self.table[at] = self._token(t)
             return np.array([index[t] for t in tokens], dtype=np.int64)
 
     def features(self, texts: list[str | None]) -> np.ndarray:
@@ -178,8 +179,6 @@ class Featurizer:
             self._reset()
         tokens = [(t or "").split() for t in texts]
         ids = [self._ids(t) for t in tokens]
-        if len(self.rows) > len(self.table):
-            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table):], dtype=float).reshape(-1, 12)])
         out = np.zeros((len(texts), len(FEATURES)))
         for i, at in enumerate(ids):
             if len(at):
@@ -295,20 +294,28 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, scratch: Scratch, id_
                           .join(F.broadcast(chosen), id_col).select(id_col, "text", "y"), "texts")
     # near copies go to the same fold
     sample = scratch.save(with_sketch(sample).withColumn("part", F.pmod("sketch", F.lit(FOLDS)).cast("int")), "sample")
-    counted = scratch.save(terms(sample), "terms")
+    scratch.drop("texts")
+    key = F.xxhash64(id_col, "text")
+    firsts = scratch.save(sample.groupBy("sketch", "y").agg(F.min(key).alias("first_key")), "firsts")  # `limit` rows at most
+    marked = (sample.join(F.broadcast(firsts), ["sketch", "y"]).withColumn("first", key == F.col("first_key"))
+              .select("text", "y", "part", "sketch", "first"))
+    counted = scratch.save(terms(marked), "terms")
     sizes = scratch.save(sample.groupBy("part", "y").agg(F.countDistinct("sketch").alias("n")), "sizes")
     of_others = [lexicon(counted, sizes, k) for k in range(FOLDS)]
     words = lexicon(counted, sizes)
 
     def run(batches):
-        by_fold = [Featurizer(w) for w in of_others]
+        fold, f = None, None  # rows come sorted by fold, so one cache of tokens is held at a time
         for b in batches:
-            parts, texts = b.column(1).to_pylist(), b.column(3).to_pylist()
-            x = [by_fold[k].features([t])[0] for k, t in zip(parts, texts)]
+            x = []
+            for k, t in zip(b.column(1).to_pylist(), b.column(3).to_pylist()):
+                if k != fold:
+                    fold, f = k, Featurizer(of_others[k])
+                x.append(f.features([t])[0])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(x, pa.list_(pa.float64()))],
                                              names=["key", "part", "y", "x"])
 
-    rows = (sample.select(F.xxhash64(id_col, "text").alias("key"), "part", "y", "text")
+    rows = (sample.select(key.alias("key"), "part", "y", "text").sortWithinPartitions("part")
             .mapInArrow(run, "key long, part int, y int, x array<double>").collect())
     rows.sort(key=lambda r: (r["key"], r["x"]))
     x = np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES))
