@@ -45,10 +45,16 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
 
 
-#: op5: benchmark items whose id is divisible by this are the queries.
+#: op5: documents, or benchmark items, whose id is divisible by this are the queries.
 QUERY_EVERY = 50
 
 
+def op5_bm25_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch, docs = Scratch(spark, "bm25-documents"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = scratch.save(bm25.build(docs), "index")
+    return bm25.search_blocks(index, docs.where(F.col("doc_id") % QUERY_EVERY == 0), scratch, "doc_id", "text", k=20)
+
+
 def op5_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "bm25")
     index = scratch.save(bm25.build(table(spark, sf_dir, "documents")), "index")
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_secrets": op3_secrets,
     "op4_mixing": op4_mixing,
+    "op5_bm25_documents": op5_bm25_documents,
     "op5_bm25": op5_bm25,
     "op6_langid": op6_langid,
     "op7_bpe": op7_bpe,
@@ -99,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op4_mixing": mixing.oracle(MIX),
+    "op5_bm25_documents": bm25.oracle_documents(20, QUERY_EVERY),
     "op5_bm25": bm25.oracle(20, QUERY_EVERY),
     "op8_warc": warc.ORACLE,
 }
