@@ -44,9 +44,15 @@ DEPTH = 6
 THRESHOLD = 0.5
 PLACEHOLDER = "[SECRET]"
 
-#: A run of key characters of 16 or more, or 8 or more characters assigned to a name.
-CANDIDATE = (r"""(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}|(?<=\w{1,1}[=:]\s{0,1}["']?)[^\s"'<>]{8,}"""
-             r"""|(?<=\w{1,1} [=:]\s{0,1}["']?)[^\s"'<>]{8,}""")
+#: Where a value of 8 characters may begin; a cheap test before the long ones.
+BEGIN = r"""(?<=[=:>\s"'`])(?=[^\s"'<>]{8})"""
+#: What stands between a name's last character and a value assigned to it: closing quotes or brackets, blanks, = : := => and the
+#: like, blanks, an opening quote.
+ASSIGNED = r"""(?<=[=:>]\s{0,16}["'`]?)(?<=\w["'`\])]{0,2}\s{0,16}[=:]{1,3}>?\s{0,16}["'`]?)(?:(?<=["'`])|(?![=:]))[^\s"'<>]{8,}"""
+#: A value alone between an opening and a closing tag.
+TAGGED = r"""(?<=>\s{0,16})(?<=<[\w.:\-]{1,64}(?:\s[^<>]{0,64})?>\s{0,16})[^\s"'<>]{8,}(?=\s{0,16}</)"""
+#: A run of key characters of 16 or more, or 8 or more characters assigned to a name or in a tag.
+CANDIDATE = rf"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{{16,}}={{0,2}}|{BEGIN}(?:{ASSIGNED}|{TAGGED})"
 # Published formats of keys
 KEY_FORMATS = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^sk_live_[A-Za-z0-9]{20,}$|^AIza[A-Za-z0-9_\-]{35}$|^eyJ[A-Za-z0-9_\-]{10,}$"
 CREDENTIAL = r"(?i)(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
@@ -120,8 +126,8 @@ def candidates(docs: DataFrame, words: list[str], pairs: list[str], id_col: str
         "path_depth": F.size(F.split("path", "/")), "path_length": F.length("path"),
         "credential_before": F.col("before").rlike(CREDENTIAL).cast("int"),
         "harmless_near": near_words.rlike(HARMLESS).cast("int"),
-        "assigned": F.col("before").rlike(r"""[=:]\s*["']?$""").cast("int"),
-        "quoted": F.col("before").rlike(r"""["']$""").cast("int"),
+        "assigned": F.col("before").rlike(r"""[=:]>?\s*["'`]?$|<[\w.:\-]+(\s[^<>]*)?>\s*$""").cast("int"),
+        "quoted": F.col("before").rlike(r"""["'`]$""").cast("int"),
         "words_before": F.size(F.split(F.trim("before"), " ")), "words_after": F.size(F.split(F.trim("after"), " ")),
     }
     return rows.select(id_col, "text_key", "nth", "start", "value", "before",

@@ -56,3 +56,20 @@ def test_given_labels_and_native_plan(spark, docs, scratch):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert {r["value"][:5] for r in found.where("is_secret = 1").collect()} >= {"45990"}
+
+
+FORMS = ['"password": "{}"', '"password":"{}"', "'password' : '{}'", "password:  {}", "password:\n      {}", "password    =    {}", 'password => "{}"',
+         'pwd := "{}"', "pwd :={}", 'config["password"] = "{}"', "config['password']='{}'", "<password>{}</password>",
+         '<db:password kind="x">\n  {}\n</db:password>', 'password="{}"', "password={}", "password: {}"]
+VALUES = ["p@ss!word#9", "Hunter2!xyz", "abcd1234EFGH", "=x9!y8?z7w"]
+
+
+def test_secrets_of_every_form_of_assignment(spark, docs, scratch):
+    forms = [(f, v) for f in FORMS for v in VALUES if not (v.startswith("=") and not f[:f.index("{}")].endswith(('"', "'", ">")))]
+    planted = [(7000 + i, f"left of it {f.format(v)} and right", "s") for i, (f, v) in enumerate(forms)]
+    df = make(spark, [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()] + planted)
+    found = secrets.scan(df, scratch)
+    got = {(r["doc_id"], r["start"], r["value"]) for r in found.where("doc_id >= 7000 and is_secret = 1").collect()}
+    assert got == {(d, t.index(v) + 1, v) for (d, t, _), (_, v) in zip(planted, forms)}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(df, found).where("doc_id >= 7000").collect()}
+    assert clean == {d: t.replace(v, secrets.PLACEHOLDER) for (d, t, _), (_, v) in zip(planted, forms)}
