@@ -17,11 +17,12 @@ most, those of smallest hash.
 Labelled findings are any DataFrame of features and a label. Where nobody has
 labelled any, ``weak_labels`` labels those that a format settles: values of a
 published key format, or mixed letters and digits assigned to a credential's name, are
-secrets; plain words and numbers are not; the rest stays unlabelled and is left to the forest.
+secrets; plain words and numbers are not, nor mixed values after a word like commit or checksum; the rest
+stays unlabelled and is left to the forest.
 
 Defined cases: null and empty texts have no candidates; a null path has the
 features of an empty one; repeated rows each give their findings; without
-findings of both labels nothing is reported as a secret (score 0).
+findings of both labels only values of a published key format are reported as secrets (score 1, others 0).
 """
 
 from __future__ import annotations
@@ -57,6 +58,8 @@ CANDIDATE = rf"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{{16,}}={{0,2}}|{BEGIN}(?:{A
 KEY_FORMATS = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^sk_live_[A-Za-z0-9]{20,}$|^AIza[A-Za-z0-9_\-]{35}$|^eyJ[A-Za-z0-9_\-]{10,}$"
 CREDENTIAL = r"(?i)(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
 HARMLESS = r"(?i)(example|sample|dummy|fake|placeholder|test|mock|sha1|sha256|md5|checksum|commit|digest|uuid|hash)"
+#: Names of values that look like keys and are none.
+FINGERPRINT = r"(?i)(?<![\p{L}\p{N}])(sha-?\d*|md5|commit|revision|checksum|digest|hash|etag|uuid|guid)(?![\p{L}\p{N}])"
 PATH_HINT = r"(?i)(test|example|sample|mock|fixture|doc|spec)"
 
 FEATURES = ("n", "digits", "upper", "lower", "other", "distinct", "class_changes", "letter_pairs", "coverage", "longest_word",
@@ -135,17 +138,19 @@ def candidates(docs: DataFrame, words: list[str], pairs: list[str], id_col: str
 
 
 def weak_labels() -> Column:
-    """1: a format or a credential's name settles it; 0: a plain word or number; null: open."""
+    """1: a format or a credential's name settles it; 0: a plain word or number, or mixed after a FINGERPRINT word; null: open."""
     mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike(r"\p{L}")
     named = (F.col("credential_before") == 1) & (F.col("assigned") == 1) & mixed & (F.col("harmless_near") == 0)
-    return (F.when(F.col("value").rlike(KEY_FORMATS) | named, 1)
+    fingerprint = mixed & F.col("before").rlike(FINGERPRINT) & (F.col("credential_before") == 0)
+    return (F.when(F.col("value").rlike(KEY_FORMATS) | named, 1).when(fingerprint, 0)
             .when(F.col("value").rlike(r"^[\p{L}_\-/+]+$|^[0-9\-]+$") & (F.col("assigned") == 0), 0))
 
 
 def train(labelled: DataFrame, scratch: Scratch, limit: int = TRAIN_ROWS):
-    """Fit the forest on ``limit`` rows of each label (the columns of ``candidates`` and label); None without both."""
-    key = F.xxhash64("text_key", "nth", "value")  # so that copies of a value are not chosen together
-    rows = labelled.where(F.col("label").isNotNull()).select(F.col("label").cast("double").alias("label"), key.alias("key"), *FEATURES)
+    """Fit the forest on ``limit`` rows of each label (the columns of ``candidates`` and label); None without both. Findings of
+    equal value and features count once."""
+    rows = (labelled.where(F.col("label").isNotNull()).select(F.col("label").cast("double").alias("label"), "value", *FEATURES).distinct()
+            .select("label", F.xxhash64("value", *FEATURES).alias("key"), *FEATURES))
     parts = [smallest(rows.where(F.col("label") == y), "key", limit) for y in (0.0, 1.0)]
     # a bounded set in one sorted partition: the forest's draws then don't depend on how the rows were dealt
     sample = scratch.save(parts[0].unionByName(parts[1]).repartition(1).sortWithinPartitions("key", "label"), "findings")
@@ -162,7 +167,7 @@ def _assembler() -> VectorAssembler:
 def score(found: DataFrame, model) -> DataFrame:
     """The candidates with score and is_secret."""
     if model is None:
-        scored = found.withColumn("score", F.lit(0.0))
+        scored = found.withColumn("score", F.col("value").rlike(KEY_FORMATS).cast("double"))
     else:
         scored = (model.transform(_assembler().transform(found))
                   .withColumn("score", vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction"))
