@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwatch.llm import bm25, bpe, langid, mixing, secrets, simhash, suffix_dedup, toxicity, vptree, warc
+from listwatch.llm import bm25, bpe, langid, mixing, pieces, secrets, simhash, suffix_dedup, toxicity, vptree, warc
 from listwatch.llm.common import Scratch
 
 #: The rank file of the byte-level BPE queries.
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: The model of the SentencePiece query.
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +92,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", out_of_fold.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    Scratch(spark, "pieces")
+    return pieces.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vptree": op1_vptree,
     "op2_simhash": op2_simhash,
@@ -102,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {
