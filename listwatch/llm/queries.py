@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwatch.llm import bm25, bpe, langid, mixing, pieces, secrets, simhash, suffix_dedup, toxicity, vptree, warc
+from listwatch.llm import bm25, bpe, langid, mixing, pieces, secrets, simhash, spelling, suffix_dedup, toxicity, vptree, warc
 from listwatch.llm.common import Scratch
 
 #: The rank file of the byte-level BPE queries.
@@ -92,6 +92,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", out_of_fold.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), Scratch(spark, "spelling"), every=31, least=7, occurrences=2, ratio=10)
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     Scratch(spark, "pieces")
     return pieces.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
@@ -109,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_spelling": op11_spelling,
     "op13_sentencepiece": op13_sentencepiece,
 }
 
