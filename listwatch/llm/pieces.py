@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from listwatch.llm.bpe import _slices as slices
 
@@ -180,8 +180,13 @@ class Processor:
         if any(a != SPACE and b == SPACE for p in longer for a, b in zip(p, p[1:])):
             return lambda text: [text] if text else []
         joined = set().union(*longer)
-        alone = re.escape("".join(c for c in map(chr, range(128)) if c not in joined))
-        return re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|[{alone}]" if alone else "")).findall
+        alone = {c for c in map(chr, range(128)) if c not in joined}
+        # marks that no piece holds behind a letter: a text is cut between the two
+        marks = {c for c in joined - {b for p in longer for a, b in zip(p, p[1:]) if a.isalpha()} if c < "\x80" and not c.isalnum()}
+        alone, marks = (re.escape("".join(sorted(x))) for x in (alone, marks))
+        rest = f"[^{SPACE}{alone}{marks}]*"
+        return re.compile(f"(?:{SPACE}+|[^{SPACE}{alone}]){rest}" + (rf"(?:(?<![^\W\d_])[{marks}]+{rest})*" if marks else "")
+                          + (f"|[{alone}]" if alone else "")).findall
 
     def _merges(self, scores: dict[str, float], n: int) -> None:
         """``rank`` and ``made`` of each contractible pair of symbols (left << 20 | right). Symbols are the ids of pieces;
@@ -419,12 +424,13 @@ def digest(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     """Encode, decode, and return per document: n_tokens, ids_sha256 (of the decimal ids joined by one space),
     decoded_sha256, spans_sha256 (lowercase hex)."""
     def shown(batches):
+        decimal = list(map(str, range(len(processor(model_path).surface))))
         for b in batches:
-            texts = [" ".join(map(str, np.frombuffer(x, dtype="<u4").tolist())).encode() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], names=[*b.schema.names, "shown"])
+            texts = [" ".join(map(decimal.__getitem__, np.frombuffer(x, dtype="<u4").tolist())) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "shown"])
 
     both = encode(df, model_path, id_col, text_col, decoded=True)
-    return both.mapInArrow(shown, StructType([*both.schema.fields, StructField("shown", BinaryType())])).select(
+    return both.mapInArrow(shown, StructType([*both.schema.fields, StructField("shown", StringType())])).select(
         F.col(f"`{id_col}`"), F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("shown", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
         F.sha2("spans", 256).alias("spans_sha256"))
