@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwatch.llm import bm25, bpe, langid, mixing, pieces, secrets, simhash, spelling, suffix_dedup, toxicity, vptree, warc
+from listwatch.llm import audit, bm25, bpe, langid, mixing, pieces, secrets, simhash, spelling, suffix_dedup, toxicity, vptree, warc
 from listwatch.llm.common import Scratch
 
 #: The rank file of the byte-level BPE queries.
@@ -96,6 +96,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), Scratch(spark, "spelling"), every=31, least=7, occurrences=2, ratio=10)
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), Scratch(spark, "audit"), least_docs=3, top=200)
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     Scratch(spark, "pieces")
     return pieces.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
@@ -114,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_spelling": op11_spelling,
+    "op12_divergence": op12_divergence,
     "op13_sentencepiece": op13_sentencepiece,
 }
 
@@ -122,4 +127,5 @@ ORACLES: dict[str, str] = {
     "op5_bm25_documents": bm25.oracle_documents(20, QUERY_EVERY),
     "op5_bm25": bm25.oracle(20, QUERY_EVERY),
     "op8_warc": warc.ORACLE,
+    "op12_divergence": audit.ORACLE,
 }
