@@ -14,8 +14,12 @@ larger factors prune more and may miss. On vectors without structure the
 bounds are weak, see the README for recall measured against brute force.
 
 Equal vectors of a shard are folded to one point of the tree with all its
-ids, so any number of copies costs one distance. Scores that are returned are
-sums in double precision of the original components, from first to last.
+ids, so any number of copies costs one distance. Ties and repeated ids are
+settled whole: a query's points down to the last one asked for, within
+rounding, are gathered again where more of them tie than the search keeps, and
+where they hold fewer than k ids the search asks for more points. Scores that
+are returned are sums in double precision of the original components, from
+first to last.
 
 Defined cases: vectors that are null, empty or zero, or that hold a null or
 non-finite component, take no part, nor do rows with a null id; vectors of
@@ -42,8 +46,10 @@ SHARD_ROWS = 8192
 TASK_QUERIES = 50_000
 BLOCK = 1024
 LEAF = 128
-#: Candidates kept above k, so that rounding in the search cannot cost a place.
+#: Points kept above those asked for; if more tie with the last one, they are gathered by a second visit.
 SPARE = 8
+#: Rounding of a product and of a distance, as a share of the norms.
+ROUNDING, SLACK = 1e-10, 1e-7
 
 
 def usable(vec: Column) -> Column:
@@ -59,6 +65,8 @@ class Tree:
         order = np.lexsort((ids, *x.T[::-1]))
         x, ids = x[order], ids[order]
         new = np.concatenate([[True], (x[1:] != x[:-1]).any(axis=1)])
+        once = new | np.concatenate([[True], ids[1:] != ids[:-1]])
+        x, ids, new = x[once], ids[once], new[once]
         self.first = np.append(np.flatnonzero(new), len(ids))  # of each point, in ids
         self.ids, self.x = ids, x[new]
         self.factor = factor
@@ -87,24 +95,37 @@ class Tree:
         self.nodes[at] = (vantage, near, far, self._build(inner, rng), self._build(outer, rng))
         return at
 
-    def search(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(points, products), n x (k + SPARE), of a block of queries, best first; point -1: none."""
+    def search(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows of ``q``, points, products): every point found whose product is at least that of the row's k-th, but for
+        rounding."""
         keep = k + SPARE
         self.best = np.full((len(q), keep), -np.inf)
         self.found = np.full((len(q), keep), -1, dtype=np.int64)
         self.q, self.q2, self.k = q, np.einsum("ij,ij->i", q, q), k
-        self.reach = np.full(len(q), np.inf)
+        self.reach, self.slack = np.full(len(q), np.inf), SLACK * np.sqrt(self.q2 + self.m2)
+        self.least = None
         self._visit(self.points, np.arange(len(q)), np.zeros(len(q)))
-        return self.found, self.best
+        self.least = -np.partition(-self.best, k - 1, axis=1)[:, k - 1] - ROUNDING * np.sqrt(self.q2 * self.m2)
+        cut = np.isfinite(self.best).all(axis=1) & (self.best.min(axis=1) >= self.least)  # more may tie than are kept
+        rows, columns = np.nonzero((self.found >= 0) & (self.best >= self.least[:, None]) & ~cut[:, None])
+        self.tied = [(rows, self.found[rows, columns], self.best[rows, columns])]
+        if cut.any():
+            self._visit(self.points, np.flatnonzero(cut), np.zeros(int(cut.sum())))
+        return tuple(np.concatenate(c) for c in zip(*self.tied))
 
     def _visit(self, at: int, active: np.ndarray, bound: np.ndarray) -> None:
-        live = bound * self.factor <= self.reach[active] * (1 + 1e-9)
+        live = bound * self.factor <= self.reach[active] * (1 + 1e-9) + self.slack[active]
         active, bound = active[live], bound[live]
         if not len(active):
             return
         node = self.nodes[at]
         if len(node) == 2:
             members, columns = node
+            if self.least is not None:  # the second visit gathers, the first has fixed how far it goes
+                s = self.q[active] @ columns
+                rows, at = np.nonzero(s >= self.least[active][:, None])
+                self.tied.append((active[rows], members[at], s[rows, at]))
+                return
             s = np.concatenate([self.best[active], self.q[active] @ columns], axis=1)
             keep = self.best.shape[1]
             pick = np.argpartition(-s, keep - 1, axis=1)[:, :keep] if s.shape[1] > keep else np.broadcast_to(np.arange(keep), (len(s), keep))
@@ -126,23 +147,30 @@ class Tree:
 
     def nearest(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[list, list, list]:
         """(query id, id, score) of each query's k best ids of this tree."""
-        out = ([], [], [])
-        found, _ = self.search(q, k)
-        width = min(found.shape[1], len(self.x))
-        rows, cols = np.nonzero(found >= 0)
-        points = found[rows, cols]
-        score = np.zeros(len(rows))
-        for j in range(self.x.shape[1]):  # one component after the other: the same sum whatever the place of a row
-            score += q[rows, j] * self.x[points, j]
-        for i, (lo, hi) in enumerate(zip(np.searchsorted(rows, np.arange(len(q))), np.searchsorted(rows, np.arange(len(q)), "right"))):
-            own, best = query_ids[i], {}
-            for s, p in sorted(zip((-score[lo:hi]).tolist(), points[lo:hi].tolist()))[:width]:
-                for x in self.ids[self.first[p]:min(self.first[p + 1], self.first[p] + k + 1)].tolist():
-                    if x != own:
-                        best.setdefault(x, s)
-            for x, s in sorted(best.items(), key=lambda e: (e[1], e[0]))[:k]:
-                for column, value in zip(out, (own, x, -s)):
-                    column.append(value)
+        out, asked, points = ([], [], []), np.arange(len(q)), k + 1  # the query's own point may be among them
+        while len(asked):
+            more = []
+            rows, found, _ = self.search(q[asked], points)
+            order = np.lexsort((found, rows))
+            rows, found = rows[order], found[order]
+            score = np.zeros(len(rows))
+            for j in range(self.x.shape[1]):  # one component after the other: the same sum whatever the place of a row
+                score += q[asked[rows], j] * self.x[found, j]
+            edges = np.searchsorted(rows, np.arange(len(asked) + 1))
+            for i, lo, hi in zip(asked.tolist(), edges[:-1].tolist(), edges[1:].tolist()):
+                own, best = query_ids[i], {}
+                for s, p in sorted(zip((-score[lo:hi]).tolist(), found[lo:hi].tolist())):
+                    # of one point the k smallest ids besides the query's own are enough
+                    for x in self.ids[self.first[p]:min(self.first[p + 1], self.first[p] + k + 1)].tolist():
+                        if x != own:
+                            best.setdefault(x, s)
+                if len(best) < k and points < len(self.x):
+                    more.append(i)
+                    continue
+                for x, s in sorted(best.items(), key=lambda e: (e[1], e[0]))[:k]:
+                    for column, value in zip(out, (own, x, -s)):
+                        column.append(value)
+            asked, points = np.array(more, dtype=np.int64), 4 * points
         return out
 
 

@@ -40,12 +40,24 @@ def test_exact_with_factor_one_and_edge_rows(spark, scratch):
     same = [float(np.float32(x)) for x in rng.normal(size=6)]
     rows += [(i, same) for i in range(1000, 1200)]                       # a hot vector: ties go to the smaller id
     rows += [(7, rows[7][1]), (8, same), (None, same), (2000, None), (2020, [0.0] * 6), (2040, [float("nan")] * 6),
-             (2060, [1.0, None, 0, 0, 0, 0]), (2080, [float("inf")] + [0.0] * 5), (2100, [1.0, 2.0]), (2120, [2.0, 1.0]), (2140, [])]
+             (2060, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2080, [float("inf")] + [0.0] * 5), (2100, [1.0, 2.0]), (2120, [2.0, 1.0]), (2140, [])]
     df = make(spark, rows)
     got = vptree.nearest(df, df.where("vec_id % 20 = 0"), scratch, k=20, factor=1.0, shard_rows=150)
     assert sorted(map(tuple, got.collect())) == brute(rows, [r for r in rows if r[0] is not None and r[0] % 20 == 0], 20)
 
 
+def test_ties_and_repeated_ids_at_factor_one(spark, scratch):
+    rng = np.random.default_rng(11)
+    signs = [(i, rng.choice([-1.0, 1.0], 16).tolist()) for i in range(1024)]
+    same, near = [1.0, 2.0, 3.0], lambda i: [1.0, 2.0, 3.0 - i / 1024]
+    one_id = [(2, same), (3, same), *[(1, same)] * 30, (20, same)]                     # an id on many rows of a vector
+    many = [(1, near(i)) for i in range(60)] + [(i, near(70 + i)) for i in range(2, 40)]  # an id on many near vectors
+    for rows in (signs, one_id, many):
+        df = make(spark, rows)
+        got = vptree.nearest(df, df.where("vec_id % 20 = 0"), scratch, k=20, factor=1.0, shard_rows=400)
+        assert sorted(map(tuple, got.collect())) == brute(rows, [r for r in rows if r[0] % 20 == 0], 20)
+
+
 def test_fewer_candidates_and_empty_table(spark, scratch):
     rows = [(i, [1.0, float(i)]) for i in range(5)]
     df = make(spark, rows)
@@ -74,7 +86,7 @@ def test_larger_factors_prune_more():
 
         def counted(at, active, bound, visit=visit, count=count, tree=tree):
             if len(tree.nodes[at]) == 2:
-                count[0] += int((bound * tree.factor <= tree.reach[active]).sum())
+                count[0] += int((bound * tree.factor <= tree.reach[active]).sum()) if tree.least is None else 0
             visit(at, active, bound)
 
         tree._visit = counted
