@@ -48,6 +48,22 @@ def upsert(old: DataFrame, batch: DataFrame, order: Column, value_cols: list[str
     ).select("url", "first_seen_at", *[F.col(f"_v.{c}").alias(c) for c in value_cols])
 
 
+def merge(old: DataFrame, batch: DataFrame, order: Column, value_cols: list[str] = VALUE_COLS) -> DataFrame:
+    """M1/M2/U2 against a stored table: the rules of ``upsert``, as one join.
+    Only the batch is reduced and shuffled; ``old`` keeps its partitioning by
+    url and its other columns (NULL for urls that it did not hold)."""
+    last = batch.groupBy("url").agg(
+        F.min_by("first_seen_at", F.when(F.col("first_seen_at").isNotNull(), order)).alias("_first"),
+        F.max_by(F.struct(*value_cols), order).alias("_v"))
+    j = old.join(last, "url", "full")
+
+    def merged(c: str) -> Column:
+        if c == "first_seen_at":
+            return F.coalesce(c, "_first").alias(c)
+        return F.when(F.col("_v").isNotNull(), F.col(f"_v.{c}")).otherwise(F.col(c)).alias(c) if c in value_cols else F.col(c)
+    return j.select(*[merged(c) for c in old.columns])
+
+
 def touch(old: DataFrame, touches: DataFrame, order: Column) -> DataFrame:
     """M3/M4: ``touches`` (url, brand, model, price_raw, seen_at) set
     last_seen_at, overwrite brand/model only with informative values (Q11)
@@ -111,8 +127,9 @@ def seen_by_pair(seen: DataFrame) -> DataFrame:
 
 def split_known(items: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Flag each feed item ``visit`` = url not stored yet. A left join
-    against the distinct stored keys keeps one output row per item."""
-    keys = snapshot.select("url").distinct().withColumn("_known", F.lit(True))
+    against the stored keys, which a snapshot holds once each, keeps one
+    output row per item."""
+    keys = snapshot.select("url", F.lit(True).alias("_known"))
     return (items.join(keys, "url", "left")
             .withColumn("visit", F.col("_known").isNull())
             .drop("_known"))

@@ -2,8 +2,8 @@
 price history and crawl statistics.
 
 A crawl batch is the sightings from ``SPLIT`` on; the stored snapshot is
-the fold of the sightings before it. Both halves together cover the whole
-lineitem table.
+loaded from the sightings before it (``tables.stored_listings``). Both halves
+together cover the whole lineitem table.
 """
 
 from __future__ import annotations
@@ -16,36 +16,20 @@ from listwatch.plans.oracle_views import with_views
 from listwatch.plans.registry import register
 from listwatch.sources import tables as T
 
-SPLIT = "1996-01-01"
+SPLIT = T.CRAWL_SPLIT
 EXPIRY_DAYS = 180
 CRAWL_WINDOW_DAYS = 90
 ORDER_SQL = "seen_at, o_key, line_no, x_price, s_key"
 
 
-def _split(spark, sf_dir):
-    s = T.sightings(spark, sf_dir)
-    seq = T.sighting_seq(s)
-    old = snapshot.fold_sightings(s.filter(F.col("seen_at") < F.lit(SPLIT).cast("timestamp")), seq)
-    batch = s.filter(F.col("seen_at") >= F.lit(SPLIT).cast("timestamp"))
-    return s, old, batch
-
-
-def _as_of(s):
-    """The crawl clock: the newest sighting (a scalar subquery, not a
-    driver-side value)."""
-    return s.select(F.max("seen_at")).scalar()
-
-
 @register("listing_upsert", "M1 M2 P11 U2 Q17", oracle=with_views(["sightings"], f"""
 SELECT url, min(seen_at) AS first_seen_at, max(seen_at) AS last_seen_at,
        arg_max_null(price_raw, ({ORDER_SQL})) AS price_raw, arg_max_null(price, ({ORDER_SQL})) AS price,
        arg_max_null(seller_type, ({ORDER_SQL})) AS seller_type
 FROM sightings GROUP BY url"""))
 def listing_upsert(spark, sf_dir):
-    s, old, batch = _split(spark, sf_dir)
-    b = batch.withColumn("first_seen_at", F.col("seen_at")).withColumn("last_seen_at", F.col("seen_at"))
-    out = snapshot.upsert(old, b, T.sighting_seq(b))
-    return out.select("url", "first_seen_at", "last_seen_at", "price_raw", "price", "seller_type")
+    """What the snapshot job has stored after the crawl batch was merged in."""
+    return T.stored_sightings(spark, sf_dir).select("url", "first_seen_at", "last_seen_at", "price_raw", "price", "seller_type")
 
 
 _TOUCH_CTES = [
@@ -79,9 +63,9 @@ SELECT coalesce(old.url, ta.url) AS url,
        old.first_seen_at IS NULL AS inserted
 FROM old FULL JOIN ta ON old.url = ta.url""", extra=_TOUCH_CTES))
 def listing_touch(spark, sf_dir):
-    s, old_fold, batch = _split(spark, sf_dir)
-    old = T.parts_as_listings(spark, sf_dir).join(old_fold, "url", "inner")
-    touches = batch.select(
+    old = T.stored_sightings(spark, sf_dir, T.LOADED).filter("in_catalog").select(
+        "url", "brand", "model", "price_raw", "first_seen_at", "last_seen_at")
+    touches = T.crawl_batch(spark, sf_dir).select(
         "url", "seen_at", "price_raw", *T.SIGHTING_ORDER[1:],
         F.when(F.col("seller_type") == "agency",
                F.concat(F.lit("Brand#"), (F.col("s_key") % 25 + 1).cast("string")))
@@ -96,7 +80,7 @@ SELECT url, last_seen_at,
 FROM listings"""))
 def listing_expire(spark, sf_dir):
     lst = T.listings(spark, sf_dir).select("url", "last_seen_at")
-    return snapshot.with_expired(lst, _as_of(T.sightings(spark, sf_dir)), EXPIRY_DAYS)
+    return snapshot.with_expired(lst, T.newest_sighting(spark, sf_dir), EXPIRY_DAYS)
 
 
 @register("cohort_cleanup", "J6 M7 A5 U4", oracle=with_views(["sightings"], f"""
@@ -109,7 +93,7 @@ WHERE (p_brand, p_type) IN (
                WHERE seen_at >= (SELECT max(seen_at) FROM sightings) - INTERVAL {CRAWL_WINDOW_DAYS} DAY""")]))
 def cohort_cleanup(spark, sf_dir):
     s = T.sightings(spark, sf_dir)
-    crawl = s.filter(F.col("seen_at") >= _as_of(s) - F.make_dt_interval(F.lit(CRAWL_WINDOW_DAYS)))
+    crawl = s.filter(F.col("seen_at") >= T.newest_sighting(spark, sf_dir) - F.make_dt_interval(F.lit(CRAWL_WINDOW_DAYS)))
     parts = T.parts_as_listings(spark, sf_dir)
     seen = snapshot.seen_by_pair(crawl.select("url").distinct().join(parts, "url", "inner"))
     return snapshot.cohort_cleanup(parts, seen).select("url", "brand", "model")
@@ -120,8 +104,8 @@ SELECT b.url, o.url IS NULL AS visit
 FROM (SELECT DISTINCT url FROM sightings WHERE seen_at >= TIMESTAMP '{SPLIT}') b
 LEFT JOIN (SELECT DISTINCT url FROM sightings WHERE seen_at < TIMESTAMP '{SPLIT}') o ON o.url = b.url"""))
 def known_new_split(spark, sf_dir):
-    s, old, batch = _split(spark, sf_dir)
-    return snapshot.split_known(batch.select("url").distinct(), old).select("url", "visit")
+    old = T.stored_sightings(spark, sf_dir, T.LOADED)
+    return snapshot.split_known(T.crawl_batch(spark, sf_dir).select("url").distinct(), old).select("url", "visit")
 
 
 @register("delete_keys", "M5 A13 P10", oracle=with_views(["listings"], f"""
@@ -131,7 +115,7 @@ SELECT url FROM listings WHERE url NOT IN (
 def delete_keys(spark, sf_dir):
     s = T.sightings(spark, sf_dir)
     keys = s.filter((F.col("seller_type") == "agency")
-                    & (F.col("seen_at") >= _as_of(s) - F.make_dt_interval(F.lit(CRAWL_WINDOW_DAYS))))
+                    & (F.col("seen_at") >= T.newest_sighting(spark, sf_dir) - F.make_dt_interval(F.lit(CRAWL_WINDOW_DAYS))))
     return snapshot.delete_keys(T.listings(spark, sf_dir), keys).select("url")
 
 
@@ -194,5 +178,5 @@ SELECT count(*) FILTER (WHERE last_seen_at < (SELECT max(seen_at) FROM sightings
 FROM listings"""))
 def expiry_totals(spark, sf_dir):
     lst = T.listings(spark, sf_dir).select("url", "last_seen_at")
-    flagged = snapshot.with_expired(lst, _as_of(T.sightings(spark, sf_dir)), EXPIRY_DAYS)
+    flagged = snapshot.with_expired(lst, T.newest_sighting(spark, sf_dir), EXPIRY_DAYS)
     return flagged.agg(F.count_if("expired").alias("n_removed"), F.count_if(~F.col("expired")).alias("n_kept"))

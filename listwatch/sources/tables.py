@@ -2,7 +2,8 @@
 
 Every reader selects only the columns it needs, so the Parquet scan is
 pruned; filters applied later by callers are pushed into the scan by
-Catalyst. Nothing here collects or counts.
+Catalyst. Nothing here collects or counts. Current listings are read from a
+stored snapshot, which is written once (``stored_listings``).
 
 The driver tables are a TPC-H-like star schema. The logical model of the
 listing watcher (FIXTURES.md) is mapped onto them as follows:
@@ -16,9 +17,15 @@ listing watcher (FIXTURES.md) is mapped onto them as follows:
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from listwatch.operators import snapshot
+from listwatch.session import checkpoint_dir
+from listwatch.sources.stored import StoredListings, buckets_for
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -95,18 +102,62 @@ def parts_as_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Current-state listings: catalog attributes plus first/last seen and the
-    latest price and seller type, folded from the sightings log.
-
-    The fold is one hash aggregate on url (partial aggregation on the map
-    side), then a join on url with part. Both sides are keyed by url, so the
-    join needs no further exchange of the aggregated side.
-    """
-    from listwatch.operators.snapshot import fold_sightings
+#: The stored snapshot is loaded from the sightings before this day; those from it on are a crawl batch.
+CRAWL_SPLIT = "1996-01-01"
+LOADED, UPSERTED = 0, 1
+_STORED: dict[tuple, StoredListings] = {}
+
+
+def _state_of(spark: SparkSession, path: str) -> tuple:
+    """What tells one state of a table's files from another: their number, bytes and last change."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    total = fs.getContentSummary(p)
+    return path, total.getFileCount(), total.getLength(), fs.getFileStatus(p).getModificationTime()
+
+
+def stored_listings(spark: SparkSession, sf_dir: str) -> StoredListings:
+    """The snapshot job, and the only reader of the whole log: version LOADED folds the sightings before CRAWL_SPLIT,
+    version UPSERTED merges the crawl batch from then on. It runs once per application and state of the input."""
+    state = tuple(_state_of(spark, f"{sf_dir.rstrip('/')}/{t}.parquet") for t in ("lineitem", "part"))
+    key = (spark.sparkContext.applicationId, *state)
+    if key not in _STORED:
+        name = hashlib.md5(repr(key).encode()).hexdigest()
+        store = StoredListings(spark, f"{checkpoint_dir(spark).rstrip('/')}/listwatch-listings-{name}", buckets_for(2 * state[1][2]))
+        s = sightings(spark, sf_dir)
+        seq = sighting_seq(s)
+        early = F.col("seen_at") < F.lit(CRAWL_SPLIT).cast("timestamp")
+        if LOADED not in store.versions():
+            folded = snapshot.fold_sightings(s.filter(early), seq)
+            parts = parts_as_listings(spark, sf_dir).withColumn("in_catalog", F.lit(True))
+            store.write(parts.join(folded, "url", "full"))
+        if UPSERTED not in store.versions():
+            batch = s.filter(~early).withColumn("first_seen_at", F.col("seen_at")).withColumn("last_seen_at", F.col("seen_at"))
+            store.upsert(batch, seq)
+        _STORED[key] = store
+    return _STORED[key]
+
+
+def stored_sightings(spark: SparkSession, sf_dir: str, version: int = UPSERTED) -> DataFrame:
+    """Stored rows of the urls that have been seen by that version."""
+    return stored_listings(spark, sf_dir).read(version).filter(F.col("first_seen_at").isNotNull())
+
+
+def crawl_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sightings(spark, sf_dir)
-    folded = fold_sightings(s, sighting_seq(s))
-    return parts_as_listings(spark, sf_dir).join(folded, "url", "left")
+    return s.filter(F.col("seen_at") >= F.lit(CRAWL_SPLIT).cast("timestamp"))
+
+
+def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current-state listings, as stored: catalog attributes plus first/last seen and the latest price and seller type."""
+    stored = stored_listings(spark, sf_dir).read(UPSERTED)
+    return stored.filter(F.col("in_catalog")).select("url", "brand", "model", "title", "list_price", "first_seen_at",
+                                                     "last_seen_at", "price_raw", "price", "seller_type")
+
+
+def newest_sighting(spark: SparkSession, sf_dir: str) -> Column:
+    """The crawl clock: the newest sighting, as a scalar subquery over the stored rows."""
+    return stored_listings(spark, sf_dir).read(UPSERTED).select(F.max("last_seen_at")).scalar()
 
 
 def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
