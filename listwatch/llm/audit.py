@@ -60,12 +60,14 @@ def term_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     """(lang, source, term, n, docs): occurrences and documents of each term in each group."""
     find = re.compile(TERM).findall
 
-    def rows(n: dict, docs: dict) -> pa.RecordBatch:
-        keys = [(lang, source, t, c, docs[lang, source][t]) for (lang, source), own in n.items() for t, c in own.items()]
-        lang, source, term, count, of_docs = zip(*keys)
-        return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(source), pa.array([t.decode() for t in term], pa.string()),
-                                           pa.array(count, pa.int64()), pa.array(of_docs, pa.int64())],
-                                          names=["lang", "source", "term", "n", "docs"])
+    def rows(n: dict, docs: dict):
+        for (lang, source), own in n.items():
+            if own:
+                terms = pa.array(list(own), pa.binary()).cast(pa.string())
+                of_docs = list(map(docs[lang, source].__getitem__, own))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(lang, len(own)), pa.repeat(source, len(own)), terms, pa.array(list(own.values()), pa.int64()),
+                     pa.array(of_docs, pa.int64())], names=["lang", "source", "term", "n", "docs"])
 
     def run(batches):
         n: dict[tuple, Counter] = {}
@@ -76,10 +78,9 @@ def term_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang", s
                 n.setdefault((lang, source), Counter()).update(terms)
                 docs.setdefault((lang, source), Counter()).update(set(terms))
                 if len(n) + sum(map(len, n.values())) > HELD_TERMS:
-                    yield rows(n, docs)
+                    yield from rows(n, docs)
                     n, docs = {}, {}
-        if any(n.values()):
-            yield rows(n, docs)
+        yield from rows(n, docs)
 
     text, lang, source = (F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (text_col, lang_col, source_col))
     counted = df.select(text.cast("binary").alias("text"), lang.alias("lang"), source.alias("source")).mapInArrow(
