@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listwatch.operators.entitlements import UNKNOWN_PLAN_LIMIT
-from listwatch.operators.windows import carry_last
+from listwatch.operators.windows import carry_last, group_key
 from listwatch.session import SharedTables
 
 
@@ -42,36 +42,56 @@ def next_after_window(runs: DataFrame, keys: list[str], window_s: int, bucket_s:
     return c.filter(F.col("kind") == 1).select(F.col("src").alias("id"), "nxt")
 
 
+#: Runs of a segment that are folded in one row.
+SHORT_SEGMENT = 256
+
+
+def _fold(runs: str, window_s: int) -> Column:
+    """Ids of the accepted runs of a sorted array of (t, id)."""
+    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.filter(F.transform(runs, lambda x: x.id), lambda _: F.lit(False)).alias("ids"))
+
+    def step(acc, x):
+        taken = F.struct(x.t.alias("last"), F.concat(acc.ids, F.array(x.id)).alias("ids"))
+        return F.when(acc.last.isNull() | (x.t > acc.last + F.lit(window_s)), taken).otherwise(acc)
+    return F.aggregate(runs, start, step, lambda acc: acc.ids)
+
+
 def accepted_runs(runs: DataFrame, keys: list[str], ts: str, id_col: str, window_s: int,
-                  bucket_s: int = 86400) -> DataFrame:
+                  bucket_s: int = 86400, short: int = SHORT_SEGMENT) -> DataFrame:
     """A run is accepted when no *accepted* run of the same key lies
     within ``window_s`` seconds before it (inclusive); later runs compare to
     the last accepted one, not to the last request.
 
     A run more than the window after the run before it is accepted whatever
     came earlier, so each such run starts a *segment* of its own; most
-    segments are single runs and are done. In the others the accepted runs
-    are the orbit of the first run under ``next`` (first run after t +
-    window), collected by pointer doubling: each round joins the found set
-    with the 2^k-step jump table and squares the table, so the work is a few
-    joins on run ids and log2 of the longest segment rounds. Neither the
-    segments nor the jumps gather a key in one task (windows are split by
-    time bucket). Each round is a table in the shared folder; older rounds
-    are dropped.
+    segments are single runs and are done. Those of up to ``short`` runs are
+    gathered and folded, one row each. In longer ones the accepted runs are
+    the orbit of the first run under ``next`` (first run after t + window),
+    collected by pointer doubling: each round joins the found set with the
+    2^k-step jump table and squares the table, so the work is a few joins on
+    run ids and log2 of the longest segment rounds. Neither the segments nor
+    the jumps gather a key in one task (windows are split by time bucket).
+    Each round is a table in the shared folder; older rounds are dropped.
     """
     tables = SharedTables(runs.sparkSession, "accepted")
-    bucket = F.floor(F.col("t") / F.lit(bucket_s))
-    r = runs.select(*keys, F.col(id_col).alias("id"),
-                    F.unix_seconds(F.date_trunc("second", F.col(ts))).alias("t"))
-    r = carry_last(r, keys, ["t", "id"], F.col("t"), bucket, "prev_t")
-    r = r.withColumn("head", F.when(F.col("prev_t").isNull() | (F.col("t") - F.col("prev_t") > window_s), F.col("id")))
-    # a segment is named by its first run
-    r = tables.save(carry_last(r, keys, ["t", "id"], F.col("head"), bucket, "segment", include_current=True)
-                    .select("id", "t", "segment", F.col("head").isNotNull().alias("is_head")), "segments")
-    several = r.groupBy("segment").count().filter(F.col("count") > 1).select("segment")
-    chained = r.join(several, "segment", "left_semi")
+    named = segments(runs.select(*keys, id_col, ts), keys, ts, id_col, window_s, bucket_s)
+    chains = tables.save(named.select(F.col(id_col).alias("id"), "t", "segment"), "segments")
+    accepted = accepted_of(chains, window_s, tables, bucket_s, short)
+    return runs.join(accepted.withColumnRenamed("id", id_col), id_col, "left_semi")
+
+
+def accepted_of(chains: DataFrame, window_s: int, tables: SharedTables, bucket_s: int = 86400, short: int = SHORT_SEGMENT) -> DataFrame:
+    """W3 on whole segments: the ids that are accepted of (id, t, segment), a stored table; a segment is named by its
+    first run."""
+    heads = chains.filter(F.col("id") == F.col("segment"))
+    sizes = chains.groupBy("segment").count().filter(F.col("count") > 1)
+    few = (chains.join(sizes.filter(F.col("count") <= short), "segment", "left_semi").groupBy("segment")
+           .agg(F.array_sort(F.collect_list(F.struct("t", "id"))).alias("_runs")).select(F.explode(_fold("_runs", window_s)).alias("id")))
+    chained = chains.join(sizes.filter(F.col("count") > short), "segment", "left_semi")
+    if chained.isEmpty():
+        return heads.select("id").unionByName(few).distinct()
     jump = tables.save(next_after_window(chained, ["segment"], window_s, bucket_s).filter(F.col("nxt").isNotNull()), "jump-0")
-    found = tables.save(chained.filter("is_head").select("id"), "found-0")
+    found = tables.save(chained.filter(F.col("id") == F.col("segment")).select("id"), "found-0")
     k = 0
     while not jump.isEmpty():
         step = found.join(jump, "id").select(F.col("nxt").alias("id"))
@@ -82,8 +102,29 @@ def accepted_runs(runs: DataFrame, keys: list[str], ts: str, id_col: str, window
         tables.drop(f"found-{k}")
         tables.drop(f"jump-{k}")
         k += 1
-    accepted = r.filter("is_head").select("id").unionByName(found).distinct()
-    return runs.join(accepted.withColumnRenamed("id", id_col), id_col, "left_semi")
+    return heads.select("id").unionByName(few).unionByName(found).distinct()
+
+
+def accepted_after(log: DataFrame, requests: DataFrame, keys: list[str], ts: str, id_col: str, window_s: int,
+                   bucket_s: int = 86400) -> DataFrame:
+    """K6 + W3: the requests that are accepted given the runs that the log
+    holds already. Requests are not older than their key's last logged run;
+    one within the window after it is refused, whatever came in between."""
+    last = log.groupBy(group_key(keys).alias("_k")).agg(F.max(F.unix_seconds(F.date_trunc("second", ts))).alias("_last"))
+    asked = requests.withColumn("_k", group_key(keys)).join(last, "_k", "left")
+    past = F.unix_seconds(F.date_trunc("second", F.col(ts))) > F.col("_last") + F.lit(window_s)
+    return accepted_runs(asked.filter(F.col("_last").isNull() | past).drop("_k", "_last"), keys, ts, id_col, window_s, bucket_s)
+
+
+def segments(runs: DataFrame, keys: list[str], ts: str, id_col: str, window_s: int, bucket_s: int = 86400) -> DataFrame:
+    """The runs with ``t``, their second, and ``segment``, the id of the first
+    run of their segment: a run more than the window after the run before it
+    starts one, and what is accepted in one does not depend on any other."""
+    r = runs.withColumn("t", F.unix_seconds(F.date_trunc("second", F.col(ts))))
+    bucket = F.floor(F.col("t") / F.lit(bucket_s))
+    r = carry_last(r, keys, ["t", id_col], F.col("t"), bucket, "_prev_t")
+    head = F.when(F.col("_prev_t").isNull() | (F.col("t") - F.col("_prev_t") > window_s), F.col(id_col))
+    return carry_last(r, keys, ["t", id_col], head, bucket, "segment", include_current=True).drop("_prev_t")
 
 
 # ---------------------------------------------------------------------------

@@ -6,11 +6,14 @@ Runs come from ``events``: user_id, brand_key = event_type, started_at = ts.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from listwatch.operators import runs, subs
 from listwatch.plans.oracle_views import with_views
 from listwatch.plans.registry import register
+from listwatch.session import checkpoint_dir
 from listwatch.sources import logs
 from listwatch.sources import tables as T
 
@@ -86,28 +89,36 @@ def due_subscriptions(spark, sf_dir):
 
 
 @register("run_log_append", "K6 W3", oracle=f"""
-WITH RECURSIVE a0 AS ({_RUNS_SQL}), r AS (SELECT * FROM a0 WHERE started_at >= TIMESTAMP '{LOG_SPLIT}'),
+WITH RECURSIVE a0 AS ({_RUNS_SQL}),
+logged AS (SELECT {_KEY_SQL}, max(t) AS last_t FROM a0 WHERE started_at < TIMESTAMP '{LOG_SPLIT}' GROUP BY ALL),
+r AS (SELECT a0.* FROM a0 LEFT JOIN logged l ON l.user_id = a0.user_id AND l.brand_key = a0.brand_key AND l.model_key = a0.model_key
+      WHERE a0.started_at >= TIMESTAMP '{LOG_SPLIT}' AND (l.last_t IS NULL OR a0.t > l.last_t + {RUN_WINDOW_S})),
 {_ACC_SQL.format(w=RUN_WINDOW_S)}
 SELECT user_id, brand_key, model_key, started_at FROM a0 WHERE started_at < TIMESTAMP '{LOG_SPLIT}'
 UNION ALL
 SELECT user_id, brand_key, model_key, started_at FROM a0 WHERE event_id IN (SELECT event_id FROM acc)""")
 def run_log_append(spark, sf_dir):
     """The run log after a batch of requests: the stored log (runs before
-    LOG_SPLIT) plus the accepted requests after it (60 min suppression)."""
+    LOG_SPLIT), to which the accepted requests after it are appended
+    (60 min suppression, judged against the log)."""
     r = T.job_runs(spark, sf_dir)
     split = F.lit(LOG_SPLIT).cast("timestamp")
-    stored = r.filter(F.col("started_at") < split)
-    new = runs.accepted_runs(r.filter(F.col("started_at") >= split), T.RUN_KEY,
-                             "started_at", "event_id", RUN_WINDOW_S, bucket_s=HOUR_S)
-    cols = [*T.RUN_KEY, "started_at"]
-    return stored.select(*cols).unionByName(new.select(*cols))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/listwatch-run-log-{uuid.uuid4().hex}"
+    runs.append_runs(r.filter(F.col("started_at") < split), path)
+    log = spark.read.parquet(path)
+    runs.append_runs(runs.accepted_after(log, r.filter(F.col("started_at") >= split), T.RUN_KEY, "started_at", "event_id",
+                                         RUN_WINDOW_S, bucket_s=HOUR_S), path)
+    return spark.read.parquet(path)
 
 
-@register("recent_flag_antijoin", "J9 T7", oracle=f"""
+_UNFLAGGED_SQL = f"""
 SELECT p.event_id, p.user_id, CAST(p.ts AS TIMESTAMP) AS ts FROM events p
 WHERE p.event_type = 'purchase' AND NOT EXISTS (
     SELECT 1 FROM events f WHERE f.event_type = 'error' AND f.user_id = p.user_id
-      AND f.ts <= p.ts AND epoch_us(p.ts) - epoch_us(f.ts) < CAST({DAY_S} AS BIGINT) * 1000000)""")
+      AND f.ts <= p.ts AND epoch_us(p.ts) - epoch_us(f.ts) < CAST({DAY_S} AS BIGINT) * 1000000)"""
+
+
+@register("recent_flag_antijoin", "J9 T7", oracle=_UNFLAGGED_SQL)
 def recent_flag_antijoin(spark, sf_dir):
     e = T.table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"),
                                                 "event_type")

@@ -40,6 +40,12 @@ def test_accepted_runs_matches_brute_force(spark):
     assert [r[0] for r in rows(out, "event_id")] == brute_force(data, 3600)
 
 
+def test_requests_are_judged_against_the_log_k6(spark):
+    log = run_df(spark, [("a", 0), ("a", 100), ("b", 50), (None, 10)])
+    asked = run_df(spark, [("a", 3700), ("a", 3701), ("a", 4000), ("b", 200), ("c", 5), ("c", 6), (None, 20), (None, 4000)])
+    assert rows(runs.accepted_after(log, asked, ["key"], "started_at", "event_id", 3600), "event_id") == [(1,), (4,), (7,)]
+
+
 def test_accepted_runs_keep_null_keys_and_long_segments(spark):
     data = [(None, t) for t in (0, 5, 9, 20, 24)] + [(1, t) for t in range(0, 400, 3)] + [(2, 7)]
     df = spark.createDataFrame([(i, k, EPOCH + dt.timedelta(seconds=t)) for i, (k, t) in enumerate(data)],
@@ -49,7 +55,8 @@ def test_accepted_runs_keep_null_keys_and_long_segments(spark):
         if k not in last or t > last[k] + 10:
             want.append((i,))
             last[k] = t
-    assert rows(runs.accepted_runs(df, ["key"], "started_at", "event_id", 10, bucket_s=50), "event_id") == want
+    for short in (256, 3):  # folded in a row, or by doubling
+        assert rows(runs.accepted_runs(df, ["key"], "started_at", "event_id", 10, bucket_s=50, short=short), "event_id") == want
 
 
 def test_throttle_t8(spark):
