@@ -49,6 +49,21 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def every(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def private(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 def under_share(key: Column, share: Column | float) -> Column:
     """True for about ``share`` of all uniform 64-bit hashes: the smallest ones."""
     limit = F.least(F.lit(1.0), F.lit(share) if isinstance(share, float) else share) * F.lit(2.0 ** 64) - F.lit(2.0 ** 63)

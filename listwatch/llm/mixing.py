@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from listwatch.llm.common import Scratch
+from listwatch.llm.common import Scratch, every
 
 #: Rounds in one plan, between two tables.
 ROUNDS_A_TABLE = 3
@@ -109,7 +109,7 @@ def mix(docs: DataFrame, powers: dict[str, float], scratch: Scratch, id_col: str
     ``targets`` gives the shares of each margin; by default each margin's own shares, tempered by ``powers``.
     """
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col), "source", "lang",
+    rows = docs.select(F.struct(*every(docs)).alias("row"), F.col(id_col), "source", "lang",
                        topic(text).alias("topic"), tokens(text).alias("n_tokens"), draw(id_col, text).alias("u"))
     margins = list(powers)
     cells = scratch.save(rows.groupBy(*margins).agg(F.sum("n_tokens").alias("tokens")), "cells")

@@ -33,7 +33,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listwatch.llm.common import Scratch, smallest
+from listwatch.llm.common import Scratch, every, private, smallest
 
 DICTIONARY = 3000
 #: Lengths of dictionary words.
@@ -185,12 +185,13 @@ def scan(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: st
 
 def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the secrets of ``findings`` replaced by PLACEHOLDER."""
-    flagged = (findings.where("is_secret = 1").groupBy(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"))
-               .agg(F.collect_set("nth").alias("_nth")))  # no more than one text's candidates
+    id_, key, nth = private(docs, "_id", "_key", "_nth")
+    flagged = (findings.where("is_secret = 1").groupBy(F.col(id_col).alias(id_), F.col("text_key").alias(key))
+               .agg(F.collect_set("nth").alias(nth)))  # no more than one text's candidates
     text = F.col(text_col).cast("string")
     gaps, found = F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     pieces = F.transform(F.sequence(F.lit(0), F.size(found)), lambda i: F.concat(
-        F.get(gaps, i), F.when(F.array_contains(F.col("_nth"), i), PLACEHOLDER).otherwise(F.coalesce(F.get(found, i), F.lit("")))))
-    joined = docs.join(flagged, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left")
-    return joined.select(*(F.when(F.col("_nth").isNotNull(), F.concat_ws("", pieces)).otherwise(F.col(c)).alias(c)
-                           if c == text_col else docs[c] for c in docs.columns))
+        F.get(gaps, i), F.when(F.array_contains(F.col(nth), i), PLACEHOLDER).otherwise(F.coalesce(F.get(found, i), F.lit("")))))
+    joined = docs.join(flagged, F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(key)), "left")
+    return joined.select(*(F.when(F.col(nth).isNotNull(), F.concat_ws("", pieces)).otherwise(c).alias(name) if name == text_col else c
+                           for name, c in zip(docs.columns, every(docs))))

@@ -17,7 +17,9 @@ so the join key then fixes both. Nothing is capped.
 Defined cases: null, empty and blank texts have fingerprint zero and are
 linked like any other; fewer words than the shingle length form one shingle;
 rows with a null id are fingerprinted and linked, and a component without any
-id has a null component_id; repeated rows each get their row.
+id has a null component_id; repeated rows each get their row; texts of any
+length are read whole; other columns, whatever their names, are passed on by
+``one_of_each`` and not read otherwise.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import ArrayType, MapType, StructType
 
-from listwatch.llm.common import Scratch, connected_components
+from listwatch.llm.common import Scratch, connected_components, every
 
 SEED = 42
 HOT = 256
@@ -148,7 +150,7 @@ def one_of_each(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_co
                 max_bits: int = 2) -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each component the row of smallest id (nulls last; ties: smallest
     hash of the row), once if it is repeated. All columns stay as they are."""
-    row = F.struct(*df.columns)
+    row = F.struct(*every(df))
     keyed = df.select(row.alias("row"), *_row_keys(df), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = components(keyed, scratch, "id", "text", shingle, max_bits, keep=("key1", "key2"))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "key1", "key2")).alias("first"))
@@ -160,9 +162,9 @@ def one_of_each(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_co
 
 def _row_keys(df: DataFrame) -> list[Column]:
     """96 bits that tell rows apart; equal rows have equal keys. Hashes pass over nulls, so these go in as flags."""
-    parts = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if isinstance(f.dataType, (MapType, StructType, ArrayType))
-             else F.col(f"`{f.name}`") for f in df.schema.fields]
-    flags = [F.col(f"`{c}`").isNull() for c in df.columns]
+    parts = [F.to_json(F.struct(c)) if isinstance(f.dataType, (MapType, StructType, ArrayType)) else c
+             for f, c in zip(df.schema.fields, every(df))]
+    flags = [c.isNull() for c in every(df)]
     return [F.xxhash64(*parts, *flags).alias("key1"), F.hash(*parts, *flags).alias("key2")]
 
 

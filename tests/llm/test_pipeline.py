@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from listwatch.llm import langid, mixing
@@ -102,3 +103,21 @@ def test_empty_documents(spark, folder, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("false")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_names_that_clash(spark, folder):
+    """Extra columns may be called anything that the stages use themselves, or hold dots and backticks."""
+    some = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").where("doc_id < 60 OR doc_id >= 4000")
+    extra = ["a.b", "x`y", "_nth", "_key", "_id", "row", "fp", "topic", "nth", "key1", "kept", "ids", "lang_pred", "tokens", "root", "u"]
+    docs = some.select("*", *[F.lit(i).alias(c) for i, c in enumerate(extra)])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        if name != "tokenize":
+            assert out.columns == docs.columns, name
+            for r in out.limit(3).collect():
+                assert list(r)[5:] == list(range(len(extra))), name
+        assert out.count() > 0, name
+
+
+def test_least_score_falls_with_more_languages():
+    assert [corpus_pipeline.least_score(n) for n in (0, 1, 4)] == [0.35] * 3 and round(corpus_pipeline.least_score(100), 6) == 0.014
