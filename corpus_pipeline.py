@@ -21,20 +21,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listwatch.llm import bpe, langid, mixing, secrets, simhash
-from listwatch.llm.common import Scratch
+from listwatch.llm.common import Scratch, every
 from listwatch.llm.queries import MIX, RANKS
 
-#: Mean probability below which no language is recognised.
-LEAST_SCORE = 0.35
+#: Mean probability below which no language is recognised; with more than four languages, that many times an equal share.
+LEAST_SCORE, TIMES_EQUAL = 0.35, 1.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose text is null, has no letter, or has no language of LEAST_SCORE or more."""
+    """Drops documents whose text is null, has no letter, or has no language of ``least_score`` or more."""
     Scratch(spark, "pipeline-langid")
     net = langid.fit(docs)
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = docs.select(F.struct(*every(docs)).alias("row"))
     out = langid.predict(rows, net, "row.text", keep=("row",))
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score(len(net.langs)))).select("row.*")
+
+
+def least_score(n_langs: int) -> float:
+    return min(LEAST_SCORE, TIMES_EQUAL / max(n_langs, 1))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
