@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from listwatch.operators.windows import carry_last
+
 # fixed values: plan limits, unknown plan -> 2
 PLAN_LIMITS = {"free": 2, "free_expired": 0, "starter": 10, "pro": 20, "dealer": 50, "admin": 999}
 UNKNOWN_PLAN_LIMIT = 2
@@ -70,20 +72,50 @@ def effective_plan(users: DataFrame, plans: DataFrame, as_of: Column, limits: Da
     is a fresh 'free' user (M15); a 'free' user whose trial is at least
     ``trial_days`` old is 'free_expired' (M17); the limit comes from J10."""
     j = users.select("user_id").distinct().join(plans, "user_id", "left")
+    return with_limit(j.select("user_id", *_effective(as_of, trial_days)), limits)
+
+
+def _effective(as_of: Column, trial_days: int) -> list[Column]:
     lapsed = F.col("expires_at").isNotNull() & (F.col("expires_at") < as_of)
     plan0 = F.when(lapsed, F.lit("free")).otherwise(F.lower(F.coalesce(F.col("plan_name"), F.lit("free"))))
     start = (F.when(F.col("plan_name").isNull(), as_of)
              .when(lapsed, F.coalesce(F.col("free_started_at"), F.col("expires_at")))
              .otherwise(F.col("free_started_at")))
     expired = (plan0 == "free") & start.isNotNull() & (trial_age_days(as_of, start) >= F.lit(float(trial_days)))
-    out = j.select(
-        "user_id",
-        F.when(expired, F.lit("free_expired")).otherwise(plan0).alias("plan"),
-        F.when(lapsed, F.lit(None).cast("timestamp")).otherwise(F.col("expires_at")).alias("expires_at"),
-        start.alias("free_started_at"),
-        (F.lower(F.coalesce(F.col("plan_name"), F.lit("free"))) == "free").alias("is_free"),  # P14, stored row
-    )
-    return with_limit(out, limits)
+    return [F.when(expired, F.lit("free_expired")).otherwise(plan0).alias("plan"),
+            F.when(lapsed, F.lit(None).cast("timestamp")).otherwise(F.col("expires_at")).alias("expires_at"),
+            start.alias("free_started_at"),
+            (F.lower(F.coalesce(F.col("plan_name"), F.lit("free"))) == "free").alias("is_free")]  # P14, stored row
+
+
+def plan_intervals(events: DataFrame, bucket_s: int = 30 * 86400) -> DataFrame:
+    """The plan history: (user_id, plan_name, expires_at, valid_from,
+    valid_to, free_started_at) from plan events as in ``fold_plan_events``. An
+    interval ends where the user's next event begins (NULL: it still holds);
+    of events at one time only the last one holds. Neighbours are found in
+    (user, time bucket) windows."""
+    last = events.groupBy("user_id", "ts").agg(F.max_by(F.struct("plan_name", "expires_at"), "seq").alias("_p"))
+    nxt = carry_last(last, ["user_id"], ["ts"], F.col("ts"), F.floor(F.unix_seconds("ts") / bucket_s), "valid_to", reverse=True)
+    first = events.groupBy("user_id").agg(F.min_by(F.struct("plan_name", "ts"), F.struct("ts", "seq")).alias("_first"))
+    return nxt.join(first, "user_id").select(
+        "user_id", F.lower("_p.plan_name").alias("plan_name"), "_p.expires_at", F.col("ts").alias("valid_from"), "valid_to",
+        F.when(F.lower(F.col("_first.plan_name")) == "free", F.col("_first.ts")).alias("free_started_at"))
+
+
+def plan_at(jobs: DataFrame, intervals: DataFrame, limits: DataFrame, trial_days: int = TRIAL_DAYS, bucket_s: int = 30 * 86400) -> DataFrame:
+    """M15-M17/J10 at each job's own time: ``jobs`` (user_id, at, ...) with the
+    plan that held then, its limit and the trial state. An as-of join: jobs
+    and interval starts are merged per user in time order (a start counts for
+    a job at the same time) and the plan is carried forward over (user, time
+    bucket) windows, so neither a user's jobs nor their history meet in one
+    task as a product. A job before the user's first event finds no plan."""
+    held = F.struct("plan_name", "expires_at", "free_started_at")
+    j = jobs.select("*", F.lit(1).alias("_kind"), F.lit(None).cast(intervals.select(held.alias("h")).schema["h"].dataType).alias("_held"))
+    starts = intervals.select("user_id", F.col("valid_from").alias("at"), F.lit(0).alias("_kind"), held.alias("_held"))
+    both = carry_last(j.unionByName(starts, allowMissingColumns=True), ["user_id"], ["at", "_kind"], F.col("_held"),
+                      F.floor(F.unix_seconds("at") / bucket_s), "_now", include_current=True).filter("_kind = 1")
+    mine = both.select(*jobs.columns, "_now.*")
+    return with_limit(mine.select(*jobs.columns, *_effective(F.col("at"), trial_days)), limits)
 
 
 def trial_age_days(a: Column, b: Column) -> Column:

@@ -8,6 +8,8 @@ Subscription events come from ``events`` (op by event type).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +17,12 @@ from listwatch.operators import entitlements as E
 from listwatch.operators import runs, subs
 from listwatch.plans.oracle_views import with_views
 from listwatch.plans.registry import register
+from listwatch.session import checkpoint_dir
 from listwatch.sources import tables as T
+from listwatch.sources.versions import read_versions
 
-AS_OF = "2001-07-01"
-AS_OF_SQL = f"TIMESTAMP '{AS_OF}'"
+# the clock of these queries: the newest order
+AS_OF_SQL = "(SELECT max(CAST(o_orderdate AS TIMESTAMP)) FROM orders)"
 SCHEMA_SPLIT = "1998-01-01"
 
 
@@ -26,8 +30,8 @@ def with_views_subs(body: str) -> str:
     return with_views(["subscriptions"], body)
 
 
-def _as_of():
-    return F.lit(AS_OF).cast("timestamp")
+def _as_of(spark, sf_dir):
+    return T.table(spark, sf_dir, "orders").select(F.max(F.col("o_orderdate").cast("timestamp"))).scalar()
 
 
 # --------------------------------------------------------------------------
@@ -38,8 +42,7 @@ def plan_events(spark, sf_dir) -> DataFrame:
     o = T.table(spark, sf_dir, "orders")
     plan = T.case_map(F.col("o_orderpriority"), T.PLAN_BY_PRIORITY)
     ts = F.col("o_orderdate").cast("timestamp")
-    return (o.filter(ts <= _as_of())
-            .select(F.col("o_custkey").alias("user_id"), plan.alias("plan_name"), ts.alias("ts"),
+    return (o.select(F.col("o_custkey").alias("user_id"), plan.alias("plan_name"), ts.alias("ts"),
                     F.col("o_orderkey").alias("seq"))
             .withColumn("expires_at", F.when(F.col("plan_name") != "free",
                                              F.col("ts") + F.make_dt_interval(F.lit(E.PAID_PERIOD_DAYS)))))
@@ -49,9 +52,11 @@ _PLAN_CASE = """CASE o_orderpriority WHEN '1-URGENT' THEN 'dealer' WHEN '2-HIGH'
                 WHEN '3-MEDIUM' THEN 'starter' WHEN '4-NOT SPECIFIED' THEN 'starter' WHEN '5-LOW' THEN 'free' END"""
 _LIMITS_SQL = "(VALUES " + ", ".join(f"('{p}', {n})" for p, n in E.PLAN_LIMITS.items()) + ") AS lim(plan, max_subs)"
 
+_PRICES_SQL = "(VALUES " + ", ".join(f"('{p}', {n})" for p, n in E.PLAN_PRICES_MINOR.items()) + ") AS p(pplan, price_minor)"
+
 _PLANS_SQL = f"""
 pe AS (SELECT o_custkey AS user_id, {_PLAN_CASE} AS plan_name, CAST(o_orderdate AS TIMESTAMP) AS ts, o_orderkey AS seq
-       FROM orders WHERE CAST(o_orderdate AS TIMESTAMP) <= {AS_OF_SQL}),
+       FROM orders),
 pe2 AS (SELECT *, CASE WHEN plan_name <> 'free' THEN ts + INTERVAL {E.PAID_PERIOD_DAYS} DAY END AS expires_at FROM pe),
 plans AS (SELECT user_id, lower(arg_max(plan_name, (ts, seq))) AS plan_name,
                  arg_max_null(expires_at, (ts, seq)) AS expires_at, min(ts) AS created_at, max(ts) AS updated_at,
@@ -208,10 +213,39 @@ eff AS (SELECT user_id,
 SELECT eff.*, coalesce(lim.max_subs, 2) AS max_subs FROM eff LEFT JOIN {_LIMITS_SQL} ON lim.plan = eff.plan""")
 def effective_plan(spark, sf_dir):
     users = T.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
-    return E.effective_plan(users, plans_state(spark, sf_dir), _as_of(), E.plan_limits(spark)).select(
+    return E.effective_plan(users, plans_state(spark, sf_dir), _as_of(spark, sf_dir), E.plan_limits(spark)).select(
         "user_id", "plan", "expires_at", "free_started_at", "is_free", "max_subs")
 
 
+#: Jobs are the events, moved into the time of the orders.
+JOB_SHIFT_DAYS = 8400
+
+_PLAN_AT_SQL = f"""
+jobs AS (SELECT event_id, user_id, CAST(ts AS TIMESTAMP) - INTERVAL {JOB_SHIFT_DAYS} DAY AS job_at FROM events),
+firsts AS (SELECT user_id, CASE WHEN lower(arg_min(plan_name, (ts, seq))) = 'free' THEN min(ts) END AS free_started_at FROM pe2 GROUP BY user_id),
+held AS (SELECT j.event_id, arg_max(pe2.plan_name, (ts, seq)) AS plan_name, arg_max_null(pe2.expires_at, (ts, seq)) AS expires_at
+         FROM jobs j JOIN pe2 ON pe2.user_id = j.user_id AND pe2.ts <= j.job_at GROUP BY j.event_id),
+j2 AS (SELECT j.*, h.plan_name, h.expires_at, CASE WHEN h.plan_name IS NOT NULL THEN f.free_started_at END AS free_started_at,
+              coalesce(h.expires_at < j.job_at, false) AS lapsed
+       FROM jobs j LEFT JOIN held h USING (event_id) LEFT JOIN firsts f ON f.user_id = j.user_id),
+m AS (SELECT event_id, user_id, job_at, CASE WHEN lapsed THEN 'free' ELSE lower(coalesce(plan_name, 'free')) END AS plan0,
+             CASE WHEN plan_name IS NULL THEN job_at WHEN lapsed THEN coalesce(free_started_at, expires_at) ELSE free_started_at END AS start,
+             CASE WHEN lapsed THEN NULL ELSE expires_at END AS expires_at
+      FROM j2)"""
+
+
+@register("plan_at_job", "M17 J10 M16 M15", oracle=f"""WITH {_PLANS_SQL.strip()}, {_PLAN_AT_SQL.strip()}
+SELECT event_id, user_id, job_at, plan, expires_at, coalesce(lim.max_subs, 2) AS max_subs FROM (
+    SELECT *, CASE WHEN plan0 = 'free' AND start IS NOT NULL AND abs(epoch_us(job_at) - epoch_us(start)) / 86400e6 >= {E.TRIAL_DAYS}
+                   THEN 'free_expired' ELSE plan0 END AS plan FROM m) LEFT JOIN {_LIMITS_SQL} ON lim.plan = plan""")
+def plan_at_job(spark, sf_dir):
+    """The plan and the limit of every job's user at the time of the job."""
+    jobs = T.table(spark, sf_dir, "events").select(
+        "event_id", "user_id", (F.col("ts").cast("timestamp") - F.make_dt_interval(F.lit(JOB_SHIFT_DAYS))).alias("at"))
+    out = E.plan_at(jobs, E.plan_intervals(plan_events(spark, sf_dir)), E.plan_limits(spark))
+    return out.select("event_id", "user_id", F.col("at").alias("job_at"), "plan", "expires_at", "max_subs")
+
+
 def payment_events(spark, sf_dir) -> DataFrame:
     """(o_orderkey, value): webhook events as they arrive, as JSON text: a
     completed checkout for a settled order, an expired one for an open
@@ -259,7 +293,7 @@ SELECT user_id, free_started_at, round(abs(epoch_us({AS_OF_SQL}) - epoch_us(free
 FROM plans WHERE lower(coalesce(plan_name, 'free')) = 'free' AND free_started_at IS NOT NULL
   AND free_started_at <= {AS_OF_SQL} - INTERVAL {E.TRIAL_DAYS} DAY""")
 def trial_expired(spark, sf_dir):
-    return E.trial_expired(plans_state(spark, sf_dir), _as_of())
+    return E.trial_expired(plans_state(spark, sf_dir), _as_of(spark, sf_dir))
 
 
 @register("trial_reset", "J12 M13 M19 M20 T5 A3 Q15", oracle=f"""WITH {_PLANS_SQL.strip()}, {_SUBS_SQL.strip()},
@@ -274,8 +308,8 @@ def trial_reset(spark, sf_dir):
 
 
 def _reset(spark, sf_dir):
-    expired = E.trial_expired(plans_state(spark, sf_dir), _as_of())
-    return E.trial_reset(expired, subs_state_df(spark, sf_dir), shown_items(spark, sf_dir), _as_of())
+    expired = E.trial_expired(plans_state(spark, sf_dir), _as_of(spark, sf_dir))
+    return E.trial_reset(expired, subs_state_df(spark, sf_dir), shown_items(spark, sf_dir), _as_of(spark, sf_dir))
 
 
 @register("trial_reset_kept", "J12 M13", oracle=f"""WITH {_PLANS_SQL.strip()}, {_SUBS_SQL.strip()},
@@ -351,7 +385,7 @@ SELECT o_orderkey AS order_key, plan, p.price_minor,
        CASE WHEN p.price_minor IS NULL THEN NULL ELSE printf('%.2f', p.price_minor / 100.0) END AS price_text,
        p.price_minor IS NULL AS rejected
 FROM (SELECT o_orderkey, {_PLAN_CASE} AS plan FROM orders) o
-LEFT JOIN (VALUES ('starter', 999), ('pro', 1799), ('dealer', 3999)) AS p(pplan, price_minor) ON p.pplan = o.plan""")
+LEFT JOIN {_PRICES_SQL} ON p.pplan = o.plan""")
 def plan_price(spark, sf_dir):
     o = T.table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("order_key"), T.case_map(F.col("o_orderpriority"), T.PLAN_BY_PRIORITY).alias("plan"))
@@ -368,19 +402,19 @@ SELECT o_orderkey AS order_key, o_custkey AS user_id, {_PLAN_CASE} AS plan_name,
        CAST(NULL AS TIMESTAMP) AS last_free_reset_at
 FROM orders""")
 def plan_schema_evolution(spark, sf_dir):
-    """Old rows lack the trial columns; new rows carry them. Reading both
-    with ``unionByName(allowMissingColumns=True)`` fills NULLs (the same as
-    ``mergeSchema`` on files)."""
+    """Files of an older schema (no trial columns, the user's id as a short
+    integer) beside files of the newer one, read as one table."""
     o = T.table(spark, sf_dir, "orders")
     plan = T.case_map(F.col("o_orderpriority"), T.PLAN_BY_PRIORITY)
     ts = F.col("o_orderdate").cast("timestamp")
-    split = F.lit(SCHEMA_SPLIT).cast("timestamp")
-    base = [F.col("o_orderkey").alias("order_key"), F.col("o_custkey").alias("user_id"), plan.alias("plan_name")]
-    old = o.filter(ts < split).select(*base)
-    new = o.filter(ts >= split).select(
-        *base, F.when(plan == "free", ts).alias("free_started_at"),
-        F.lit(None).cast("timestamp").alias("last_free_reset_at"))
-    return old.unionByName(new, allowMissingColumns=True)
+    old_rows = ts < F.lit(SCHEMA_SPLIT).cast("timestamp")
+    key, user = F.col("o_orderkey").alias("order_key"), F.col("o_custkey")
+    root = f"{checkpoint_dir(spark).rstrip('/')}/listwatch-plan-files-{uuid.uuid4().hex}"
+    (o.filter(old_rows).select(key, user.cast("int").alias("user_id"), plan.alias("plan_name")).write.parquet(f"{root}/v1"))
+    (o.filter(~old_rows).select(key, user.cast("bigint").alias("user_id"), plan.alias("plan_name"),
+                                F.when(plan == "free", ts).alias("free_started_at"),
+                                F.lit(None).cast("timestamp").alias("last_free_reset_at")).write.parquet(f"{root}/v2"))
+    return read_versions(spark, [f"{root}/v1", f"{root}/v2"])
 
 
 @register("user_scoped_scan", "S5 O2", oracle=with_views_subs("""

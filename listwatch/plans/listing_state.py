@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from listwatch.operators import prices, snapshot
+from listwatch.operators import distinct, prices, snapshot
 from listwatch.plans.oracle_views import with_views
 from listwatch.plans.registry import register
+from listwatch.session import SharedTables
 from listwatch.sources import tables as T
 
 SPLIT = T.CRAWL_SPLIT
@@ -155,7 +156,7 @@ LEFT JOIN (SELECT date_trunc('month', seen_at) AS run, count(*) AS n_price_updat
 def crawl_stats(spark, sf_dir):
     """Sightings are reduced to one row per (url, run) together with their
     price updates; new and gone urls follow from each url's first and last
-    run. Only the distinct feed pages need a pass of their own."""
+    run. The distinct feed pages of a run are counted by bitmaps."""
     s = T.sightings(spark, sf_dir)
     run = F.date_trunc("month", F.col("seen_at"))
     p = prices.with_previous_price(s, "url", T.SIGHTING_ORDER, run)
@@ -166,10 +167,30 @@ def crawl_stats(spark, sf_dir):
     base = per_url.groupBy("run").agg(
         F.sum("n").alias("n_seen"), F.count("url").alias("n_urls"), F.count_if(F.col("run") == F.col("f")).alias("n_new"),
         F.count_if(F.col("run") == F.col("l")).alias("n_gone"), F.sum("u").alias("n_price_updates"))
-    pages = s.select(run.alias("run"), "o_key").distinct().groupBy("run").agg(F.count("o_key").alias("n_pages"))
+    pages = distinct.count_keys(distinct.key_bitmaps(s, F.col("o_key"), [run.alias("run")]), ["run"], "n_pages")
     return base.join(pages, "run", "left").select("run", "n_seen", "n_urls", "n_pages", "n_new", "n_gone", "n_price_updates")
 
 
+RANGE_RUNS = 12
+
+
+@register("crawl_pages_range", "A4", oracle=with_views(["sightings"], f"""
+SELECT r.run, count(DISTINCT s.o_key) AS n_pages
+FROM (SELECT DISTINCT date_trunc('month', seen_at) AS run FROM sightings) r
+JOIN (SELECT DISTINCT date_trunc('month', seen_at) AS run, o_key FROM sightings) s
+  ON s.run <= r.run AND s.run > r.run - INTERVAL {RANGE_RUNS} MONTH
+GROUP BY r.run"""))
+def crawl_pages_range(spark, sf_dir):
+    """Distinct feed pages of the RANGE_RUNS months that end with each run,
+    from the stored bitmaps of the single runs."""
+    s = T.sightings(spark, sf_dir)
+    run = F.date_trunc("month", F.col("seen_at")).alias("run")
+    stored = SharedTables(spark, "pages").save(distinct.key_bitmaps(s, F.col("o_key"), [run]), "bitmaps")
+    ends = F.transform(F.sequence(F.lit(0), F.lit(RANGE_RUNS - 1)), lambda k: F.col("run") + F.make_ym_interval(F.lit(0), k))
+    reached = stored.select(F.explode(ends).alias("run"), "bucket", "bits")
+    return distinct.count_keys(reached, ["run"], "n_pages").join(stored.select("run").distinct(), "run", "left_semi")
+
+
 @register("expiry_totals", "A11 M6", oracle=with_views(["listings"], f"""
 SELECT count(*) FILTER (WHERE last_seen_at < (SELECT max(seen_at) FROM sightings) - INTERVAL {EXPIRY_DAYS} DAY)
            AS n_removed,
