@@ -235,9 +235,9 @@ m AS (SELECT event_id, user_id, job_at, CASE WHEN lapsed THEN 'free' ELSE lower(
 
 
 @register("plan_at_job", "M17 J10 M16 M15", oracle=f"""WITH {_PLANS_SQL.strip()}, {_PLAN_AT_SQL.strip()}
-SELECT event_id, user_id, job_at, plan, expires_at, coalesce(lim.max_subs, 2) AS max_subs FROM (
+SELECT event_id, user_id, job_at, q.plan, expires_at, coalesce(lim.max_subs, 2) AS max_subs FROM (
     SELECT *, CASE WHEN plan0 = 'free' AND start IS NOT NULL AND abs(epoch_us(job_at) - epoch_us(start)) / 86400e6 >= {E.TRIAL_DAYS}
-                   THEN 'free_expired' ELSE plan0 END AS plan FROM m) LEFT JOIN {_LIMITS_SQL} ON lim.plan = plan""")
+                   THEN 'free_expired' ELSE plan0 END AS plan FROM m) q LEFT JOIN {_LIMITS_SQL} ON lim.plan = q.plan""")
 def plan_at_job(spark, sf_dir):
     """The plan and the limit of every job's user at the time of the job."""
     jobs = T.table(spark, sf_dir, "events").select(
