@@ -30,7 +30,7 @@ import re
 import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -171,8 +171,9 @@ class Processor:
         self.drop_first = self.normalise.prefix or self.normalise.trim
         self.keep_dropping = self.normalise.trim
         self.cut = self._cutter()
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
-        self.older: dict[str, tuple[bytes, bytes]] = {}
+        #: Of each part the ids and their lengths in normalised bytes, in turn, as little-endian unsigned 32-bit integers.
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _cutter(self) -> Callable[[str], list[str]]:
         """A function that cuts a normalised text at places that no contraction crosses."""
@@ -223,23 +224,23 @@ class Processor:
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys.take(at, mode="clip") == key, at, len(self.keys))
 
-    def _spell(self, text: str, toks: list[int]) -> tuple[bytes, bytes]:
-        """Ids of one part with unknown characters, and the length in normalised bytes of each; of the bytes of an
-        unknown character the last has them all."""
-        out, lengths, at = [], [], 0
+    def _spell(self, text: str, toks: list[int]) -> bytes:
+        """Ids and lengths of one part with unknown characters; of the bytes of such a character the last has its whole
+        length."""
+        out, at = [], 0
         for t in toks:
             if 0 <= t < self.n:
-                out.append(t)
-                lengths.append(int(self.n_bytes[t]))
+                out += [t, int(self.n_bytes[t])]
                 at += int(self.n_chars[t])
             else:
                 raw = text[at].encode()
-                out += [self.bytes[b] for b in raw]
-                lengths += [0] * (len(raw) - 1) + [len(raw)]
+                for b in raw:
+                    out += [self.bytes[b], 0]
+                out[-1] = len(raw)
                 at += 1
-        return np.array(out, dtype="<u4").tobytes(), np.array(lengths, dtype="<u4").tobytes()
+        return np.array(out, dtype="<u4").tobytes()
 
-    def _contract_block(self, parts: list[str]) -> Iterator[tuple[bytes, bytes]]:
+    def _contract_block(self, parts: list[str]) -> Iterator[bytes]:
         """Contract many short parts together: each round contracts the best, leftmost pair of every row that has one,
         so all these rows get shorter by one symbol."""
         lengths = np.array([len(p) for p in parts])
@@ -270,13 +271,13 @@ class Processor:
         ends = np.cumsum(kept.sum(axis=1))
         odd = ((done == UNSEEN) | (done >= self.n)).any(axis=1)
         flat = done[kept]
-        ids, sizes = flat.astype("<u4").tobytes(), self.n_bytes[np.where((flat < 0) | (flat >= self.n), 0, flat)].astype("<u4").tobytes()
+        both = np.stack([flat, self.n_bytes[np.where((flat < 0) | (flat >= self.n), 0, flat)]], axis=1).astype("<u4").tobytes()
         start = 0
         for p, end, strange in zip(parts, ends.tolist(), odd.tolist()):
-            yield self._spell(p, flat[start:end].tolist()) if strange else (ids[4 * start:4 * end], sizes[4 * start:4 * end])
+            yield self._spell(p, flat[start:end].tolist()) if strange else both[8 * start:8 * end]
             start = end
 
-    def _contract_all(self, parts: list[str]) -> Iterator[tuple[str, tuple[bytes, bytes]]]:
+    def _contract_all(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
         parts.sort(key=len)
         short = next((i for i, p in enumerate(parts) if len(p) > LONG_PART), len(parts))
         for at in range(0, short, BLOCK):
@@ -311,18 +312,19 @@ class Processor:
             self.cache, self.older = {}, self.cache
         shown = [self.normalise(t) for t in texts]
         parts = [self.cut(raw.decode()) for raw, _ in shown]
-        missing = set(chain.from_iterable(parts)).difference(self.cache)
+        missing: set[str] = set()
+        for own in parts:
+            missing.update(filterfalse(self.cache.__contains__, own))
         known = missing & self.older.keys()
         self.cache.update((p, self.older[p]) for p in known)
         long = {}
         for p, got in self._contract_all(list(missing - known)):
             (self.cache if len(p) <= CACHED_CHARS else long)[p] = got
         look = (self.cache | long if long else self.cache).__getitem__
-        return [self._project(list(map(look, own)), source) for own, (_, source) in zip(parts, shown)]
+        return [self._project(b"".join(map(look, own)), source) for own, (_, source) in zip(parts, shown)]
 
-    def _project(self, got: list[tuple[bytes, bytes]], source: np.ndarray) -> tuple[bytes, bytes]:
-        ids, lengths = map(b"".join, zip(*got)) if got else (b"", b"")
-        lengths = np.frombuffer(lengths, dtype="<u4")
+    def _project(self, got: bytes, source: np.ndarray) -> tuple[bytes, bytes]:
+        ids, lengths = np.frombuffer(got, dtype="<u4").reshape(-1, 2).T
         ends = source[np.cumsum(lengths, dtype=np.int64)]
         spans = np.empty((len(ends) + 1, 2), dtype="<u4")
         spans[:1, 0] = source[0]
@@ -330,7 +332,7 @@ class Processor:
         # the bytes of an unknown character before its last one span nothing, at its start
         spans[:-1, 1] = np.where(lengths == 0, spans[:-1, 0], ends)
         spans[-1] = source[-1]
-        return ids + struct.pack("<I", self.end), spans.tobytes()
+        return ids.tobytes() + struct.pack("<I", self.end), spans.tobytes()
 
     def decode(self, ids: bytes) -> str:
         """The text of a list of ids (little-endian unsigned 32-bit integers)."""
