@@ -49,7 +49,7 @@ SCALE = 1_000_000_000
 #: ASCII letters and all bytes of other characters: the runs that count as terms, once A-Z are lower-cased.
 TERM = rb"[a-z\x80-\xff]+"
 #: Distinct (group, term) pairs held in a task before they are handed on.
-HELD_TERMS = 200_000
+HELD_TERMS = 400_000
 #: Terms and sources of one unit, and terms of one product.
 TERM_BLOCK = 4096
 SOURCE_BLOCK = 32
@@ -149,13 +149,12 @@ def audit(df: DataFrame, scratch: Scratch, text_col: str = "text", lang_col: str
     """(lang, source, part, item, value, rank): part ``pair`` for each two sources of a language, all ranks; part
     ``term`` for the terms that a source has above its language, to rank ``top``."""
     counts = scratch.save(term_counts(df, text_col, lang_col, source_col), "counts")
-    terms = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= least_docs)
+    terms = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"))
+    terms = scratch.save(terms.where(F.col("docs") >= least_docs).select("lang", "term", "lang_n"), "terms")
     kept = scratch.save(counts.join(terms, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n"), "kept")
     scratch.drop("counts")
     own = kept.groupBy("lang", "source").agg(F.sum("n").alias("own_total"))
-    # a term's rows of one language all hold its lang_n: it is counted at the first source alone
-    first = kept.groupBy("lang", "term").agg(F.first("lang_n").alias("lang_n"))
-    langs = first.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
+    langs = terms.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
     names = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (lang_col, source_col)]
     groups = df.select(names[0].alias("lang"), names[1].alias("source")).distinct()
     n_sources = groups.groupBy("lang").agg(F.count("*").alias("n_sources"))
