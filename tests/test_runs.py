@@ -113,3 +113,19 @@ def test_toggle_state_u6(spark):
     out = toggles.seller_state(ev, ["user_id"], "kind", ["seq"], F.floor(F.col("seq") / 2))
     # {p,a} -p-> {a} -a-> {a} (never empty) -p-> {p,a} -p-> {a}
     assert rows(out, "seller_filter") == [("agency",)]
+
+
+def test_toggles_of_a_hot_key_by_levels_of_blocks(spark):
+    import random
+    rnd = random.Random(3)
+    ev = [(u, i, rnd.choice(["private", "agency"])) for u, n in ((1, 1500), (2, 63), (3, 64), (4, 65), (5, 1), (None, 9)) for i in range(n)]
+    want = {}
+    for u, _, k in ev:
+        state = want.get(u, toggles.INITIAL_SELLER_STATE)
+        want[u] = (toggles.TOGGLE_PRIVATE if k == "private" else toggles.TOGGLE_AGENCY)[state]
+    rnd.shuffle(ev)
+    df = spark.createDataFrame(ev, "user_id long, seq long, kind string")
+    for width, levels in ((8, 2), (4, 3), (1024, 2)):
+        out = toggles.seller_state(df, ["user_id"], "kind", ["seq"], F.lit(0), width, levels)
+        assert {r[0]: r[1] for r in out.collect()} == {u: toggles.SELLER_STATES[s] for u, s in want.items()}
+    assert toggles.seller_state(df.limit(0), ["user_id"], "kind", ["seq"], F.lit(0)).count() == 0
