@@ -8,14 +8,17 @@ together cover the whole lineitem table.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from listwatch.operators import distinct, prices, snapshot
 from listwatch.plans.oracle_views import with_views
 from listwatch.plans.registry import register
-from listwatch.session import SharedTables
+from listwatch.session import SharedTables, checkpoint_dir
 from listwatch.sources import tables as T
+from listwatch.sources.dated import DatedListings
 
 SPLIT = T.CRAWL_SPLIT
 EXPIRY_DAYS = 180
@@ -53,7 +56,7 @@ _TOUCH_CTES = [
 ]
 
 
-@register("listing_touch", "M3 M4 Q11", oracle=with_views(["sightings"], """
+_TOUCH_SQL = """
 SELECT coalesce(old.url, ta.url) AS url,
        coalesce(t_brand, CASE WHEN trim(old.brand) NOT IN ('', 'Unknown') THEN old.brand END, old.brand) AS brand,
        coalesce(t_model, CASE WHEN trim(old.model) NOT IN ('', 'Unknown') THEN old.model END, old.model) AS model,
@@ -62,8 +65,10 @@ SELECT coalesce(old.url, ta.url) AS url,
        coalesce(old.first_seen_at, t_last_seen_at) AS first_seen_at,
        t_last_seen_at IS NOT NULL AS touched,
        old.first_seen_at IS NULL AS inserted
-FROM old FULL JOIN ta ON old.url = ta.url""", extra=_TOUCH_CTES))
-def listing_touch(spark, sf_dir):
+FROM old FULL JOIN ta ON old.url = ta.url"""
+
+
+def _before_and_touches(spark, sf_dir):
     old = T.stored_sightings(spark, sf_dir, T.LOADED).filter("in_catalog").select(
         "url", "brand", "model", "price_raw", "first_seen_at", "last_seen_at")
     touches = T.crawl_batch(spark, sf_dir).select(
@@ -72,7 +77,27 @@ def listing_touch(spark, sf_dir):
                F.concat(F.lit("Brand#"), (F.col("s_key") % 25 + 1).cast("string")))
         .when(F.col("seller_type") == "private", F.lit("Unknown")).alias("brand"),
         F.when(F.col("seller_type") == "agency", F.lit("TOUCHED")).alias("model"))
-    return snapshot.touch(old, touches, T.sighting_seq(touches))
+    return old, touches, T.sighting_seq(touches)
+
+
+@register("listing_touch", "M3 M4 Q11", oracle=with_views(["sightings"], _TOUCH_SQL, extra=_TOUCH_CTES))
+def listing_touch(spark, sf_dir):
+    return snapshot.touch(*_before_and_touches(spark, sf_dir))
+
+
+@register("listing_days", "M6 T4 M3 M4", oracle=with_views(["sightings"], f"""
+SELECT url, brand, model, price_raw, first_seen_at, last_seen_at FROM ({_TOUCH_SQL})
+WHERE last_seen_at IS NULL OR last_seen_at >= (SELECT max(seen_at) FROM sightings) - INTERVAL {EXPIRY_DAYS} DAY""", extra=_TOUCH_CTES))
+def listing_days(spark, sf_dir):
+    """Listings stored by their last sighting, touched by the crawl batch, expired by whole folders: by month, as the
+    test tables hold a few listings a day over seven years."""
+    stored = DatedListings(spark, f"{checkpoint_dir(spark).rstrip('/')}/listwatch-days-{uuid.uuid4().hex}", "month")
+    old, touches, order = _before_and_touches(spark, sf_dir)
+    stored.write(old)
+    stored.touch(touches, order)
+    stored.expire(T.newest_sighting(spark, sf_dir), EXPIRY_DAYS)
+    stored.vacuum()
+    return stored.read().select("url", "brand", "model", "price_raw", "first_seen_at", "last_seen_at")
 
 
 @register("listing_expire", "M6 T4 A11", oracle=with_views(["listings"], f"""
