@@ -2,9 +2,9 @@
 (P7-P9, X1, Q8), feed links (S2 with P1, P2, P10, U1, X11) and detail fields
 (S3 with X9, X10, X12, X14, X15, J13).
 
-Every page is one row; all parsing is JVM regex over the row, so pages
-are processed where they are read, with no shuffle until a key is needed.
-The markup patterns are parameters (``FeedMarkup`` / ``DetailMarkup``);
+Every page is one row, cut into tags once (``markup``) and read by element
+and attribute, so pages are processed where they are read, with no shuffle until a key is needed.
+What the fields look like are parameters (``FeedMarkup`` / ``DetailMarkup``);
 the defaults describe the watched site.
 """
 
@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listwatch.functions.dates import ad_created_text
-from listwatch.functions.text import normalize_text, strip_tags
+from listwatch.functions.text import normalize_text
 from listwatch.functions.urls import AUCTION_PATTERNS, ITEM_ID_PATTERN, SITE_DOMAIN, CANONICAL_PREFIX
 from listwatch.functions.urls import canonical_url, is_external
+from listwatch.operators.markup import Select, attributes, body, chosen, first_text, text_of, tokens, with_elements
 
 # fixed values: page-quality markers and signatures
 SOFT_BLOCK_MIN_CHARS = 2000
@@ -77,11 +78,9 @@ def normalize_needle(s: str) -> str:
 @dataclass(frozen=True)
 class FeedMarkup:
     """How listing cards look in a feed page."""
-    anchor: str = r"(?is)<a\b([^>]*)>(.*?)</a>"
-    href: str = r'(?i)href="([^"]*)"'
-    css_class: str = r'(?i)class="([^"]*)"'
-    heading: str = r'(?is)class="[^"]*feed-item-info-section_heading__[^"]*"[^>]*>(.*?)<'
-    price: str = r"""(?is)<span[^>]*data-testid=["']price["'][^>]*>(.*?)</span>"""
+    card: Select = Select("a")
+    heading: Select = Select(None, "class", "feed-item-info-section_heading__")
+    price: Select = Select("span", "data-testid", "price", exact=True)
     seller_classes: tuple = ("agency", "private")
     require_seller_class: bool = True
     id_pattern: str = ITEM_ID_PATTERN
@@ -99,20 +98,18 @@ def feed_links(pages: DataFrame, m: FeedMarkup = FeedMarkup(), keep: tuple[str,
     first card of each URL in a page wins (U1); seller type is 'agency' when
     the class says so, else 'private' (X11). ``keep``: columns of the page
     that each of its cards carries on."""
-    h = F.col("html")
-    cards = pages.select(
-        "page_id", *keep,
-        F.posexplode(F.arrays_zip(
-            F.regexp_extract_all(h, F.lit(m.anchor), 1).alias("attrs"),
-            F.regexp_extract_all(h, F.lit(m.anchor), 2).alias("body"))).alias("pos", "card"))
-    attrs, body = F.col("card.attrs"), F.col("card.body")
-    cls = F.lower(F.regexp_extract(attrs, m.css_class, 1))
-    raw = F.regexp_extract(attrs, m.href, 1)
-    heading = F.regexp_extract(body, m.heading, 1)
-    c = cards.select(
-        "page_id", *keep, F.col("pos").cast("bigint").alias("pos"), raw.alias("raw_href"), cls.alias("_cls"),
-        F.trim(F.when(heading != "", strip_tags(heading)).otherwise(strip_tags(body))).alias("title"),
-        F.trim(strip_tags(F.regexp_extract(body, m.price, 1))).alias("price_raw"))
+    found = with_elements(pages.select("page_id", *keep, tokens(F.col("html")).alias("_tk")), "_tk", [m.card.name])
+    cards = found.select("page_id", *keep, "_tk", F.posexplode(chosen("_tk", m.card)).alias("pos", "card"))
+    cards = cards.select("page_id", *keep, "pos", attributes(F.col("card.attrs")).alias("_attrs"), body("_tk", F.col("card")).alias("_body"))
+
+    def attr(name: str) -> Column:
+        return F.coalesce(F.try_element_at("_attrs", F.lit(name)), F.lit(""))
+
+    heading = first_text(F.col("_body"), m.heading)
+    c = cards.select("page_id", *keep, F.col("pos").cast("bigint").alias("pos"), attr("href").alias("raw_href"),
+                     F.lower(attr("class")).alias("_cls"), heading.alias("_heading"), text_of(F.col("_body")).alias("_text"),
+                     first_text(F.col("_body"), m.price).alias("price_raw"))
+    c = c.withColumn("title", F.when(F.col("_heading") != "", F.col("_heading")).otherwise(F.col("_text"))).drop("_heading", "_text")
     if m.require_seller_class:
         c = c.filter(_any_contains(F.col("_cls"), m.seller_classes))
     c = c.filter(F.col("raw_href") != "")
@@ -128,17 +125,19 @@ def feed_links(pages: DataFrame, m: FeedMarkup = FeedMarkup(), keep: tuple[str,
 
 @dataclass(frozen=True)
 class DetailMarkup:
-    """How a listing detail page is laid out."""
-    title: str = r"(?is)<h1[^>]*>(.*?)</h1>"
-    price: str = r"""(?is)<span[^>]*data-testid=["']price["'][^>]*>(.*?)</span>"""
-    location: str = r"""(?is)<span[^>]*data-testid=["']location["'][^>]*>(.*?)</span>"""
-    created: str = r"""(?is)<span[^>]*class="[^"]*report-ad_createdAt[^"]*"[^>]*>(.*?)</span>"""
-    spec_box: str = r"""(?is)<div[^>]*class="[^"]*details-item_detailsItemBox[^"]*"[^>]*>(.*?)</div>"""
-    spec_text: str = r"(?is)<span[^>]*>(.*?)</span>"
-    label: str = r"""(?is)<dd[^>]*class="[^"]*item-detail_label[^"]*"[^>]*>(.*?)</dd>"""
-    value: str = r"""(?is)<dt[^>]*class="[^"]*item-detail_value[^"]*"[^>]*>(.*?)</dt>"""
-    description: str = r"(?is)<p[^>]*>(.*?)</p>"
-    agency: str = r"""(?i)class="[^"]*agency[^"]*\""""
+    """How a listing detail page is laid out. A spec box holds ``spec_text`` elements, or is one text itself (None);
+    ``label_attr`` names the attribute that holds a label in place of its text."""
+    title: Select = Select("h1")
+    price: Select = Select("span", "data-testid", "price", exact=True)
+    location: Select = Select("span", "data-testid", "location", exact=True)
+    created: Select = Select("span", "class", "report-ad_createdAt")
+    spec_box: Select = Select("div", "class", "details-item_detailsItemBox")
+    spec_text: Select | None = Select("span")
+    label: Select = Select("dd", "class", "item-detail_label")
+    label_attr: str | None = None
+    value: Select = Select("dt", "class", "item-detail_value")
+    description: Select = Select("p")
+    agency: Select = Select(None, "class", "agency")
 
 
 def zip_labels(labels: Column, values: Column) -> Column:
@@ -173,29 +172,39 @@ def page_detail(pages: DataFrame, m: DetailMarkup = DetailMarkup(), as_of: Colum
     and JSON, X15), the first paragraph, and the seller type: the preset one
     (from the feed), else 'agency' when a class of the page says so, else
     'private' (X11)."""
-    h = F.col("html")
+    named = sorted({x.name for x in (m.spec_box, m.spec_text, m.label, m.value) if x})
+    p = with_elements(pages.withColumn("_tk", tokens(F.col("html"))), "_tk", named)
+    page = F.col("_tk")
 
-    def one(pattern):
-        return strip_tags(F.regexp_extract(h, pattern, 1))
+    def texts(select: Select) -> Column:
+        return F.transform(chosen("_tk", select), lambda e: text_of(body("_tk", e)))
 
-    boxes = F.transform(F.regexp_extract_all(h, F.lit(m.spec_box), 1),
-                        lambda b: F.filter(F.transform(F.regexp_extract_all(b, F.lit(m.spec_text), 1), strip_tags),
-                                           lambda t: t != ""))
+    def inside(box: Column) -> Column:
+        spans = F.filter(chosen("_tk", m.spec_text), lambda e: (e["at"] > box["at"]) & (e["at"] < box["at"] + box["n"]))
+        return F.transform(spans, lambda e: text_of(body("_tk", e)))
+
+    boxes = F.transform(chosen("_tk", m.spec_box), lambda b: F.filter(
+        inside(b) if m.spec_text else F.array(text_of(body("_tk", b))), lambda t: t != ""))
     boxes = F.filter(boxes, lambda b: F.size(b) > 0)
-    year, hands, km = spec_triage(boxes)
-    labels = F.transform(F.regexp_extract_all(h, F.lit(m.label), 1), strip_tags)
-    values = F.transform(F.regexp_extract_all(h, F.lit(m.value), 1), strip_tags)
-    fields = zip_labels(labels, values)
-    created = F.regexp_replace(one(m.created), "‏", "")
-    by_class = F.when(h.rlike(m.agency), "agency").otherwise("private")
+    labels = texts(m.label) if m.label_attr is None else F.transform(chosen("_tk", m.label), lambda e: F.coalesce(
+        F.try_element_at(attributes(e["attrs"]), F.lit(m.label_attr)), F.lit("")))
+    # computed once, then read by several columns
+    p = p.select(*pages.columns, boxes.alias("_boxes"), zip_labels(labels, texts(m.value)).alias("_fields"),
+                 *[first_text(page, x).alias(f"_{n}") for n, x in (("title", m.title), ("price", m.price), ("location", m.location),
+                                                                  ("created", m.created), ("description", m.description))],
+                 F.exists(page, m.agency.of).alias("_agency"))
+    year, hands, km = spec_triage(F.col("_boxes"))
+    fields = F.col("_fields")
+    created = F.regexp_replace("_created", "‏", "")
+    by_class = F.when(F.col("_agency"), "agency").otherwise("private")
     preset = F.lit(None).cast("string") if preset_seller is None else F.nullif(F.trim(preset_seller), F.lit(""))
-    return pages.select(
+    return p.select(
         "page_id", "url",
-        one(m.title).alias("title"), one(m.price).alias("price_raw"),
+        F.col("_title").alias("title"), F.col("_price").alias("price_raw"),
         year.alias("year_raw"), hands.alias("hands_raw"), km.alias("km_raw"),
-        one(m.location).alias("location"),
+        F.col("_location").alias("location"),
         created.alias("created_raw"),
         (created if as_of is None else ad_created_text(created, as_of)).alias("ad_created_at"),
         F.coalesce(preset, by_class).alias("seller_type"),
         fields.alias("fields"), F.to_json(fields).alias("fields_json"),
-        one(m.description).alias("description"))
+        F.col("_description").alias("description"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from listwatch.functions import urls
 from listwatch.functions.text import normalize_text
 from listwatch.operators import extract
+from listwatch.operators.markup import Select
 from listwatch.plans.registry import register
 from listwatch.sources import tables as T
 
@@ -20,11 +21,8 @@ ID_PATTERN = r"/([0-9]+)"
 DOMAIN = "example.com"
 PREFIX = "https://example.com/item/"
 FEED = extract.FeedMarkup(require_seller_class=False, id_pattern=ID_PATTERN, canonical_prefix=PREFIX, domain=DOMAIN)
-DETAIL = extract.DetailMarkup(
-    label=r'(?is)<li><a href="([^"]*)">',
-    value=r'(?is)<li><a href="[^"]*">(.*?)</a></li>',
-    spec_box=r'(?is)<div class="ad">(.*?)</div>',
-    spec_text=r"(?is)^(.*)$")
+DETAIL = extract.DetailMarkup(label=Select("a"), label_attr="href", value=Select("a"), spec_box=Select("div", "class", "ad"),
+                              spec_text=None)
 
 # DuckDB twins of the Spark expressions
 HOST_SQL = r"lower(regexp_extract({u}, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^@/?#]*@)?([^:/?#]*)', 1))"
@@ -165,3 +163,46 @@ def feed_dedupe(spark, sf_dir):
                  F.count(F.lit(1)).alias("n_seen"))
             .select("url", F.col("_first.page_id").alias("first_page_id"), F.col("_first.pos").alias("first_pos"),
                     "_last.title", "_last.raw_href", "n_seen"))
+
+
+#: A detail block as three sites would write it: single quotes, attributes in another order, divs within divs. {p}, {c},
+#: {d}, {y}, {k} stand for price, place, date, year and km.
+BLOCKS = (
+    """<div class="details-item_detailsItemBox__1"><span>{y}</span></div><div class="details-item_detailsItemBox__1"><span>{k}</span><span>ק״מ</span></div>"""
+    """<span data-testid="price">₪ {p}</span><span data-testid="location">{c}</span><span class="report-ad_createdAt__x">ב {d}</span>"""
+    """<dd class="item-detail_label__1">color</dd><dt class="item-detail_value__1">{c}</dt>""",
+    """<DIV class='x details-item_detailsItemBox__1'><span>{y}</span></DIV><div class='details-item_detailsItemBox__1'><span>{k}</span><span>ק״מ</span></div>"""
+    """<span class='agency-box' data-testid='price'>₪ {p}</span ><span data-testid = 'location'>{c}</span><span title='a > b' class='report-ad_createdAt__x'>ב {d}</span>"""
+    """<dd class='item-detail_label__1'>color</dd><dt class='item-detail_value__1'>{c}</dt>""",
+    """<div id=1 class="details-item_detailsItemBox__1"><div><div></div><span>{y}</span></div></div><!-- <span data-testid="price">no</span> -->"""
+    """<div data-n="1" class="details-item_detailsItemBox__1"><div><span>{k}</span></div><div><div><span>ק״מ</span></div></div></div>"""
+    """<span id='p' data-testid=price><span>₪</span> <b>{p}</b></span><span class="l" data-testid="location"><span></span>{c}</span>"""
+    """<span data-class="report-ad_createdAt">no</span><span id="r" class="report-ad_createdAt__x"><span>ב</span> {d}</span>"""
+    """<dd id="l" class="item-detail_label__1">color</dd><dt id="v" class="item-detail_value__1"><div>{c}</div></dt>""",
+)
+_PLACES = ("north", "coast", "hills", "south")
+_FIELDS_SQL = f"""SELECT page_id, url, html, CAST(1000 + page_id * 37 AS VARCHAR) AS p, (['{"', '".join(_PLACES)}'])[page_id % {len(_PLACES)} + 1] AS c,
+    lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') || '/' || lpad(CAST(page_id % 12 + 1 AS VARCHAR), 2, '0') || '/24' AS d,
+    CAST(2000 + page_id % 24 AS VARCHAR) AS y, CAST(page_id * 11 AS VARCHAR) AS k FROM pages"""
+
+
+@register("page_fields", "S3 X9 X10 X11 X14 J13 P11", oracle=f"""
+SELECT page_id, url, {STRIP_SQL.format(x="regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS title, '₪ ' || p AS price_raw,
+       y AS year_raw, k || ' ק״מ' AS km_raw, c AS location, 'ב ' || d AS created_raw, d AS ad_created_at,
+       CASE WHEN page_id % 3 = 1 THEN 'agency' ELSE 'private' END AS seller_type, '{{"color":"' || c || '"}}' AS fields_json
+FROM ({_FIELDS_SQL})""")
+def page_fields(spark, sf_dir):
+    """Every page with a detail block derived from its id put before its end, in one of three spellings; the default markup
+    reads them alike."""
+    n = F.col("page_id")
+    place = F.get(F.array(*[F.lit(x) for x in _PLACES]), (n % len(_PLACES)).cast("int"))
+    day = F.concat(F.lpad((n % 28 + 1).cast("string"), 2, "0"), F.lit("/"), F.lpad((n % 12 + 1).cast("string"), 2, "0"), F.lit("/24"))
+    block = F.get(F.array(*[F.lit(b) for b in BLOCKS]), (n % len(BLOCKS)).cast("int"))
+    for mark, value in (("{p}", (1000 + n * 37).cast("string")), ("{c}", place), ("{d}", day), ("{y}", (2000 + n % 24).cast("string")),
+                        ("{k}", (n * 11).cast("string"))):
+        block = F.replace(block, F.lit(mark), value)
+    end = "</body></html>"
+    p = T.table(spark, sf_dir, "pages").select("page_id", "url", F.concat(F.replace("html", F.lit(end), F.lit("")), block, F.lit(end)).alias("html"))
+    found = extract.page_detail(p, as_of=F.lit("2024-06-01").cast("timestamp"))
+    return found.select("page_id", "url", "title", "price_raw", "year_raw", "km_raw", "location", "created_raw", "ad_created_at",
+                        "seller_type", "fields_json")
