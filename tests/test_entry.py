@@ -9,7 +9,7 @@ from tests.conftest import SF_SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
-STREAMING = {"stream_accepted_runs", "stream_diff", "stream_payments", "stream_unflagged"}
+STREAMING = {"stream_accepted_runs", "stream_diff", "stream_payments", "stream_throttle", "stream_unflagged"}
 
 
 def test_entry_runs(spark):
