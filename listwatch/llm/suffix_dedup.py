@@ -383,12 +383,13 @@ def remove_repeats(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
 
 def digest(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text",
            crowded: int = CROWDED) -> DataFrame:
-    """(id_col, n_bytes, n_removed, n_spans, kept_sha256) for each row."""
+    """(id_col, n_bytes, n_removed, n_spans, kept_sha256, removed_share) for each row; the share of an empty text is 0."""
     rows, copies, done = _search(df, scratch, id_col, text_col, crowded)
     # texts stay where they are: only their digests meet the results
-    return _results(rows.select("id", "k1", "k2", "n_bytes", F.sha2("text", 256).alias("whole")), copies,
-                    done.withColumn("kept", F.sha2("kept", 256)), id_col,
-                    F.coalesce("kept", "whole"), F.sha2(F.lit("").cast("binary"), 256)).withColumnRenamed("left", "kept_sha256")
+    out = _results(rows.select("id", "k1", "k2", "n_bytes", F.sha2("text", 256).alias("whole")), copies,
+                   done.withColumn("kept", F.sha2("kept", 256)), id_col,
+                   F.coalesce("kept", "whole"), F.sha2(F.lit("").cast("binary"), 256)).withColumnRenamed("left", "kept_sha256")
+    return out.withColumn("removed_share", F.col("n_removed") / F.greatest("n_bytes", F.lit(1)))
 
 
 def _results(rows: DataFrame, copies: DataFrame, done: DataFrame, id_col: str, left: Column, nothing: Column) -> DataFrame:
