@@ -9,7 +9,8 @@ Decoding joins the ids to the vocabulary and concatenates the bytes by an
 ordered aggregate per document.
 
 Spark deals out the documents; nothing is shuffled and no state is kept
-across rows but a bounded cache of encoded words. A word that is itself a
+across rows but a bounded cache of encoded words. The rows of a query are bounded, so DuckDB works in memory and
+writes no files. A word that is itself a
 vocabulary entry is that token, as in the public library. The recursive query
 holds all rounds of a word, whose size is quadratic in its length; words of
 more than ``LONG_WORD`` bytes are contracted by the same rule (smallest rank,
@@ -34,6 +35,10 @@ from pyspark.sql import functions as F
 
 LONG_WORD = 128  # positions take 8 bits in ENCODE_SQL
 WORDS_PER_QUERY = 20_000
+#: Rows of all rounds of one query at most, a word of n bytes counting as n * n: some 100 MB.
+ROWS_PER_QUERY = 4 << 20
+#: Ids that one query decodes.
+ROWS_PER_DECODE = 1 << 20
 #: Words of one generation of a worker's cache.
 CACHE_WORDS = 250_000
 
@@ -82,7 +87,7 @@ class Tokenizer:
         merges = [(get(t[:i]), get(t[i:]), r) for t, r in self.ranks.items() for i in range(1, len(t))]
         merges = np.array([m for m in merges if m[0] is not None and m[1] is not None], dtype=np.int64).reshape(-1, 3)
         self.vocabulary = {i: t for t, i in self.ranks.items()}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         for name, columns in (("merges", {"pair": (merges[:, 0] << 32) | merges[:, 1], "rank": merges[:, 2]}),
                               ("vocabulary", {"id": list(self.vocabulary), "hex": [t.hex() for t in self.vocabulary.values()]})):
             rows = pa.table(columns)  # noqa: F841 - read by name below
@@ -101,8 +106,8 @@ class Tokenizer:
                 cache[word] = np.array(self._contract_long(raw), dtype="<u4").tobytes()
             else:
                 pending.append((word, raw))
-        for at in range(0, len(pending), WORDS_PER_QUERY):
-            some = pending[at:at + WORDS_PER_QUERY]
+        for part in _slices([max(len(raw) ** 2, ROWS_PER_QUERY // WORDS_PER_QUERY) for _, raw in pending], ROWS_PER_QUERY):
+            some = pending[part]
             lengths = np.fromiter((len(raw) for _, raw in some), dtype=np.int64, count=len(some))
             starts = np.cumsum(lengths) - lengths
             flat = np.frombuffer(b"".join(raw for _, raw in some), dtype=np.uint8)
@@ -158,12 +163,14 @@ class Tokenizer:
         flat = np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int64)
         if len(flat) and int(flat.max()) not in self.vocabulary and not set(np.unique(flat).tolist()) <= self.vocabulary.keys():
             raise ValueError("an id is not in the vocabulary")
-        token_rows = pa.table({  # noqa: F841 - read by name in the query
-            "doc": np.repeat(np.arange(len(ids)), lengths),
-            "pos": np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths), "id": flat})
+        doc = np.repeat(np.arange(len(ids)), lengths)
+        pos = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         out = [b""] * len(ids)
-        for doc, raw in self.db.execute(DECODE_SQL).fetchall():
-            out[doc] = bytes(raw)
+        for at in range(0, len(flat), ROWS_PER_DECODE):  # a very long list takes several queries
+            part = slice(at, at + ROWS_PER_DECODE)
+            token_rows = pa.table({"doc": doc[part], "pos": pos[part], "id": flat[part]})  # noqa: F841 - read by name in the query
+            for d, raw in self.db.execute(DECODE_SQL).fetchall():
+                out[d] += bytes(raw)
         return out
 
 

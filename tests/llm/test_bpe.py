@@ -59,6 +59,18 @@ def test_cache_generations(reference):
         assert np.frombuffer(tok.encode([t])[0], "<u4").tolist() == reference.encode_ordinary(t)
 
 
+def test_largest_queries_fit_in_memory(reference):
+    """Nothing spills: many words of the greatest length, of a middle one, and a list of ids of several queries."""
+    tok, rng = bpe.Tokenizer(PATH, P.PATTERN), Random(4)
+    for n, length in ((600, 128), (6000, 40), (25_000, 14)):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=length)) for _ in range(n)]
+        ids = tok.encode([" ".join(words)])[0]
+        assert np.frombuffer(ids, "<u4").tolist() == reference.encode_ordinary(" ".join(words))
+    some = np.array(rng.choices(range(50_000), k=5000), "<u4")
+    assert tok.decode([b"", np.tile(some, 500).tobytes(), some.tobytes()]) == \
+        [b"", reference.decode_bytes(some.tolist()) * 500, reference.decode_bytes(some.tolist())]
+
+
 def test_decode_rejects_unknown_ids():
     with pytest.raises(ValueError):
         bpe.tokenizer(PATH, P.PATTERN).decode([np.array([60000], "<u4").tobytes()])
