@@ -4,9 +4,10 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from listwatch.operators import diff, match
+from listwatch.operators import diff, match, snapshot
 from listwatch.plans.registry import all_queries
-from tests.conftest import SF_SMALL, rows
+from listwatch.sources import tables as T
+from tests.conftest import SF_SMALL
 
 T0 = datetime(2024, 1, 1)
 LISTING = "url string, brand string, model string, title string, price_raw string, last_seen_at timestamp"
@@ -64,3 +65,25 @@ def test_diff_does_not_shuffle_listings_by_set(spark):
         text = q[name].build(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
         assert not any("Exchange" in x and "_set#" in x and "url#" in x.split("hashpartitioning(")[-1] for x in text.split("\n")), name
 
+
+
+def test_touch_stores_no_more_than_it_reads(spark, tmp_path):
+    """The touch reads the snapshot before the crawl batch; merging that batch moved as much again, unread."""
+    for t in ("lineitem", "part"):
+        spark.read.parquet(f"{SF_SMALL}/{t}.parquet").limit(300).write.parquet(str(tmp_path / f"{t}.parquet"))
+    all_queries()["listing_touch"].build(spark, str(tmp_path))
+    store = T.stored_listings(spark, str(tmp_path), T.LOADED)
+    assert store.versions() == [T.LOADED]
+    assert T.stored_listings(spark, str(tmp_path)) is store and store.versions() == [T.LOADED, T.UPSERTED]
+
+
+def test_batch_folded_before_the_merge_gives_the_same_snapshot(spark, tmp_path):
+    for t in ("lineitem", "part"):
+        df = spark.read.parquet(f"{SF_SMALL}/{t}.parquet")
+        df.unionByName(df.limit(50)).write.parquet(str(tmp_path / f"{t}.parquet"))
+    d = str(tmp_path)
+    store, s = T.stored_listings(spark, d), T.sightings(spark, d)
+    batch = T.crawl_batch(spark, d).withColumn("first_seen_at", F.col("seen_at")).withColumn("last_seen_at", F.col("seen_at"))
+    want = snapshot.merge(store.read(T.LOADED), batch, T.sighting_seq(s))
+    cols = sorted(want.columns)
+    assert sorted(map(repr, rows2(store.read(), cols))) == sorted(map(repr, rows2(want, cols)))
