@@ -109,3 +109,12 @@ def test_cut_merges_touching_runs():
     raw = bytes(range(256)) * 10
     removed, spans, kept = sd.cut(raw, np.array([400, 0, 1200]), np.array([1, 1, 5]))
     assert (removed, spans, kept) == (800 + 404, 2, raw[800:1200] + raw[1604:])
+
+
+def test_anchors_are_read_twice_without_files_of_their_own(spark, scratch, monkeypatch):
+    saved, save = [], type(scratch).save
+    monkeypatch.setattr(type(scratch), "save", lambda self, df, name, **kw: saved.append(name) or save(self, df, name, **kw))
+    kept = spark.sparkContext._jsc.getPersistentRDDs().size()
+    check(spark, scratch, fixture())
+    assert "grams" in saved and "anchors" not in saved  # was a file a task, and three helper processes a file
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
