@@ -103,7 +103,8 @@ def _first_shared(segments: list[list[int]], x: Column, wild: Column) -> Column:
 
 
 def _pairs(index: DataFrame, keys: list[str], segments: list[list[int]], max_bits: int) -> DataFrame:
-    a = index.select(*keys, F.col("fp").alias("a"))
+    # sorted and merged: an index is far larger than Spark's guess, which takes no account of exploded rows, so it could be broadcast
+    a = index.select(*keys, F.col("fp").alias("a")).hint("merge")
     b = index.select(*keys, F.col("fp").alias("b"))
     x = F.col("a").bitwiseXOR(F.col("b"))
     return a.join(b, keys).where((F.col("a") > F.col("b")) & (F.bit_count(x) <= max_bits)

@@ -85,6 +85,15 @@ def test_links_with_crowded_variants(spark, scratch):
             assert got == want, (bits, hot)
 
 
+def test_no_index_is_broadcast(spark, scratch):
+    """Spark guesses the size of exploded variants by that of the fingerprints, which says that they could be broadcast."""
+    df = scratch.save(spark.createDataFrame([(i * i,) for i in range(100)], "fp long"), "distinct")
+    plan = simhash.links(df, 2, scratch, hot=2)._jdf.queryExecution().sparkPlan().toString()
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10 << 20
+    assert plan.count("SortMergeJoin") == 3  # variants, and the crowded ones of two segments
+    assert "BroadcastHashJoin" not in "".join(x for x in plan.split("\n") if ", Inner" in x)
+
+
 def test_one_of_each(spark, scratch):
     rows = fixture()
     df = make(spark, rows)
